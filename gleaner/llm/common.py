@@ -45,7 +45,7 @@ def materialized(df: DataFrame) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder: it is smaller than an RDD checkpoint, and columns are
     pruned on reading. The table outlives lost executors and goes with the folder."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

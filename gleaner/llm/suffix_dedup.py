@@ -9,9 +9,11 @@ positions. Any LENGTH bytes hold at least two anchors that they alone determine.
    (rank, rank of the phrase 1, then 2, further on) pairs at growing offsets and reranks, as in the construction of a
    suffix array. Phrases whose rank is unique are dropped at once, those left after the threshold are candidates.
 2. Runs. The windows of LENGTH bytes with the same first and last anchor form a run. It is a candidate if the ranked
-   prefixes at both of its ends are. If the run's whole string occurs twice, all its windows are repeated.
-3. Edges. What is left are windows at the ends of repeated passages. They are compared one by one by a 128-bit hash,
-   with each other and with one copy of each repeated run that begins with the same phrase.
+   prefixes at both of its ends are, and if its core, the string from the first to the last anchor, occurs in another
+   run. If the run's whole string occurs twice, all its windows are repeated.
+3. Edges. What is left are windows at the ends of repeated passages. They are compared one by one, with each other
+   and with one copy of each repeated run that has the same core. Equal strings have equal cores, so all comparisons
+   are of two independent 64-bit hashes, of the string and of its core.
 
 Passages are short lists by document that meet the texts three times, by a broadcast while they are below
 `BROADCAST_BYTES` and by a shuffle beyond. Counting is pre-aggregated; no group of equal strings is gathered.
@@ -41,7 +43,7 @@ SPAN = 128
 WINDOW = GRAM + SPAN - 1
 LAST = LENGTH - WINDOW
 LEVELS = 3
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -82,17 +84,20 @@ def _each(raw: bytes | None) -> np.ndarray | None:
     return np.frombuffer(raw, np.uint8) if raw and len(raw) >= LENGTH else None
 
 
-PHRASES = "row long, i int, name long"
+PHRASES = "row long, i int, lone boolean, name long"
 
 
 def _phrases(batches) -> Iterator[pa.RecordBatch]:
-    """row, index and name of each phrase: its bytes, up to the end of the next anchor's."""
+    """row, index and name of each phrase: its bytes, up to the end of the next anchor's; lone: it fills a run."""
     name = xxhash.xxh3_64_intdigest
     for batch in batches:
-        rows, counts, names = [], [], []
+        rows, counts, names, lone = [], [], [], [np.empty(0, bool)]
         for row, raw in zip(batch.column(0).to_pylist(), as_binary(batch.column(1)), strict=True):
             if (data := _each(raw)) is not None:
-                at = anchors_of(data)[0].tolist()
+                at, begins = anchors_of(data)
+                ends = np.r_[begins[2:], len(raw) - WINDOW + 1]
+                lone.append(ends - begins[:-1] > LAST)
+                at = at.tolist()
                 names += [name(raw[a : b + GRAM]) for a, b in zip(at, at[1:], strict=False)]
                 rows.append(row)
                 counts.append(len(at) - 1)
@@ -100,9 +105,10 @@ def _phrases(batches) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(np.repeat(np.array(rows, np.int64), counts)),
                 pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts]) if counts else np.empty(0, np.int32)),
+                pa.array(np.concatenate(lone)),
                 pa.array(np.array(names, np.uint64).view(np.int64)),
             ],
-            ["row", "i", "name"],
+            ["row", "i", "lone", "name"],
         )
 
 
@@ -123,7 +129,7 @@ def _ranges(kept: DataFrame) -> DataFrame:
 def doubled(phrases: DataFrame) -> DataFrame:
     """row and the phrase ranges whose 1, 2 and 4 phrases are repeated, by levels."""
     level = materialized(_repeated(phrases, "name"))
-    out = level.select("row", F.lit(0).alias("level"), "i")
+    out = level.where("lone").select("row", F.lit(0).alias("level"), "i")
     for j in range(1, LEVELS):
         offset = 1 << (j - 1)
         later = level.select("row", (F.col("i") - offset).alias("i"), F.col("name").alias("then"))
@@ -141,16 +147,12 @@ def _flags(ranges: list[int], level: int, n: int) -> np.ndarray:
     return out
 
 
-def _wide(raw: bytes, a: int, b: int) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(raw[a:b])
-    return (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-
-
-RUNS = "row long, a int, b int, first long, h1 long, h2 long"
+RUNS = "row long, a int, b int, core long, whole long"
+_SIGN = 1 << 63
 
 
 def _runs(batches) -> Iterator[pa.RecordBatch]:
-    """Candidate runs: windows a to b of a row, the name of their first phrase, the hash of the run's string."""
+    """Candidate runs: windows a to b of a row, the hashes of the run's core and of its whole string."""
     name = xxhash.xxh3_64_intdigest
     for batch in batches:
         out: list[tuple] = []
@@ -161,7 +163,7 @@ def _runs(batches) -> Iterator[pa.RecordBatch]:
             last = len(raw) - LENGTH
             level = [_flags(ranges, j, len(at)) for j in range(LEVELS)]
             # First and last anchor of each window change at these windows only.
-            cuts = np.unique(np.r_[begins, begins - LAST, last + 1])
+            cuts = np.unique(np.r_[0, begins, begins - LAST, last + 1])
             cuts = cuts[(cuts >= 0) & (cuts <= last + 1)]
             i = np.searchsorted(begins, cuts[:-1], "right") - 1
             k = np.searchsorted(begins, cuts[:-1] + LAST, "right") - 1
@@ -172,23 +174,24 @@ def _runs(batches) -> Iterator[pa.RecordBatch]:
                 good[own] = level[x][i[own]] & level[x][k[own] - (1 << x)]
             for r in np.flatnonzero(good):
                 a, b = int(cuts[r]), int(cuts[r + 1])
-                first = name(raw[at[i[r]] : at[i[r] + 1] + GRAM]) - (1 << 63)
-                out.append((row, a, b - 1, first, *_wide(raw, a, b - 1 + LENGTH)))
+                core = name(raw[at[i[r]] : at[k[r]] + GRAM], 1) - _SIGN
+                out.append((row, a, b - 1, core, name(raw[a : b - 1 + LENGTH]) - _SIGN))
         yield _batch(out, RUNS)
 
 
-EDGES = "row long, a int, sure boolean, h1 long, h2 long"
+EDGES = "row long, a int, sure boolean, core long, whole long"
 
 
 def _windows(batches) -> Iterator[pa.RecordBatch]:
     """The hash of each window of the runs at hand; sure: of a run that is repeated."""
+    name = xxhash.xxh3_64_intdigest
     for batch in batches:
         for row, raw, runs in zip(
             batch.column(0).to_pylist(), as_binary(batch.column(1)), batch.column(2).to_pylist(), strict=True
         ):
-            for at in range(0, len(runs), 3):
-                sure = bool(runs[at + 2])
-                yield _batch([(row, p, sure, *_wide(raw, p, p + LENGTH)) for p in range(runs[at], runs[at + 1] + 1)], EDGES)
+            for at in range(0, len(runs), 4):
+                a, b, sure, core = runs[at : at + 4]
+                yield _batch([(row, p, bool(sure), core, name(raw[p : p + LENGTH]) - _SIGN) for p in range(a, b + 1)], EDGES)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -200,7 +203,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _meet(texts: DataFrame, lists: DataFrame, column: str, how: str = "inner") -> DataFrame:
     """texts with their list of whole numbers, broadcast if all lists together are small enough."""
-    size = lists.agg(F.sum(F.size(column) * 4 + 40).alias("n")).first()["n"] or 0
+    size = lists.agg(F.sum(F.size(column) * 8 + 40).alias("n")).first()["n"] or 0
     return texts.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "row", how)
 
 
@@ -208,21 +211,33 @@ def _listed(df: DataFrame, *columns: Column) -> DataFrame:
     return df.groupBy("row").agg(F.flatten(F.collect_list(F.array(*columns))).alias("list"))
 
 
+def _merged(windows: DataFrame) -> DataFrame:
+    """row, a, b: windows a to b of a row, those that touch merged."""
+    ahead = W.partitionBy("row").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
+    begun = W.partitionBy("row").orderBy("a", "b")
+    starts = windows.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(ahead) + 1, F.lit(True)).cast("int"))
+    return starts.withColumn("g", F.sum("new").over(begun)).groupBy("row", "g").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+
+
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """texts: (row, raw). row and a list of [first, last] windows of LENGTH bytes that start elsewhere too."""
     long = texts.where(F.length("raw") >= LENGTH).select("row", "raw")
     phrases = materialized(long.mapInArrow(_phrases, PHRASES))
     runs = materialized(_meet(long, doubled(phrases), "ranges").select("row", "raw", "ranges").mapInArrow(_runs, RUNS))
-    whole = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("row", "a", "b", "first")).alias("one"))
-    whole = materialized(whole)
-    known = runs.join(whole.where("n > 1").select("h1", "h2"), ["h1", "h2"], "left_semi")
-    open_ = whole.where("n = 1").select("one.*")
-    copies = whole.where("n > 1").select("one.*").join(open_.select("first").distinct(), "first", "left_semi")
-    asked = open_.withColumn("sure", F.lit(0)).unionByName(copies.withColumn("sure", F.lit(1)))
-    lists = materialized(_listed(asked, F.col("a"), F.col("b"), F.col("sure")))
+    cores = runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    wholes = materialized(runs.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("row").alias("row")))
+    twice, once = wholes.where("n > 1"), wholes.where("n = 1").join(cores, "core", "left_semi")
+    known = runs.join(twice.select("core", "whole"), ["core", "whole"], "left_semi")
+    left = materialized(once.select("core", "whole", "row", F.lit(0).alias("sure")))
+    copies = twice.join(left.select("core").distinct(), "core", "left_semi").select("core", "whole", "row", F.lit(1).alias("sure"))
+    asked = runs.join(left.unionByName(copies), ["core", "whole", "row"]).groupBy("row", "core", "whole", "sure").agg(
+        F.min(F.struct("a", "b")).alias("one")
+    )
+    fields = [F.col(c).cast("long") for c in ("one.a", "one.b", "sure", "core")]
+    lists = materialized(_listed(asked, *fields))
     edges = materialized(_meet(long, lists, "list").select("row", "raw", "list").mapInArrow(_windows, EDGES))
-    found = _repeated(edges, "h1", "h2").where("not sure").select("row", "a", F.col("a").alias("b"))
-    return materialized(_listed(known.select("row", "a", "b").unionByName(found), F.col("a"), F.col("b")))
+    found = _repeated(edges, "core", "whole").where("not sure").select("row", "a", F.col("a").alias("b"))
+    return materialized(_listed(_merged(known.select("row", "a", "b").unionByName(found)), F.col("a"), F.col("b")))
 
 
 def spans_of(windows: list[int] | None) -> list[tuple[int, int]]:
