@@ -1,0 +1 @@
+"""Data-selection analytics for object detection on Spark."""
