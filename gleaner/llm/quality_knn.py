@@ -33,6 +33,7 @@ from .common import as_binary
 TERMS = 4096
 DIMENSIONS = 64
 SAMPLE_PER_LABEL = 1500
+ROUNDS = 6
 NEIGHBOURS = 15
 SHARPNESS = 8.0
 CUT = 0.7
@@ -116,12 +117,15 @@ def fit(sample: list[tuple[str, int]], idf: np.ndarray) -> Model | None:
         return None
     terms = Terms()
     weighted = _weights([terms.counts(text) for text, _ in sample], idf).astype(np.float64)
-    # The right singular vectors, from the smaller of the two Gram matrices.
-    gram = weighted @ weighted.T
-    values, left = np.linalg.eigh(gram)
+    # Subspace iteration for the leading right singular vectors; a full decomposition would take a minute.
+    rng = np.random.default_rng(0)
+    basis = np.linalg.qr(weighted.T @ (weighted @ rng.normal(size=(TERMS, DIMENSIONS + 16))))[0]
+    for _ in range(ROUNDS):
+        basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
+    small = weighted @ basis
+    values, turn = np.linalg.eigh(small.T @ small)
     top = np.argsort(values)[::-1][:DIMENSIONS]
-    top = top[values[top] > 1e-9]
-    projection = (weighted.T @ left[:, top] / np.sqrt(values[top])).astype(np.float32)
+    projection = (basis @ turn[:, top[values[top] > 1e-9]]).astype(np.float32)
     return Model(idf, projection, _unit(weighted.astype(np.float32) @ projection), np.array([y for _, y in sample], float))
 
 
