@@ -77,7 +77,7 @@ class Terms:
     """Counts of hashed terms. Cells of a bounded number of words are kept."""
 
     def __init__(self):
-        self.cells: dict[str, tuple[int, int]] = {}
+        self.cells: dict[str, int] = {}  # the word's cell x TERMS + its shape's
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct cells and their counts."""
@@ -86,10 +86,12 @@ class Terms:
         if len(cells) > CACHED_WORDS:
             cells.clear()
         for w in set(words).difference(cells):
-            cells[w] = cell("w:" + w[:60].lower()), cell("s:" + shape(w))
-        found = np.array([cells[w] for w in words], np.int64).ravel()
-        own = np.repeat([cell(b) for b in bands(text, words)], max(BAND_WEIGHT, 1))
-        return np.unique(np.r_[found, own].astype(np.int64), return_counts=True)
+            cells[w] = cell("w:" + w[:60].lower()) * TERMS + cell("s:" + shape(w))
+        both = np.fromiter(map(cells.__getitem__, words), np.int64, len(words))
+        own = np.repeat(np.array([cell(b) for b in bands(text, words)], np.int64), BAND_WEIGHT)
+        n = np.bincount(np.r_[both // TERMS, both % TERMS, own], minlength=TERMS)
+        found = np.flatnonzero(n)
+        return found, n[found]
 
 
 @dataclass
