@@ -39,7 +39,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by how much more they are like those of good quality than like the corpus."""
     docs = read_table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.labelled_target(docs, read_table(spark, sf_dir, "labels")))
+    return lm_score.score(docs, lm_score.labelled_ids(read_table(spark, sf_dir, "labels")))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

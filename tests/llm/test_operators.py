@@ -271,6 +271,10 @@ def test_lm_score(spark, docs, sf, odd, empty):
     for i, ws in rows.items():
         assert got[i].n_tokens == len(ws)
         assert got[i].loss_target == pytest.approx(a(ws), rel=1e-5) and got[i].score == pytest.approx(b(ws) - a(ws), abs=1e-5)
+    by_ids = lm_score.score(docs, lm_score.labelled_ids(spark.read.parquet(f"{sf}/labels.parquet")), words, heads)
+    assert sorted(map(tuple, by_ids.collect())) == sorted(map(tuple, got.values()))
+    assert lm_score.score(odd, odd.select("doc_id")).count() == odd.count()
+    assert lm_score.score(empty, empty.select("doc_id")).count() == 0
     assert lm_score.score(odd, odd.select("text").limit(3)).count() == odd.count()
     assert lm_score.score(empty, empty.select("text")).count() == 0
     assert lm_score.score(docs, empty.select("text")).where("score is null").count() == 0
