@@ -33,6 +33,8 @@ from .common import as_binary
 TERMS = 4096
 DIMENSIONS = 64
 SAMPLE_PER_LABEL = 1500
+#: Hashes are counted in 2 ** RANGE_BITS ranges a label.
+RANGE_BITS = 12
 ROUNDS = 6
 NEIGHBOURS = 15
 SHARPNESS = 8.0
@@ -167,10 +169,18 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> list[tuple[str, int]]:
     """At most per_label documents of each label, the first by a hash of the id. The ids are chosen before any text
-    is read, so the join has a bounded side."""
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
-    order = W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("doc_id", "y")
+    is read, so the join has a bounded side. A histogram of the hashes tells which of their ranges hold the first
+    per_label rows, so that only about as many are sorted in one task, however many labels there are."""
+    known = labels.where("doc_id is not null and quality is not null").select(
+        "doc_id", F.col("quality").cast("int").alias("y"), F.xxhash64("doc_id").alias("h")
+    )
+    ranged = known.withColumn("range", F.shiftright("h", 64 - RANGE_BITS))
+    before = F.sum("n").over(W.partitionBy("y").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    sizes = ranged.groupBy("y", "range").agg(F.count("*").alias("n"))
+    first = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < per_label).select("y", "range")
+    order = W.partitionBy("y").orderBy("h", "doc_id")
+    near = ranged.join(F.broadcast(first), ["y", "range"])
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("doc_id", "y")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return sorted((r.text, r.y) for r in texts.join(F.broadcast(chosen), "doc_id").select("text", "y").toLocalIterator())
 
