@@ -5,7 +5,7 @@ language that mostly has the word in the training sample, and how strongly), has
 transitions between the languages of neighbouring words are learned. Forward-backward gives each word's distribution
 over the languages; a document's distribution is the mean over its words.
 
-Training takes a bounded sample: `DOCS_PER_LANGUAGE` documents of each language, the first by a hash of the text. From
+Training takes a bounded sample: `DOCS_PER_LANGUAGE` texts of each language, the first by a hash of the text. From
 them segments of words are cut, and segments of different languages are spliced to code-switched sequences, so that
 the transitions see switches at the rate `SWITCH_RATE`. The chain is fitted by AdaGrad on the exact gradient of the
 conditional log-likelihood. Prediction uses whole texts; long ones are run in blocks whose transfer matrices are
@@ -271,10 +271,15 @@ class Tagger:
 
 
 def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most per_language documents of each language, the first by a hash of the text."""
+    """At most per_language different texts of each language, the first by a hash of the text, so that copies do not
+    crowd out others (of two texts with one hash both are taken). Only hashes are ranked, and each task sends at most
+    per_language of a language to its ranking; texts are read once the bounded list of hashes is known."""
     known = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    first = known.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text")))
-    return sorted((r.text, r.lang) for r in first.where(F.col("r") <= per_language).select("text", "lang").toLocalIterator())
+    order = W.partitionBy("lang").orderBy("h")
+    ranked = known.select("lang", "h").distinct().withColumn("r", F.row_number().over(order))
+    chosen = ranked.where(F.col("r") <= per_language).select("lang", "h")
+    texts = known.join(F.broadcast(chosen), ["lang", "h"]).select("text", "lang").distinct()
+    return sorted((r.text, r.lang) for r in texts.toLocalIterator())
 
 
 _taggers: dict[str, Tagger] = {}

@@ -132,6 +132,20 @@ def test_languages_switch(docs):
     assert abs(mean[chain.languages.index("en")] - 0.5) < 0.1 and abs(mean[chain.languages.index("de")] - 0.5) < 0.1
 
 
+def test_languages_sample(spark, docs):
+    by_lang = {}
+    for r in docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h")).collect():
+        by_lang.setdefault(r.lang, {})[r.h] = r.text
+    want = sorted((texts[h], lang) for lang, texts in by_lang.items() for h in sorted(texts)[:20])
+    hot = docs.where("text is not null and lang is not null").limit(1)
+    for _ in range(6):
+        hot = hot.union(hot)
+    assert langid.training_sample(docs, 20) == want == langid.training_sample(docs.union(hot), 20)
+    odd = spark.createDataFrame([(None, "en"), ("a", None), ("b", "en"), ("b", "de"), ("b", "en"), ("", "fr")], "text string, lang string")
+    assert langid.training_sample(odd) == [("", "fr"), ("b", "de"), ("b", "en")]
+    assert langid.training_sample(odd.limit(0)) == []
+
+
 def test_languages_odd(odd, empty, docs):
     got = {(r.doc_id, r.lang_pred) for r in langid.identify_languages(odd, docs).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (4, "und")} <= got and (5, "und") not in got
