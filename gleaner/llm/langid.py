@@ -43,6 +43,8 @@ EPOCHS = 4
 RATE = 0.3
 DECAY = 1e-6
 BLOCK = 64
+#: Positions between two rescalings of the states within a block.
+RESCALE = 4
 CACHED_WORDS = 400_000
 
 LETTER_WORD = re.compile(r"[^\W\d_]+")
@@ -200,73 +202,93 @@ class Tagger:
         self.rows: dict[str, int] = {}
         self.table = np.empty((1024, self.k))
 
-    def _ids(self, words: list[str]) -> list[int]:
+    def _ids(self, words: list[str]) -> list[int | None]:
         rows = self.rows
-        if len(rows) > CACHED_WORDS:
-            rows.clear()
+        ids = list(map(rows.get, words))
+        if None not in ids:
+            return ids
         for w in set(words).difference(rows):
             if len(rows) == len(self.table):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
             score = self.chain.emission(w)
             self.table[len(rows)] = np.exp(score - score.max())
             rows[w] = len(rows)
-        return [rows[w] for w in words]
+        return list(map(rows.get, words))
 
     def means(self, texts: list[list[str]]) -> np.ndarray:
-        """Mean posterior over the words of each text; every text has words."""
+        """Mean posterior over the words of each text; every text has words.
+
+        Blocks are ordered by their length, the longest first, so that at each position those that go on are the first
+        ones. Sums over states are products with `ones`; scales cancel out, so states are rescaled now and then only."""
+        if len(self.rows) > CACHED_WORDS:
+            self.rows.clear()
         k, step = self.k, self.step
+        ones = np.ones((k, k))
         lengths = np.array([len(t) for t in texts])
         blocks = -(-lengths // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
         first = np.r_[0, np.cumsum(blocks)[:-1]]
-        # Blocks x positions x states; padding has emission one everywhere and is left out of the means.
-        e = np.ones((len(owner), BLOCK, k))
-        real = np.zeros((len(owner), BLOCK), bool)
-        for i, words in enumerate(texts):
-            at = first[i]
-            ids = self._ids(words)  # may lay out a larger table
-            rows = self.table[np.array(ids)]
-            e[at : at + blocks[i]].reshape(-1, k)[: len(words)] = rows
-            real[at : at + blocks[i]].ravel()[: len(words)] = True
-        opening = np.zeros(len(owner), bool)
-        opening[first] = True
-        # What a block does to the states: rows are the states before it. Padding leaves them as they are.
-        whole = np.broadcast_to(np.eye(k), (len(owner), k, k)).copy()
-        for i in range(BLOCK):
-            move = whole @ step if i else np.where(opening[:, None, None], whole, whole @ step)
-            move = move * e[:, i, None, :]
-            whole = np.where(real[:, i, None, None], move / move.sum(axis=(1, 2), keepdims=True), whole)
-        before, after = np.empty((len(owner), k)), np.ones((len(owner), k))
+        sizes = np.full(len(owner), BLOCK)
+        sizes[first + blocks - 1] = lengths - (blocks - 1) * BLOCK
+        order = np.argsort(-sizes, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        going = len(order) - np.searchsorted(np.sort(sizes), np.arange(BLOCK), "right")
+
+        ids = np.fromiter((i for words in texts for i in self._ids(words)), np.int64, lengths.sum())
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        e = np.empty((BLOCK, len(order), k))
+        e[place % BLOCK, rank[np.repeat(first, lengths) + place // BLOCK]] = self.table[ids]
+        opening = rank[first]
+
+        # What a block does to the states: rows are the states before it.
+        whole = np.broadcast_to(step, (len(order), k, k)).copy()
+        whole[opening] = np.eye(k)
+        for i, m in enumerate(going):
+            own = whole[:m]
+            if i:
+                own = (own.reshape(-1, k) @ step).reshape(m, k, k)
+            own = own * e[i, :m, None, :]
+            if i % RESCALE == RESCALE - 1:
+                own /= own.sum(axis=(1, 2), keepdims=True)
+            whole[:m] = own
+        whole /= whole.sum(axis=(1, 2), keepdims=True)
+
+        before, after = np.empty((len(order), k)), np.ones((len(order), k))
         state = np.broadcast_to(np.exp(self.chain.start - self.chain.start.max()), (len(texts), k)).copy()
         back = np.ones((len(texts), k))
         for j in range(blocks.max()):
             on = np.flatnonzero(blocks > j)
-            at = first[on] + j
+            at = rank[first[on] + j]
             before[at] = state[on]
             moved = np.einsum("ni,nij->nj", state[on], whole[at])
-            state[on] = moved / moved.sum(axis=1, keepdims=True)
+            state[on] = moved / (moved @ ones)
         for j in range(blocks.max() - 1, -1, -1):
             on = np.flatnonzero(blocks > j)
-            at = first[on] + j
+            at = rank[first[on] + j]
             after[at] = back[on]
             moved = np.einsum("nij,nj->ni", whole[at], back[on])
-            back[on] = moved / moved.sum(axis=1, keepdims=True)
+            back[on] = moved / (moved @ ones)
+
         alpha = np.empty_like(e)
-        state = before
-        for i in range(BLOCK):
-            move = state @ step if i else np.where(opening[:, None], state, state @ step)
-            move = move * e[:, i]
-            state = np.where(real[:, i, None], move / move.sum(axis=1, keepdims=True), state)
-            alpha[:, i] = state
-        sums = np.zeros((len(owner), k))
+        state = before @ step
+        state[opening] = before[opening]
+        for i, m in enumerate(going):
+            state = (state[:m] @ step if i else state) * e[i, :m]
+            if i % RESCALE == RESCALE - 1:
+                state /= state @ ones
+            alpha[i, :m] = state
+        sums = np.zeros((len(order), k))
         for i in range(BLOCK - 1, -1, -1):
-            both = alpha[:, i] * after
-            sums += np.where(real[:, i, None], both / both.sum(axis=1, keepdims=True), 0)
-            back = (e[:, i] * after) @ step.T
-            back = np.where(real[:, i, None], back / back.sum(axis=1, keepdims=True), after)
-            after = back
+            m = going[i]
+            both = alpha[i, :m] * after[:m]
+            sums[:m] += both / (both @ ones)
+            back = (e[i, :m] * after[:m]) @ step.T
+            if i % RESCALE == 0:
+                back /= back @ ones
+            after[:m] = back
         total = np.zeros((len(texts), k))
-        np.add.at(total, owner, sums)
+        np.add.at(total, owner, sums[rank])
         return total / lengths[:, None]
 
 
