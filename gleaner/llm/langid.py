@@ -21,7 +21,7 @@ import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass
-from zlib import crc32
+from itertools import chain as joined
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,9 @@ BLOCK = 64
 #: Positions between two rescalings of the states within a block.
 RESCALE = 4
 CACHED_WORDS = 400_000
+WORDS_AT_A_TIME = 10_000
+WORD_CUT = 40
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 LETTER_WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,12 +58,31 @@ def letter_words(text: str | None) -> list[str]:
     return LETTER_WORD.findall(text.lower()) if text else []
 
 
-def surface_cells(word: str) -> list[int]:
-    """Hashed cells of the word's affixes and n-grams, and one for the bias."""
-    w = f"^{word[:40]}$"
-    grams = {f"n{w[i : i + n]}" for n in (2, 3, 4) for i in range(len(w) - n + 1)}
-    grams |= {f"p{word[:n]}" for n in (1, 2, 3)} | {f"s{word[-n:]}" for n in (1, 2, 3)}
-    return [0, *sorted(1 + crc32(g.encode()) % (CELLS - 1) for g in grams)]
+def surface_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed cells of each word's affixes and n-grams, repeats included, and cell 0 for the bias; all in one array, word
+    by word, and the number of each word's. Hashes of n letters grow from those of one less, for all words at once."""
+    codes = np.frombuffer("".join([f"^{w[:WORD_CUT]}$" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([min(len(w), WORD_CUT) + 2 for w in words])
+    ends, each = np.cumsum(sizes), np.arange(len(words))
+    owner = np.repeat(each, sizes)
+    left = ends[owner] - np.arange(len(codes))  # letters from here to the word's end
+    owners, hashes = [each], []
+    grams = codes
+    for n in (1, 2, 3, 4):
+        if n > 1:
+            grams = grams[:-1] * MULTIPLIER + codes[n - 1 :]
+            inside = left[: len(grams)] >= n
+            owners.append(owner[: len(grams)][inside])
+            hashes.append(grams[inside] + np.uint64(n))
+        if n < 4:
+            long = np.flatnonzero(sizes - 2 >= n)
+            owners += [long, long]
+            hashes += [grams[(ends - sizes)[long] + 1] + np.uint64(10 + n), grams[ends[long] - 1 - n] + np.uint64(20 + n)]
+    mixed = np.concatenate(hashes) * MULTIPLIER
+    mixed = ((mixed ^ (mixed >> np.uint64(29))) * MULTIPLIER) >> np.uint64(32)
+    cells = np.concatenate([np.zeros(len(words), np.int64), 1 + (mixed % np.uint64(CELLS - 1)).astype(np.int64)])
+    owner = np.concatenate(owners)
+    return cells[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
 @dataclass
@@ -74,11 +96,14 @@ class Chain:
     transitions: np.ndarray
     start: np.ndarray
 
-    def emission(self, word: str) -> np.ndarray:
-        cells = surface_cells(word)
-        out = self.cells[cells].sum(axis=0) / np.sqrt(len(cells))
-        known = self.lexicon.get(word)
-        return out if known is None else out + self.lexicon_weight * known
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """The score of each word, at least one, by state."""
+        cells, counts = surface_cells(words)
+        out = np.add.reduceat(self.cells[cells], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None]
+        for i, w in enumerate(words):
+            if (known := self.lexicon.get(w)) is not None:
+                out[i] += self.lexicon_weight * known
+        return out
 
 
 def _lexicon(docs: list[tuple[list[str], int]], k: int) -> dict[str, np.ndarray]:
@@ -153,10 +178,8 @@ def fit(sample: list[tuple[str, str]], seed: int = 0) -> Chain | None:
     vocabulary: dict[str, int] = {}
     ids = np.array([[vocabulary.setdefault(w, len(vocabulary)) for w in s] for s in sequences])
     gold = np.array(golds)
-    cells = [surface_cells(w) for w in vocabulary]
-    counts = np.array([len(c) for c in cells])
-    flat, owner = np.concatenate(cells), np.repeat(np.arange(len(cells)), counts)
-    value = (1 / np.sqrt(counts))[owner]
+    flat, counts = surface_cells(list(vocabulary))
+    value = np.repeat(1 / np.sqrt(counts), counts)
     known = np.array([lexicon.get(w, np.zeros(k)) for w in vocabulary])
 
     chain = Chain(languages, np.zeros((CELLS, k)), lexicon, np.full(k, 0.1), np.zeros((k, k)), np.zeros(k))
@@ -202,26 +225,27 @@ class Tagger:
         self.rows: dict[str, int] = {}
         self.table = np.empty((1024, self.k))
 
-    def _ids(self, words: list[str]) -> list[int | None]:
+    def _ids(self, texts: list[list[str]]) -> np.ndarray:
+        """The row of the table of each word, all texts in one array."""
         rows = self.rows
-        ids = list(map(rows.get, words))
-        if None not in ids:
-            return ids
-        for w in set(words).difference(rows):
-            if len(rows) == len(self.table):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            score = self.chain.emission(w)
-            self.table[len(rows)] = np.exp(score - score.max())
-            rows[w] = len(rows)
-        return list(map(rows.get, words))
+        if len(rows) > CACHED_WORDS:
+            rows.clear()
+        new = list(set(joined.from_iterable(texts)).difference(rows))
+        more = len(rows) + len(new) - len(self.table)
+        if more > 0:
+            self.table = np.concatenate([self.table, np.empty((more + len(self.table), self.k))])
+        for at in range(0, len(new), WORDS_AT_A_TIME):
+            words = new[at : at + WORDS_AT_A_TIME]
+            score = self.chain.emissions(words)
+            self.table[len(rows) : len(rows) + len(words)] = np.exp(score - score.max(axis=1, keepdims=True))
+            rows.update(zip(words, range(len(rows), len(rows) + len(words)), strict=True))
+        return np.fromiter(map(rows.__getitem__, joined.from_iterable(texts)), np.int64, sum(map(len, texts)))
 
     def means(self, texts: list[list[str]]) -> np.ndarray:
         """Mean posterior over the words of each text; every text has words.
 
         Blocks are ordered by their length, the longest first, so that at each position those that go on are the first
         ones. Sums over states are products with `ones`; scales cancel out, so states are rescaled now and then only."""
-        if len(self.rows) > CACHED_WORDS:
-            self.rows.clear()
         k, step = self.k, self.step
         ones = np.ones((k, k))
         lengths = np.array([len(t) for t in texts])
@@ -235,7 +259,7 @@ class Tagger:
         rank[order] = np.arange(len(order))
         going = len(order) - np.searchsorted(np.sort(sizes), np.arange(BLOCK), "right")
 
-        ids = np.fromiter((i for words in texts for i in self._ids(words)), np.int64, lengths.sum())
+        ids = self._ids(texts)
         place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         e = np.empty((BLOCK, len(order), k))
         e[place % BLOCK, rank[np.repeat(first, lengths) + place // BLOCK]] = self.table[ids]

@@ -107,7 +107,7 @@ def test_forward_backward_blocks():
     rng = np.random.default_rng(1)
     chain = langid.Chain(["a", "b", "c"], np.zeros((langid.CELLS, 3)), {}, np.zeros(3), rng.normal(size=(3, 3)), rng.normal(size=3))
     words = {f"w{chr(97 + i)}": rng.normal(size=3) for i in range(20)}
-    chain.emission = lambda w: words[w]
+    chain.emissions = lambda ws: np.array([words[w] for w in ws])
     texts = [[f"w{chr(97 + int(rng.integers(20)))}" for _ in range(n)] for n in (1, 3, 64, 65, 200)]
     got = langid.Tagger(chain).means(texts)
     for text, mean in zip(texts, got, strict=True):
@@ -132,6 +132,19 @@ def test_languages_switch(docs):
     assert abs(mean[chain.languages.index("en")] - 0.5) < 0.1 and abs(mean[chain.languages.index("de")] - 0.5) < 0.1
 
 
+def test_surface_cells():
+    """Equal words have equal cells in any company; the counts are those of the affixes, the n-grams and the bias."""
+    words = ["a", "of", "straße", "x" * 5000, "of", "ümläut"]
+    cells, counts = langid.surface_cells(words)
+    parts = np.split(cells, np.cumsum(counts)[:-1])
+    for w, part in zip(words, parts, strict=True):
+        n = min(len(w), langid.WORD_CUT)
+        assert len(part) == 1 + 2 * min(3, n) + sum(max(0, n + 3 - g) for g in (2, 3, 4))
+        assert part.tolist() == langid.surface_cells([w])[0].tolist() and part[0] == 0 and part.max() < langid.CELLS
+    affixes = langid.surface_cells(["abcx"])[0], langid.surface_cells(["abcyz"])[0]
+    assert len(set(affixes[0]) & set(affixes[1])) >= 3
+
+
 def test_languages_sample(spark, docs):
     by_lang = {}
     for r in docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h")).collect():
