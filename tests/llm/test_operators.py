@@ -307,6 +307,46 @@ def test_lm_score(spark, docs, sf, odd, empty):
     assert lm_score.score(docs, empty.select("text")).where("score is null").count() == 0
 
 
+def test_lm_score_whole(spark, docs, sf, odd, empty, monkeypatch):
+    """By default all words and bigrams of the corpus count, the rarest as well, however they are dealt."""
+    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 5_000)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    target = lm_score.labelled_target(docs, labels)
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    rows = {r.doc_id: tokens(r.text) for r in docs.collect()}
+    different = len({w for ws in rows.values() for w in ws})
+
+    def model(many):
+        words, firsts, pairs = Counter(), Counter(), Counter()
+        for ws in many:
+            words.update(ws)
+            firsts.update([None, *ws][: len(ws)])
+            pairs.update(zip([None, *ws], ws, strict=False))
+
+        def loss(ws):
+            out = 0
+            for a, b in zip([None, *ws], ws, strict=False):
+                u = (words[b] + 1) / (words.total() + different + 2)
+                out -= math.log(0.7 * (pairs[a, b] / firsts[a] if firsts[a] else u) + 0.3 * u)
+            return out / len(ws) if ws else 0
+
+        return loss
+
+    a, b = model([tokens(r.text) for r in target.collect()]), model(rows.values())
+    for aim in (target, lm_score.labelled_ids(labels)):
+        got = lm_score.score(docs, aim).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            want = a(rows[r.doc_id]), b(rows[r.doc_id])
+            assert r.n_tokens == len(rows[r.doc_id]) and (r.loss_target, r.loss_background) == pytest.approx(want)
+    other = spark.createDataFrame([("never seen before, only here",), (None,)], "text string")
+    seen = lm_score.score(docs, other).where("n_tokens > 0").first()
+    assert seen.loss_target == pytest.approx(model([tokens("never seen before, only here")])(rows[seen.doc_id]))
+    assert lm_score.score(odd, odd.select("doc_id")).count() == odd.count() == lm_score.score(odd, odd.select("text")).count()
+    assert lm_score.score(empty, empty.select("doc_id")).count() == 0 == lm_score.score(empty, empty.select("text")).count()
+    assert lm_score.score(docs, empty.select("text")).where("score is null").count() == 0
+
+
 # --- 6: near-duplicates
 
 
