@@ -9,7 +9,8 @@ Training takes a bounded sample: `DOCS_PER_LANGUAGE` texts of each language, the
 them segments of words are cut, and segments of different languages are spliced to code-switched sequences, so that
 the transitions see switches at the rate `SWITCH_RATE`. The chain is fitted by AdaGrad on the exact gradient of the
 conditional log-likelihood. Prediction uses whole texts; long ones are run in blocks whose transfer matrices are
-chained, which gives the same result as one long pass.
+chained, which gives the same result as one long pass. A run of letters longer than `WORD_CUT`, as in text without
+spaces, is several positions of at most that many letters; no letter is left out, but n-grams do not span two positions.
 
 Defined results: null texts and texts without a letter get `und` and score 0; without training rows every text does.
 Rows without a language are never trained on. Repeated rows are predicted alike.
@@ -50,11 +51,11 @@ WORDS_AT_A_TIME = 10_000
 WORD_CUT = 40
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-LETTER_WORD = re.compile(r"[^\W\d_]+")
+LETTER_WORD = re.compile(rf"[^\W\d_]{{1,{WORD_CUT}}}")
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
+    """Runs of letters, in lower case; a run of more than WORD_CUT letters is as many words as it takes."""
     return LETTER_WORD.findall(text.lower()) if text else []
 
 

@@ -57,7 +57,7 @@ def shape(word: str) -> str:
         c = run[0]
         return "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "9" if c.isdigit() else "x" if c > "\x7f" else c
 
-    return "".join(kind(run) for run in SHAPE.findall(word[:60]))
+    return "".join(kind(run) for run in SHAPE.findall(word))
 
 
 def bands(text: str, words: list[str]) -> list[str]:
@@ -88,7 +88,7 @@ class Terms:
         if len(cells) > CACHED_WORDS:
             cells.clear()
         for w in set(words).difference(cells):
-            cells[w] = cell("w:" + w[:60].lower()) * TERMS + cell("s:" + shape(w))
+            cells[w] = cell("w:" + w.lower()) * TERMS + cell("s:" + shape(w))
         both = np.fromiter(map(cells.__getitem__, words), np.int64, len(words))
         own = np.repeat(np.array([cell(b) for b in bands(text, words)], np.int64), BAND_WEIGHT)
         n = np.bincount(np.r_[both // TERMS, both % TERMS, own], minlength=TERMS)

@@ -145,6 +145,15 @@ def test_surface_cells():
     assert len(set(affixes[0]) & set(affixes[1])) >= 3
 
 
+def test_long_runs():
+    """No letter of a run without spaces is left out."""
+    run = "etwas" * 9 + "word" * 500
+    words = langid.letter_words(f"1{run.upper()}2 end")
+    assert "".join(words[:-1]) == run and words[-1] == "end" and max(map(len, words)) <= langid.WORD_CUT
+    one, other = (set(langid.surface_cells(langid.letter_words("a" * langid.WORD_CUT + tail))[0]) for tail in ("the", "und"))
+    assert one - other and other - one
+
+
 def test_languages_sample(spark, docs):
     by_lang = {}
     for r in docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h")).collect():
@@ -431,6 +440,14 @@ def test_quality(spark, docs, sf, odd, empty):
     assert quality_knn.quality_scores(empty, labels).count() == 0
 
 
+def test_long_tokens():
+    """The whole token makes its word's and its shape's term."""
+    start = "a" * 60
+    assert quality_knn.shape(start + "9Z") == "a9A"
+    counts = [quality_knn.Terms().counts(start + tail)[0].tolist() for tail in ("", "bc", "bd", "9Z")]
+    assert len(set(map(tuple, counts))) == len(counts)
+
+
 # --- 8: main text
 
 
