@@ -47,7 +47,7 @@ PATTERNS = (
     ("email2", "email", r"text rlike '[\\[(] ?at ?[\\])]'", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63}){1,8}"),
     ("phone2", "phone", r"text rlike '[0-9]{3}[)]?[ .-][0-9]{3}[.-][0-9]{4}'", r"(?<![0-9.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"),
     ("ssn", "ssn", r"text rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("name", "name", r"text rlike '(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra|Sr)[.]? [A-Z]'", r"(?<![\p{L}\p{N}])(?<=(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra|Sr)\.? )\p{Lu}[\p{L}'-]{1,30}+(?: \p{Lu}[\p{L}'-]{1,30}+)?+"),
+    ("name", "name", r"text rlike '(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra|Sr)[.]? \\p{Lu}'", r"(?<![\p{L}\p{N}])(?<=(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra|Sr)\.? )\p{Lu}[\p{L}'-]{1,30}+(?: \p{Lu}[\p{L}'-]{1,30}+)?+"),
 )
 CANDIDATE = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
 

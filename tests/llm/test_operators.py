@@ -558,6 +558,14 @@ def test_redaction(spark, odd):
     assert pii.redact(odd).columns == odd.columns
 
 
+def test_name_candidates(spark):
+    """A name of any script's capitals is a candidate without another one in the text."""
+    texts = ["Frau Özdemir kam.", "Bonjour Mme Élodie Îlet", "Mr Smith", "Mr. smith, Herr"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.v for r in pii.candidates(df).select("doc_id", F.col("__more.value").alias("v")).collect()}
+    assert got == {0: ["Özdemir"], 1: ["Élodie Îlet"], 2: ["Smith"], 3: []}
+
+
 def test_expectation_maximisation():
     rng = np.random.default_rng(0)
     counts = Counter()
