@@ -1,15 +1,16 @@
-"""Exact removal of repeated passages by distributed prefix doubling over sampled suffixes.
+"""Exact removal of repeated passages by counted hashes of phrases between sampled anchors.
 
 Removed is each byte that a string of `LENGTH` bytes covers which also starts somewhere else, in any document. Sorting
 every suffix of a corpus is out of reach of a shuffle, so the suffixes are sampled, in a way that equal strings of
 LENGTH bytes sample equally: a position is an anchor if the hash of its GRAM bytes is the least of SPAN neighbouring
 positions. Any LENGTH bytes hold at least two anchors that they alone determine.
 
-1. Doubling. A text falls into phrases from one anchor to the next. The rank of a phrase is its name; Spark sorts
-   (rank, rank of the phrase 1, then 2, further on) pairs at growing offsets and reranks, as in the construction of a
-   suffix array. Phrases whose rank is unique are dropped at once, those left after the threshold are candidates.
-2. Runs. The windows of LENGTH bytes with the same first and last anchor form a run. It is a candidate if the ranked
-   prefixes at both of its ends are, and if its core, the string from the first to the last anchor, occurs in another
+1. Doubling. A text falls into phrases from one anchor to the next. A phrase is named by a hash of its content; the names of
+   it and of the phrase 1, then 2, further on are hashed to one. The offsets grow as in the construction of a suffix
+   array, but nothing is sorted or ranked: names are counted, and those that occur once are dropped at each of LEVELS
+   levels. What is left are candidates.
+2. Runs. The windows of LENGTH bytes with the same first and last anchor form a run. It is a candidate if the phrases
+   at both of its ends are, and if its core, the string from the first to the last anchor, occurs in another
    run. If the run's whole string occurs twice, all its windows are repeated.
 3. Edges. What is left are windows at the ends of repeated passages. They are compared one by one, with each other
    and with one copy of each repeated run that has the same core. Equal strings have equal cores, so all comparisons
