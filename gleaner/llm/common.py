@@ -46,7 +46,17 @@ def materialized(df: DataFrame) -> DataFrame:
     pruned on reading. The table outlives lost executors and goes with the folder."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.gleaner_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialized` that nothing reads any more; what was made of them must be written by now."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.gleaner_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -1,26 +1,31 @@
-"""Exact removal of repeated passages by counted hashes of phrases between sampled anchors.
-
-Removed is each byte that a string of `LENGTH` bytes covers which also starts somewhere else, in any document. Sorting
-every suffix of a corpus is out of reach of a shuffle, so the suffixes are sampled, in a way that equal strings of
-LENGTH bytes sample equally: a position is an anchor if the hash of its GRAM bytes is the least of SPAN neighbouring
-positions. Any LENGTH bytes hold at least two anchors that they alone determine.
-
-1. Doubling. A text falls into phrases from one anchor to the next. A phrase is named by a hash of its content; the names of
-   it and of the phrase 1, then 2, further on are hashed to one. The offsets grow as in the construction of a suffix
-   array, but nothing is sorted or ranked: names are counted, and those that occur once are dropped at each of LEVELS
-   levels. What is left are candidates.
-2. Runs. The windows of LENGTH bytes with the same first and last anchor form a run. It is a candidate if the phrases
-   at both of its ends are, and if its core, the string from the first to the last anchor, occurs in another
+"""Exact removal of repeated passages by prefix doubling over sampled suffixes.
+
+Removed is each byte that a string of `LENGTH` bytes covers which also starts somewhere else, in any document. A shuffle
+can't carry every suffix of a corpus, so the suffixes are sampled, in a way that equal strings sample equally: a position
+is an anchor if the hash of its GRAM bytes is the least of SPAN neighbouring positions. Any WINDOW bytes hold an anchor,
+and any LENGTH bytes at least two, that they alone determine.
+
+1. Copies. Of rows with the same text one takes part in the steps below. The others, and it, are repeated as a whole.
+2. Doubling. Anchors whose GRAM bytes occur once are dropped. A text falls into phrases from one anchor to the next;
+   Spark sorts the phrases' names and ranks them, then sorts the pairs of a position's rank and that of the position 1,
+   2, 4, ... phrases further on and ranks them anew. A position leaves when its pair is unique, or when its phrases are
+   past LENGTH bytes; the doubling ends when none is left. Ranked are the different pairs, counted before the shuffle, so
+   that a phrase which a third of all rows has is one row of the sort; the join that hands ranks back may be split.
+3. Runs. The windows of LENGTH bytes with the same first and last anchor form a run. It is a candidate if the phrases
+   at both of its ends have ranks, and if its core, the string from the first to the last anchor, occurs in another
    run. If the run's whole string occurs twice, all its windows are repeated.
-3. Edges. What is left are windows at the ends of repeated passages. They are compared one by one, with each other
+4. Edges. What is left are windows at the ends of repeated passages. They are compared one by one, with each other
    and with one copy of each repeated run that has the same core. Equal strings have equal cores, so all comparisons
    are of two independent 64-bit hashes, of the string and of its core.
 
-Passages are short lists by document that meet the texts three times, by a broadcast while they are below
+`n_shared_words` tells of passages across documents: the words in strings of PASSAGE words, of WINDOW bytes at least, that
+another document has as well. They are found from the anchors that two texts have, and compared window by window.
+
+Passages are short lists by document that meet the texts a few times, by a broadcast while they are below
 `BROADCAST_BYTES` and by a shuffle beyond. Counting is pre-aggregated; no group of equal strings is gathered.
 
 Defined results: null texts are empty; texts shorter than LENGTH lose nothing; repeated rows repeat each other, so
-they lose all that is long enough; an empty table gives no rows.
+they lose all that is long enough; an empty table gives no rows. Other columns of the documents are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_binary, materialized
+from .common import as_binary, discard, materialized
 
 LENGTH = 400
 GRAM = 64
@@ -43,7 +48,8 @@ SPAN = 128
 #: Bytes of a window of SPAN anchor candidates, and how much further on the last such window of LENGTH bytes begins.
 WINDOW = GRAM + SPAN - 1
 LAST = LENGTH - WINDOW
-LEVELS = 3
+#: Words of a passage that documents share.
+PASSAGE = 51
 BROADCAST_BYTES = 32 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -63,8 +69,8 @@ def gram_hashes(data: np.ndarray, n: int = GRAM) -> np.ndarray:
 CHUNK = 1 << 22
 
 
-def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors, and for each the first window of SPAN candidates whose least it is."""
+def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors, for each the first window of SPAN candidates whose least it is, and its hash."""
     h = gram_hashes(data)
     low = np.uint64((1 << 24) - 1)
     windows = len(h) - SPAN + 1
@@ -78,73 +84,81 @@ def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found.append((least & low).astype(np.int64) + at)
     position = np.concatenate(found)
     new = np.flatnonzero(np.r_[True, position[1:] != position[:-1]])
-    return position[new], new
-
-
-def _each(raw: bytes | None) -> np.ndarray | None:
-    return np.frombuffer(raw, np.uint8) if raw and len(raw) >= LENGTH else None
+    return position[new], new, h[position[new]]
 
 
-PHRASES = "row long, i int, lone boolean, name long"
+PHRASES = "row long, i int, at int, span int, lone boolean, gram long, name long"
 
 
 def _phrases(batches) -> Iterator[pa.RecordBatch]:
-    """row, index and name of each phrase: its bytes, up to the end of the next anchor's; lone: it fills a run."""
+    """Each anchor: row, index, position, name of its GRAM bytes; and of the phrase that begins there: its bytes up to the
+    end of the next anchor's have a name, span is the way to the next anchor, lone tells that it fills a run. The last
+    anchor, and those of texts shorter than LENGTH, have no phrase: span 0."""
     name = xxhash.xxh3_64_intdigest
     for batch in batches:
-        rows, counts, names, lone = [], [], [], [np.empty(0, bool)]
+        parts: list[tuple[np.ndarray, ...]] = []
         for row, raw in zip(batch.column(0).to_pylist(), as_binary(batch.column(1)), strict=True):
-            if (data := _each(raw)) is not None:
-                at, begins = anchors_of(data)
-                ends = np.r_[begins[2:], len(raw) - WINDOW + 1]
-                lone.append(ends - begins[:-1] > LAST)
-                at = at.tolist()
-                names += [name(raw[a : b + GRAM]) for a, b in zip(at, at[1:], strict=False)]
-                rows.append(row)
-                counts.append(len(at) - 1)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array(rows, np.int64), counts)),
-                pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts]) if counts else np.empty(0, np.int32)),
-                pa.array(np.concatenate(lone)),
-                pa.array(np.array(names, np.uint64).view(np.int64)),
-            ],
-            ["row", "i", "lone", "name"],
-        )
+            if len(raw) < WINDOW:
+                continue
+            at, begins, grams = anchors_of(np.frombuffer(raw, np.uint8))
+            n, names, span, lone = len(at), np.zeros(len(at), np.uint64), np.zeros(len(at), np.int32), np.zeros(len(at), bool)
+            if len(raw) >= LENGTH:
+                places = at.tolist()
+                names[:-1] = [name(raw[a : b + GRAM]) for a, b in zip(places, places[1:], strict=False)]
+                span[:-1] = np.diff(at)
+                lone[:-1] = np.r_[begins[2:], len(raw) - WINDOW + 1] - begins[:-1] > LAST
+            parts.append((np.full(n, row, np.int64), np.arange(n, dtype=np.int32), at.astype(np.int32), span, lone, grams.view(np.int64), names.view(np.int64)))
+        if parts:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PHRASES.split(", ")])
 
 
 def _repeated(named: DataFrame, *names: str) -> DataFrame:
-    """The rows whose name occurs twice. Counts are aggregated before the shuffle, and the join may be split."""
-    twice = named.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*names)
+    """The rows whose name occurs twice. Counts are aggregated before the shuffle; the repeated names are a table, so that
+    the join has two plain sides and a hot name's rows may be split."""
+    twice = materialized(named.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*names))
     return named.join(twice, list(names), "left_semi")
 
 
-def _ranges(kept: DataFrame) -> DataFrame:
-    """row, and the kept phrases of each level as ranges: [level, first, last, ...] by row."""
-    # Runs of consecutive indexes share i minus their place among the row's kept ones.
-    place = F.row_number().over(W.partitionBy("row", "level").orderBy("i"))
-    runs = kept.withColumn("g", F.col("i") - place).groupBy("row", "level", "g").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    return runs.groupBy("row").agg(F.flatten(F.collect_list(F.array("level", "a", "b"))).alias("ranges"))
-
-
-def doubled(phrases: DataFrame) -> DataFrame:
-    """row and the phrase ranges whose 1, 2 and 4 phrases are repeated, by levels."""
-    level = materialized(_repeated(phrases, "name"))
-    out = level.where("lone").select("row", F.lit(0).alias("level"), "i")
-    for j in range(1, LEVELS):
-        offset = 1 << (j - 1)
-        later = level.select("row", (F.col("i") - offset).alias("i"), F.col("name").alias("then"))
-        pairs = level.join(later, ["row", "i"]).select("row", "i", F.xxhash64("name", "then").alias("name"))
-        level = materialized(_repeated(pairs, "name"))
-        out = out.union(level.select("row", F.lit(j).alias("level"), "i"))
-    return materialized(_ranges(out))
+def _reranked(level: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys occur twice, with their keys' rank. The different repeated keys are sorted by ranges over all
+    tasks; a rank is the place in that order."""
+    twice = level.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    ordered = twice.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranks = materialized(ordered.withColumn("place", F.monotonically_increasing_id()))
+    out = materialized(level.join(ranks, list(keys)).select("row", "i", "span", "lone", F.col("place").alias("rank")))
+    discard(ranks)
+    return out
 
 
-def _flags(ranges: list[int], level: int, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
+def _stretches(kept: DataFrame, *by: str) -> DataFrame:
+    """kept with `g`: the number of the stretch of neighbouring indexes i that a row falls in."""
+    # Neighbouring indexes share i minus their place among the row's kept ones.
+    place = F.row_number().over(W.partitionBy(*by).orderBy("i"))
+    return kept.withColumn("g", F.col("i") - place)
+
+
+def doubled(anchors: DataFrame) -> DataFrame:
+    """row and the phrase ranges whose 1, 2, 4, ... phrases are repeated: [level, first, last, ...] by row."""
+    tables = [_reranked(anchors.where((F.col("span") > 0) & (F.col("span") + GRAM <= LENGTH)), "name")]
+    out = tables[0].where("lone").select("row", F.lit(0).alias("level"), "i")
+    while not tables[-1].isEmpty():
+        level, offset = tables[-1], 1 << (len(tables) - 1)
+        later = level.select("row", (F.col("i") - offset).alias("i"), F.col("rank").alias("then"), F.col("span").alias("more"))
+        pairs = level.join(later, ["row", "i"]).withColumn("span", F.col("span") + F.col("more")).where(F.col("span") + GRAM <= LENGTH)
+        tables.append(_reranked(pairs.drop("more"), "rank", "then"))
+        out = out.union(tables[-1].select("row", F.lit(len(tables) - 1).alias("level"), "i"))
+    runs = _stretches(out, "row", "level").groupBy("row", "level", "g").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    ranges = materialized(runs.groupBy("row").agg(F.flatten(F.collect_list(F.array("level", "a", "b"))).alias("ranges")))
+    discard(*tables)
+    return ranges
+
+
+def _flags(ranges: list[int], n: int) -> np.ndarray:
+    """By level, whether each of n phrases begins a repeated string of 2 ** level phrases."""
+    out = np.zeros((max(ranges[::3], default=0) + 1, n), bool)
     for at in range(0, len(ranges), 3):
-        if ranges[at] == level:
-            out[ranges[at + 1] : ranges[at + 2] + 1] = True
+        out[ranges[at], ranges[at + 1] : ranges[at + 2] + 1] = True
     return out
 
 
@@ -160,17 +174,17 @@ def _runs(batches) -> Iterator[pa.RecordBatch]:
         for row, raw, ranges in zip(
             batch.column(0).to_pylist(), as_binary(batch.column(1)), batch.column(2).to_pylist(), strict=True
         ):
-            at, begins = anchors_of(np.frombuffer(raw, np.uint8))
+            at, begins, _ = anchors_of(np.frombuffer(raw, np.uint8))
             last = len(raw) - LENGTH
-            level = [_flags(ranges, j, len(at)) for j in range(LEVELS)]
+            level = _flags(ranges, len(at))
             # First and last anchor of each window change at these windows only.
             cuts = np.unique(np.r_[0, begins, begins - LAST, last + 1])
             cuts = cuts[(cuts >= 0) & (cuts <= last + 1)]
             i = np.searchsorted(begins, cuts[:-1], "right") - 1
             k = np.searchsorted(begins, cuts[:-1] + LAST, "right") - 1
-            j = np.minimum(LEVELS - 1, np.log2(np.maximum(1, k - i)).astype(int))
+            j = np.frexp(np.maximum(1, k - i))[1] - 1  # two strings of 2 ** j phrases cover those from i to k
             good = np.zeros(len(i), bool)
-            for x in range(LEVELS):
+            for x in range(len(level)):
                 own = j == x
                 good[own] = level[x][i[own]] & level[x][k[own] - (1 << x)]
             for r in np.flatnonzero(good):
@@ -220,11 +234,11 @@ def _merged(windows: DataFrame) -> DataFrame:
     return starts.withColumn("g", F.sum("new").over(begun)).groupBy("row", "g").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
-    """texts: (row, raw). row and a list of [first, last] windows of LENGTH bytes that start elsewhere too."""
-    long = texts.where(F.length("raw") >= LENGTH).select("row", "raw")
-    phrases = materialized(long.mapInArrow(_phrases, PHRASES))
-    runs = materialized(_meet(long, doubled(phrases), "ranges").select("row", "raw", "ranges").mapInArrow(_runs, RUNS))
+def repeated_windows(long: DataFrame, anchors: DataFrame) -> DataFrame:
+    """long: (row, raw), texts of LENGTH bytes and more, no two alike. row and a list of [first, last] windows of LENGTH
+    bytes that start elsewhere too."""
+    ranges = doubled(anchors)
+    runs = materialized(_meet(long, ranges, "ranges").select("row", "raw", "ranges").mapInArrow(_runs, RUNS))
     cores = runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     wholes = materialized(runs.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("row").alias("row")))
     twice, once = wholes.where("n > 1"), wholes.where("n = 1").join(cores, "core", "left_semi")
@@ -238,11 +252,62 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     lists = materialized(_listed(asked, *fields))
     edges = materialized(_meet(long, lists, "list").select("row", "raw", "list").mapInArrow(_windows, EDGES))
     found = _repeated(edges, "core", "whole").where("not sure").select("row", "a", F.col("a").alias("b"))
-    return materialized(_listed(_merged(known.select("row", "a", "b").unionByName(found)), F.col("a"), F.col("b")))
+    out = materialized(_listed(_merged(known.select("row", "a", "b").unionByName(found)), F.col("a"), F.col("b")))
+    discard(ranges, runs, wholes, left, lists, edges)
+    return out
+
+
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+PASSAGES = "row long, p int, name long"
+
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First positions, and those after the last, of the words `[^\\x20\\x09-\\x0D]+`."""
+    edges = np.diff(np.r_[0, (~SPACE[data]).astype(np.int8), 0])
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
-def spans_of(windows: list[int] | None) -> list[tuple[int, int]]:
-    """The maximal runs of bytes that the windows cover."""
+
+def _passages(batches) -> Iterator[pa.RecordBatch]:
+    """The name of each string of PASSAGE words, of WINDOW bytes at least, around the shared anchors at hand."""
+    name = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for row, raw, spots in zip(
+            batch.column(0).to_pylist(), as_binary(batch.column(1)), batch.column(2).to_pylist(), strict=True
+        ):
+            begin, end = word_bounds(np.frombuffer(raw, np.uint8))
+            if len(begin) < PASSAGE:
+                continue
+            begin, end = begin[: len(begin) - PASSAGE + 1], end[PASSAGE - 1 :]
+            near = np.zeros(len(begin) + 1, np.int64)
+            # From the first string that ends past a stretch's first anchor to the last one that begins before its last.
+            np.add.at(near, np.searchsorted(end, np.array(spots[::2]) + GRAM), 1)
+            np.add.at(near, np.searchsorted(begin, np.array(spots[1::2]), "right"), -1)
+            p = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (end - begin >= WINDOW))
+            names = [name(raw[a:b]) for a, b in zip(begin[p].tolist(), end[p].tolist(), strict=True)]
+            parts.append((np.full(len(p), row, np.int64), p.astype(np.int32), np.array(names, np.uint64).view(np.int64)))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["row", "p", "name"])
+
+
+def shared_words(texts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """texts: (row, raw), no two alike. row and the number of its words in passages that another text has too."""
+    stretches = _stretches(anchors.where("across"), "row").groupBy("row", "g").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    lists = materialized(_listed(stretches, F.col("a"), F.col("b")))
+    windows = materialized(_meet(texts, lists, "list").select("row", "raw", "list").mapInArrow(_passages, PASSAGES))
+    names = windows.groupBy("name").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("name")
+    found = windows.join(materialized(names), "name", "left_semi")
+    ahead = F.lead("p").over(W.partitionBy("row").orderBy("p")) - F.col("p")
+    covered = found.select("row", F.least(F.lit(PASSAGE), F.coalesce(ahead, F.lit(PASSAGE))).alias("n"))
+    out = materialized(covered.groupBy("row").agg(F.sum("n").alias("shared")))
+    discard(lists, windows)
+    return out
+
+
+def spans_of(windows: list[int] | None, size: int, copy: bool) -> list[tuple[int, int]]:
+    """The maximal runs of bytes that the windows cover; all bytes of a copy."""
+    if copy:
+        return [(0, size)] if size >= LENGTH else []
     out: list[list[int]] = []
     pairs = sorted(zip(windows[::2], windows[1::2], strict=True)) if windows else []
     for a, b in pairs:
@@ -258,32 +323,54 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_windows(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, raw (the text's bytes) and list (its repeated windows)."""
-    raw = F.coalesce("text", F.lit("")).cast("binary").alias("raw")
-    texts = materialized(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", raw))
-    return _meet(texts, repeated_windows(texts.select("row", "raw")), "list", "left").select("doc_id", "raw", "list")
+def _with_windows(docs: DataFrame, shared: bool = False) -> DataFrame:
+    """Per document: doc_id, raw (the text's bytes), copy (another row has the same text), list (its repeated windows),
+    shared (its words in passages of other documents, if asked for)."""
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    texts = materialized(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", raw.alias("raw")))
+    keyed = texts.select("row", F.md5("raw").alias("key"), F.length("raw").alias("n"))
+    classes = materialized(keyed.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("many")).where("many > 1").select("key", "first"))
+    members = materialized(keyed.join(classes, "key").select("row", (F.col("row") > F.col("first")).alias("later")))
+    later = members.where("later").select("row", F.array(F.lit(1)).alias("list"))
+    each = _meet(texts.where(F.length("raw") >= WINDOW), later, "list", "left_anti").select("row", "raw")
+    phrases = materialized(each.mapInArrow(_phrases, PHRASES))
+    twice = phrases.groupBy("gram").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")).where("n > 1")
+    grams = materialized(twice.select("gram", (F.col("a") < F.col("b")).alias("across")))
+    anchors = materialized(phrases.join(grams, "gram").drop("gram"))
+    discard(phrases, grams, classes)
+    lists = repeated_windows(each.where(F.length("raw") >= LENGTH), anchors)
+    known = lists.join(members.select("row", F.lit(True).alias("copy")), "row", "full")
+    if shared:
+        known = known.join(shared_words(each, anchors), "row", "full")
+    else:
+        known = known.withColumn("shared", F.lit(0).cast("long"))
+    known = materialized(known.select("row", F.coalesce("list", F.array().cast("array<int>")).alias("list"), F.coalesce("copy", F.lit(False)).alias("copy"), "shared"))
+    discard(anchors, members, lists)
+    return _meet(texts, known, "list", "left").select("doc_id", "raw", "list", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words."""
 
     def measure(batches):
         for batch in batches:
             out = []
-            for raw, windows in zip(as_binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                spans = spans_of(windows)
+            for raw, windows, copy, shared in zip(as_binary(batch.column(1)), *[c.to_pylist() for c in batch.columns[2:]], strict=True):
+                spans = spans_of(windows, len(raw), copy)
                 kept = _cut(raw, spans) if spans else raw
-                out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            n, removed, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
+                if copy and len(raw) >= WINDOW and (n := len(raw.split())) >= PASSAGE:
+                    shared = n
+                out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), shared))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words"],
             )
 
-    found = _with_windows(docs)
+    found = _with_windows(docs, shared=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(measure, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(measure, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -291,7 +378,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            kept = [_cut(raw, spans_of(w)) for raw, w in zip(as_binary(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            cells = zip(as_binary(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            kept = [_cut(raw, spans_of(w, len(raw), copy)) for raw, w, copy in cells]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], ["doc_id", "kept"])
 
     found = _with_windows(docs)

@@ -191,14 +191,33 @@ def brute_removals(texts, length=400):
         yield len(r), len(r) - len(kept), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()
 
 
+def brute_shared_words(texts, size=51, least=191):
+    raws, having = [(t or "").encode() for t in texts], {}
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raws]
+    strings = [[r[w[p][0] : w[p + size - 1][1]] for p in range(len(w) - size + 1)] for r, w in zip(raws, words, strict=True)]
+    for i, own in enumerate(strings):
+        for x in own:
+            having.setdefault(x, set()).add(i)
+    copies = Counter(raws)
+    for r, w, own in zip(raws, words, strings, strict=True):
+        hit = set()
+        for p, x in enumerate(own):
+            if len(x) >= least and len(having[x]) > 1:
+                hit |= set(range(p, p + size))
+        yield len(w) if copies[r] > 1 and len(w) >= size and len(r) >= least else len(hit)
+
+
 def test_removals(spark, docs, odd, empty):
     rng = np.random.default_rng(5)
     shared = "".join(chr(97 + int(x)) for x in rng.integers(0, 4, 900))
     hard = [shared[:500], "z" + shared[:399] + "q", "y" + shared[100:500] + "p", shared[300:700] + shared[299:699], "ab" * 300, "ab" * 300 + "c",
             "e" * 399, "e" * 400, "é" * 250, shared[:450] + "X" + shared[450:]]
+    said = ["".join(chr(97 + int(x)) for x in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(60)]
+    hard += ["Here " + " ".join(said[:51]) + " ends", "There " + " ".join(said[:52]) + "\nstops", " ".join(said[3:53]) + " x", "a b " * 300, "a b " * 299 + "c"]
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5000 + i, t) for i, t in enumerate(hard)] + [(r.doc_id, r.text) for r in odd.collect()]
     got = suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
-    want = [(i, *w) for (i, _), w in zip(rows, brute_removals([t for _, t in rows]), strict=True)]
+    all_texts = [t for _, t in rows]
+    want = [(i, *w, n) for (i, _), w, n in zip(rows, brute_removals(all_texts), brute_shared_words(all_texts), strict=True)]
     key = lambda r: (r[0] is not None, *[x if x is not None else 0 for x in r])
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
     assert suffix_dedup.removals(empty).count() == 0
