@@ -87,13 +87,14 @@ def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return position[new], new, h[position[new]]
 
 
-PHRASES = "row long, i int, at int, span int, lone boolean, gram long, name long"
+PHRASES = "row long, i int, since int, until int, span int, lone boolean, gram long, name long"
 
 
 def _phrases(batches) -> Iterator[pa.RecordBatch]:
-    """Each anchor: row, index, position, name of its GRAM bytes; and of the phrase that begins there: its bytes up to the
-    end of the next anchor's have a name, span is the way to the next anchor, lone tells that it fills a run. The last
-    anchor, and those of texts shorter than LENGTH, have no phrase: span 0."""
+    """Each anchor: row, index, the windows of WINDOW bytes that choose it (since to before until), name of its GRAM bytes;
+    and of the phrase that begins there: its bytes up to the end of the next anchor's have a name, span is the way to the
+    next anchor, lone tells that it fills a run. The last anchor, and those of texts shorter than LENGTH, have no phrase:
+    span 0."""
     name = xxhash.xxh3_64_intdigest
     for batch in batches:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -107,7 +108,7 @@ def _phrases(batches) -> Iterator[pa.RecordBatch]:
                 names[:-1] = [name(raw[a : b + GRAM]) for a, b in zip(places, places[1:], strict=False)]
                 span[:-1] = np.diff(at)
                 lone[:-1] = np.r_[begins[2:], len(raw) - WINDOW + 1] - begins[:-1] > LAST
-            parts.append((np.full(n, row, np.int64), np.arange(n, dtype=np.int32), at.astype(np.int32), span, lone, grams.view(np.int64), names.view(np.int64)))
+            parts.append((np.full(n, row, np.int64), np.arange(n, dtype=np.int32), begins.astype(np.int32), np.r_[begins[1:], len(raw) - WINDOW + 1].astype(np.int32), span, lone, grams.view(np.int64), names.view(np.int64)))
         if parts:
             columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PHRASES.split(", ")])
@@ -268,7 +269,8 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _passages(batches) -> Iterator[pa.RecordBatch]:
-    """The name of each string of PASSAGE words, of WINDOW bytes at least, around the shared anchors at hand."""
+    """The name of each string of PASSAGE words, of WINDOW bytes at least, all anchors of which are shared ones: it lies
+    within one of the stretches at hand."""
     name = xxhash.xxh3_64_intdigest
     for batch in batches:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -279,11 +281,12 @@ def _passages(batches) -> Iterator[pa.RecordBatch]:
             if len(begin) < PASSAGE:
                 continue
             begin, end = begin[: len(begin) - PASSAGE + 1], end[PASSAGE - 1 :]
-            near = np.zeros(len(begin) + 1, np.int64)
-            # From the first string that ends past a stretch's first anchor to the last one that begins before its last.
-            np.add.at(near, np.searchsorted(end, np.array(spots[::2]) + GRAM), 1)
-            np.add.at(near, np.searchsorted(begin, np.array(spots[1::2]), "right"), -1)
-            p = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (end - begin >= WINDOW))
+            first = np.searchsorted(begin, np.array(spots[::2]))
+            last = np.searchsorted(end, np.array(spots[1::2]) + WINDOW - 1, "right")
+            inside = np.zeros(len(begin) + 1, np.int64)
+            np.add.at(inside, first, last > first)
+            np.add.at(inside, last, -(last > first).astype(int))
+            p = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & (end - begin >= WINDOW))
             names = [name(raw[a:b]) for a, b in zip(begin[p].tolist(), end[p].tolist(), strict=True)]
             parts.append((np.full(len(p), row, np.int64), p.astype(np.int32), np.array(names, np.uint64).view(np.int64)))
         if parts:
@@ -292,7 +295,7 @@ def _passages(batches) -> Iterator[pa.RecordBatch]:
 
 def shared_words(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     """texts: (row, raw), no two alike. row and the number of its words in passages that another text has too."""
-    stretches = _stretches(anchors.where("across"), "row").groupBy("row", "g").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    stretches = _stretches(anchors.where("across"), "row").groupBy("row", "g").agg(F.min("since").alias("a"), F.max("until").alias("b"))
     lists = materialized(_listed(stretches, F.col("a"), F.col("b")))
     windows = materialized(_meet(texts, lists, "list").select("row", "raw", "list").mapInArrow(_passages, PASSAGES))
     names = windows.groupBy("name").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("name")
