@@ -1,19 +1,26 @@
 """Main-text extraction by line-block distribution.
 
 The markup is stripped to lines: each block-level element begins a new line, and text that navigation, forms, adverts,
-scripts or other furniture hold leaves an empty line in its place. A line's length is that of its text outside links.
-Lengths are summed over a sliding window of `WINDOW` lines; the main text begins where the sum surges over the page's
-threshold and ends where it dives to zero, and all text lines between such points are kept. Where the page marks its
-article or main element, lines outside of it count as furniture.
+scripts or other furniture hold leaves an empty line in its place. A line's length is that of its text outside links; in
+an article or main element, that of all its text. Lengths are summed over a sliding window of `WINDOW` lines; the main
+text begins where the sum surges over the page's threshold and ends where it dives to zero, and all text lines between
+such points are kept. Where the page marks its article or main element, lines outside of it count as furniture.
+
+Furniture is told by an element's name or by the words of its class, id or role. Within an article or main element, and
+for ids everywhere, all words of a name must be those of furniture (`comments`, `share-buttons`), so that a heading or a
+section whose id is made of its title (`related-work`) stays. The scan goes forward only and takes time in proportion to
+the page.
 
 Defined results: null and empty html give an empty text; a page without any text line too. Malformed markup is read as
 browsers do for the cases that matter here: an end tag closes the elements left open inside its element, a missing end
-tag closes with its parent, an unclosed comment or script runs to the end. Repeated rows are extracted alike.
+tag closes with its parent, an unclosed comment, tag or script runs to the end. Repeated rows are extracted alike.
+Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -30,7 +37,7 @@ SURGE_LEAST, SURGE_MOST = 1, 80
 
 # Fixed names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
 FURNITURE = frozenset(
     "nav footer aside form header menu dialog button select option label fieldset object applet audio video canvas head".split()
 )
@@ -51,9 +58,15 @@ NAMED = frozenset(
     " complementary contentinfo search alert alertdialog".split()
 )
 
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[!?/]?[A-Za-z][^<>]*\Z", re.DOTALL
+#: Words that furniture's names may have besides.
+PARTS = frozenset(
+    "site page main left right top bottom sticky fixed global primary secondary inner outer wrapper container box block"
+    " section area list item items unit slot bar panel links link buttons button icons group row inline body".split()
 )
+
+TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+#: The attributes and the end of a tag. Quotes count after an equals sign only, as in browsers.
+TAG_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 SPLIT_NAME = re.compile(r"[^A-Za-z0-9]+")
@@ -70,31 +83,36 @@ def _named_furniture(name: str, attributes: str, inside: bool) -> bool:
         return False
     if HIDDEN.search(attributes):
         return True
-    if name == "main":
+    if name == "main" or name in HEADINGS:
         return False
-    for _, a, b, c in NAMES.findall(attributes):
-        words = SPLIT_NAME.split(CAMEL.sub("-", a or b or c).lower())
-        for before, word in zip(["", *words], words, strict=False):
-            if word in NAMED and before not in ("with", "has", "no", "without"):
-                if not (word in LAYOUT and (name == "article" or inside and word in ("header", "masthead"))):
-                    return True
+    for kind, a, b, c in NAMES.findall(attributes):
+        for token in (a or b or c).split():
+            words = [w for w in SPLIT_NAME.split(CAMEL.sub("-", token).lower()) if w]
+            if (inside or kind.lower() == "id") and not all(w in NAMED or w in PARTS or w.isdigit() for w in words):
+                continue
+            for before, word in zip(["", *words], words, strict=False):
+                if word in NAMED and before not in ("with", "has", "no", "without"):
+                    if not (word in LAYOUT and (name == "article" or inside and word in ("header", "masthead"))):
+                        return True
     return False
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, length outside links, whether it stands in an article or main element. Furniture is an
-    empty line. White space in a line is one space."""
+    """The page's lines: text, length outside links (of all text in an article or main element), whether it stands in such
+    an element. Furniture is an empty line. White space in a line is one space."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements; whether each is furniture
+    opened: Counter[str] = Counter()  # their names
+    endless: set[str] = set()  # raw elements without an end tag ahead
     furniture, links, mains = 0, 0, 0
 
     def flush(empty: bool = False) -> None:
         nonlocal linked
         if parts:
             if text := " ".join(unescape("".join(parts)).split()):
-                lines.append((text, max(0, len(text) - linked), mains > 0))
+                lines.append((text, len(text) if mains else max(0, len(text) - linked), mains > 0))
             parts.clear()
         linked = 0
         if empty and (not lines or lines[-1][0]):
@@ -107,59 +125,82 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             if name in BLOCKS and not furniture:
                 flush()
             stack.pop()
+            opened[name] -= 1
             furniture -= own
             links -= name == "a"
             mains -= name in MAIN and not own
 
-    at, size = 0, len(html)
+    def close(name: str) -> None:
+        """Close the innermost open element of that name, and all that is open in it."""
+        if opened[name]:
+            depth = len(stack) - 1
+            while stack[depth][0] != name:
+                depth -= 1
+            shut(depth)
+
+    at, size, said = 0, len(html), 0  # said: where the text before the next tag begins
     while at < size:
-        m = TOKEN.search(html, at)
-        stop = m.start() if m else size
-        if stop > at and not furniture:
-            parts.append(html[at:stop])
+        stop = html.find("<", at)
+        m = None
+        if stop >= 0:
+            ending = html.startswith("/", stop + 1)
+            m = TAG_NAME.match(html, stop + 1 + ending)
+            if m is None and not html.startswith(("!", "?", "/"), stop + 1):
+                at = stop + 1  # a lone sign
+                continue
+        else:
+            stop = size
+        if stop > said and not furniture:
+            parts.append(html[said:stop])
             if links:
-                linked += len(" ".join(unescape(html[at:stop]).split()))
-        if m is None:
+                linked += len(" ".join(unescape(html[said:stop]).split()))
+        if stop == size:
+            said = size
             break
-        at = m.end()
-        name = m[2]
-        if name is None:
+        if m is None:
+            comment = html.startswith("<!--", stop)
+            end = html.find("-->" if comment else ">", stop + 2)
+            at = said = size if end < 0 else end + (3 if comment else 1)
             continue
-        name = name.lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    shut(depth)
-                    break
+        rest = TAG_REST.match(html, m.end())
+        at = said = rest.end() if rest else size
+        if rest is None:
+            break
+        name, attributes = m[0].lower(), rest[1]
+        if ending:
+            close(name)
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else size if name in ("script", "style") else at
+            end = None if name in endless else re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(html, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(name)
+                at = size if name in ("script", "style") else at
+            said = at
             continue
         if name in ("br", "hr", "wbr") and not furniture:
             if name == "br":
                 parts.append(" ")
             elif name == "hr":
                 flush()
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         if name == "body":  # the head ends here at the latest
             shut(next((depth for depth, (open_, _) in enumerate(stack) if open_ == "head"), len(stack)))
         if name in CLOSES_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    shut(depth)
-                    break
-                if stack[depth][0] in BLOCKS:
-                    break
-        named = name not in ("html", "body") and _named_furniture(name, m[3], mains > 0)
+            close("p")
+        named = name not in ("html", "body") and _named_furniture(name, attributes, mains > 0)
         own = named or name in FURNITURE and not (name == "header" and mains)  # an article's header holds its headline
         if not furniture and (own or name in BLOCKS):
             flush(own)
         stack.append((name, own))
+        opened[name] += 1
         furniture += own
         links += name == "a"
         mains += name in MAIN and not own
+    if said < size and not furniture:  # after a lone sign
+        parts.append(html[said:])
     flush()
     return lines
 
