@@ -2,10 +2,11 @@
 
 Candidate spans come from patterns. The base patterns (email, ip, card, phone) with their checks are always reported.
 Looser patterns (spelled-out email addresses, national telephone numbers, social security numbers, names after a form
-of address) give candidates that the method decides on: labelers of four sorts vote for, against or abstain,
+of address, and secrets: passwords, tokens and keys, as strings of letters and digits) give candidates that the method
+decides on: labelers of four sorts vote for, against or abstain,
 
     form       the span's own form is that of its kind,
-    gazetteer  a part of it is, or is not, in a list of domains, calling codes, issuers, forenames,
+    gazetteer  a part of it is, or is not, in a list of domains, calling codes, issuers, forenames, beginnings of keys,
     context    the words before it name its kind, or something else that has such numbers,
     border     it stands free, or is part of a longer word or number;
 
@@ -16,8 +17,11 @@ Only DataFrame functions touch the documents: candidates stay arrays in their do
 patterns (at most 3 to the power 4 for each kind) and of features reach the driver, and the fitted numbers go back as
 literals. Positions are code points.
 
+The gazetteers are short fixed lists; a name or a key that none of them has is decided by the other labelers.
+
 Defined results: null and empty texts have no spans; repeated rows are reported alike; spans of several kinds may
-overlap; an added span that overlaps a base span is dropped.
+overlap; an added span that overlaps a base span is dropped. Other columns are kept by `redact`, whatever their names
+(but `__pii_...`), and not read by `report`.
 """
 
 from __future__ import annotations
@@ -32,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import materialized
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "ssn", "name")
+KINDS = (*BASE, "ssn", "name", "secret")
 LABELERS = ("form", "gazetteer", "context", "border")
-THRESHOLD = 0.9
+THRESHOLD = 0.8
 CONTEXT = 40
 
 #: Each pattern: name, kind, a text that must occur for it to match, expression. Runs are possessive and begin where
@@ -44,14 +48,15 @@ PATTERNS = (
     ("ip", "ip", r"text rlike '[0-9][.][0-9]'", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     ("card", "card", r"text rlike '[0-9](?:[ -]?[0-9]){11}'", r"[0-9](?:[ -]?[0-9])++"),
     ("phone", "phone", "contains(text, '+')", r"\+[0-9][ ().0-9-]+[0-9]"),
-    ("email2", "email", r"text rlike '[\\[(] ?at ?[\\])]'", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63}){1,8}"),
+    ("email2", "email", r"text rlike '[\\[(] ?at ?[\\])]'", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++| ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++)++"),
     ("phone2", "phone", r"text rlike '[0-9]{3}[)]?[ .-][0-9]{3}[.-][0-9]{4}'", r"(?<![0-9.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"),
     ("ssn", "ssn", r"text rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("name", "name", r"text rlike '(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra|Sr)[.]? \\p{Lu}'", r"(?<![\p{L}\p{N}])(?<=(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra|Sr)\.? )\p{Lu}[\p{L}'-]{1,30}+(?: \p{Lu}[\p{L}'-]{1,30}+)?+"),
+    ("name", "name", r"text rlike '(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra|Sr)[.]? \\p{Lu}'", r"(?<![\p{L}\p{N}])(?<=(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra|Sr)\.? )\p{Lu}[\p{L}'-]++(?: \p{Lu}[\p{L}'-]++)?+"),
+    ("secret", "secret", r"text rlike '[A-Za-z][0-9]|[0-9][A-Za-z]'", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}+={0,2}"),
 )
 CANDIDATE = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
 
-# Top-level domains, calling codes, first digits of card issuers, forenames.
+# Top-level domains, calling codes, first digits of card issuers, forenames, beginnings of keys.
 DOMAINS = "com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au ch at be se no dk fi pl pt br in jp cn ru"
 CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 64 65 66 81 82 86 90 91 351 352 353 358 380 420"
 ISSUERS = "3 4 5 6"
@@ -59,27 +64,31 @@ FORENAMES = (
     "james mary john anna robert maria michael linda william david richard thomas charles daniel paul mark susan karen"
     " peter hans klaus juan jose carlos luis pierre jean marie claire sophie julia laura emma sarah martin stefan"
 )
+KEYS = "AKIA ASIA AIza ghp_ gho_ ghs_ glpat- sk- sk_ pk_ xoxb- xoxp- eyJ npm_ hf_"
+#: The whole form of keys that some issuers give out.
+ISSUED = r"^(?:A[KS]IA[0-9A-Z]{16}|AIza[A-Za-z0-9_-]{35}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|npm_[A-Za-z0-9]{36})$"
 SAYS = {
     "email": r"e-?mail|mail|contact|address|write|correo|courriel",
     "ip": r"ip|host|server|address|client|from",
     "card": r"card|visa|mastercard|amex|credit|karte|carte|tarjeta|payment",
     "phone": r"phone|tel|telephone|call|mobile|cell|fax|contact|telefon|telefono|t[eé]l",
     "ssn": r"ssn|social|security|taxpayer",
+    "secret": r"password|passwd|passphrase|pwd|secret|token|key|bearer|authorization|credential|contraseña|passwort|kennwort|mot de passe",
     "name": r"dear|contact|sincerely|regards|signed|author|by",
 }
-OTHER = r"version|release|isbn|order|invoice|part|item|model|serial|section|chapter|ref|no|nr|id|build|page"
+OTHER = r"version|release|isbn|order|invoice|part|item|model|serial|section|chapter|ref|no|nr|id|build|page|commit|sha|sha1|sha256|md5|hash|checksum|digest|uuid|etag|revision|file|path|url"
 
 
 def _candidates(name: str, kind: str, guard: str, pattern: str) -> str:
-    """SQL of the pattern's matches with their positions and surroundings. __m and __p: matches, and what is between."""
+    """SQL of the pattern's matches with their positions and surroundings. __pii_m and __pii_p: matches, and what is between."""
     return f"""
-    aggregate(arrays_zip(__m_{name}, __p_{name}, slice(__p_{name}, 2, greatest(1, size(__p_{name})))),
+    aggregate(arrays_zip(__pii_m_{name}, __pii_p_{name}, slice(__pii_p_{name}, 2, greatest(1, size(__pii_p_{name})))),
       named_struct('at', 0, 'all', cast(array() as {CANDIDATE})),
-      (acc, x) -> if(x.__m_{name} is null, acc, named_struct(
-        'at', acc.at + char_length(x.__p_{name}) + char_length(x.__m_{name}),
-        'all', concat(acc.all, array(named_struct('start', acc.at + char_length(x.__p_{name}), 'kind', {KINDS.index(kind)},
-          'end', acc.at + char_length(x.__p_{name}) + char_length(x.__m_{name}), 'value', x.__m_{name},
-          'left', right(x.__p_{name}, {CONTEXT}), 'right', left(x.`2`, {CONTEXT})))))),
+      (acc, x) -> if(x.__pii_m_{name} is null, acc, named_struct(
+        'at', acc.at + char_length(x.__pii_p_{name}) + char_length(x.__pii_m_{name}),
+        'all', concat(acc.all, array(named_struct('start', acc.at + char_length(x.__pii_p_{name}), 'kind', {KINDS.index(kind)},
+          'end', acc.at + char_length(x.__pii_p_{name}) + char_length(x.__pii_m_{name}), 'value', x.__pii_m_{name},
+          'left', right(x.__pii_p_{name}, {CONTEXT}), 'right', left(x.`2`, {CONTEXT})))))),
       acc -> acc.all)"""
 
 
@@ -117,23 +126,23 @@ def _valid(x: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs with `__base` and `__more`: the base spans, and the candidates that touch none of them."""
-    text = docs.withColumn("__text", F.coalesce("text", F.lit("")))
+    """docs with `__pii_base` and `__pii_more`: the base spans, and the candidates that touch none of them."""
+    text = docs.withColumn("__pii_text", F.coalesce("text", F.lit("")))
     for name, _, guard, pattern in PATTERNS:
         quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-        guard = guard.replace("text", "__text", 1)
-        text = text.withColumn(f"__m_{name}", F.expr(f"if({guard}, regexp_extract_all(__text, '{quoted}', 0), cast(array() as array<string>))"))
+        guard = guard.replace("text", "__pii_text", 1)
+        text = text.withColumn(f"__pii_m_{name}", F.expr(f"if({guard}, regexp_extract_all(__pii_text, '{quoted}', 0), cast(array() as array<string>))"))
     for name, _, _, pattern in PATTERNS:
         quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-        text = text.withColumn(f"__p_{name}", F.expr(f"if(size(__m_{name}) > 0, split(__text, '{quoted}', -1), array(''))"))
-    found = text.withColumns({f"__c_{p[0]}": F.expr(_candidates(*p)) for p in PATTERNS})
-    base = F.filter(F.concat(*[F.col(f"__c_{p[0]}") for p in PATTERNS[: len(BASE)]]), _valid)
-    kept = found.select(*[F.col(f"`{c}`") for c in docs.columns], base.alias("__base"), *[f"__c_{p[0]}" for p in PATTERNS[len(BASE) :]])
+        text = text.withColumn(f"__pii_p_{name}", F.expr(f"if(size(__pii_m_{name}) > 0, split(__pii_text, '{quoted}', -1), array(''))"))
+    found = text.withColumns({f"__pii_c_{p[0]}": F.expr(_candidates(*p)) for p in PATTERNS})
+    base = F.filter(F.concat(*[F.col(f"__pii_c_{p[0]}") for p in PATTERNS[: len(BASE)]]), _valid)
+    kept = found.select(*[F.col(f"`{c}`") for c in docs.columns], base.alias("__pii_base"), *[f"__pii_c_{p[0]}" for p in PATTERNS[len(BASE) :]])
     more = F.filter(
-        F.concat(*[F.col(f"__c_{p[0]}") for p in PATTERNS[len(BASE) :]]),
-        lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+        F.concat(*[F.col(f"__pii_c_{p[0]}") for p in PATTERNS[len(BASE) :]]),
+        lambda x: ~F.exists("__pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], "__base", more.alias("__more"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], "__pii_base", more.alias("__pii_more"))
 
 
 def _in(word: Column, words: str) -> Column:
@@ -141,7 +150,8 @@ def _in(word: Column, words: str) -> Column:
 
 
 def votes(x: Column) -> dict[str, Column]:
-    """Each labeler's vote on a candidate: 1, 0 or null."""
+    """Each labeler's vote on a candidate: 1, 0 or null. Nearly all candidates have the form that their pattern asks for,
+    and stand free; a vote that they all share would tell nothing, so these labelers vote against the others only."""
     kind, value, left, right = x["kind"], x["value"], x["left"], x["right"]
     digits = _digits(value)
     said = F.lit(None).cast("int")
@@ -151,29 +161,38 @@ def votes(x: Column) -> dict[str, Column]:
         "form": F.when(kind == 0, F.when(value.rlike(r"[.)\]] ?[A-Za-z]{2,24}$"), 1).otherwise(0))
         .when(kind == 1, F.when(value.rlike(r"(?:^|\.)0[0-9]"), 0).otherwise(1))
         .when(kind == 2, F.when(F.length(digits).isin(13, 14, 15, 16, 19), 1).otherwise(0))
-        .when(kind == 3, F.when(F.length(digits).between(10, 13) & ~digits.rlike("^[01]{1}[0-9]{2}[01]"), 1).otherwise(0))
-        .when(kind == 4, F.when(digits.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"), 1).otherwise(0))
-        .otherwise(F.when(value.contains(" "), 1)),
+        .when(kind == 3, F.when(F.length(digits).between(10, 13) & ~digits.rlike("^[01]{1}[0-9]{2}[01]"), None).otherwise(0))
+        .when(kind == 4, F.when(digits.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"), None).otherwise(0))
+        .when(kind == 5, F.when(value.contains(" "), 1))
+        # A key has digits throughout and no long words; an identifier has words.
+        .otherwise(F.when(value.rlike("[A-Za-z]{9}|[/_-][A-Za-z]{4,}[/_-]"), 0).when(value.rlike(ISSUED), 1).when(F.length(digits) * 8 < F.length(value), 0)),
         "gazetteer": F.when(kind == 0, F.when(_in(F.regexp_extract(value, r"([A-Za-z]+)$", 1), DOMAINS), 1).otherwise(0))
         .when(kind == 1, F.when(value.rlike(r"^(?:0|127|255)\."), 0))
         .when(kind == 2, F.when(F.substring(digits, 1, 1).isin(*ISSUERS.split()), 1).otherwise(0))
         .when(kind == 3, F.when(value.startswith("+"), F.when(digits.rlike(rf"^(?:{CODES.replace(' ', '|')})"), 1).otherwise(0)))
-        .when(kind == 5, F.when(_in(F.regexp_extract(value, r"^([^ ]+)", 1), FORENAMES), 1)),
+        .when(kind == 5, F.when(_in(F.regexp_extract(value, r"^([^ ]+)", 1), FORENAMES), 1))
+        .when(kind == 6, F.when(value.rlike(rf"^(?:{KEYS.replace(' ', '|')})"), 1)),
         "context": F.when(left.rlike(rf"(?i)(?<![a-z])(?:{OTHER})\W{{0,3}}$"), 0).otherwise(said),
-        "border": F.when(left.rlike(r"[\p{L}\p{N}_/.-]$") | right.rlike(r"^[\p{L}\p{N}_/@]"), 0).when(
-            left.rlike(r"(?:^|[\s(\[,:;\"'<])$") & right.rlike(r"^(?:$|[\s)\],.:;!?\"'>])"), 1
-        ),
+        "border": F.when(left.rlike(r"[\p{L}\p{N}_/.-]$") | right.rlike(r"^[\p{L}\p{N}_/@]"), 0),
     }
 
 
+def _sort(symbol: Column) -> Column:
+    """The sort of one symbol: letter, digit, white space, one of some marks, other; so few values whatever the corpus."""
+    return (
+        F.when(symbol == "", "").when(symbol.rlike(r"^\p{L}"), "a").when(symbol.rlike(r"^\p{N}"), "9").when(symbol.rlike(r"^\s"), "s")
+        .when(symbol.isin(*".,:;=\"'()[]<>/-_@+#"), symbol).otherwise("o")
+    )
+
+
 def features(x: Column) -> dict[str, Column]:
     """Span features of the final classifier, each with few values."""
     return {
         "size": F.least(F.lit(8), (F.length(x["value"]) / 4).cast("int")).cast("string"),
         "digits": (10 * F.length(_digits(x["value"])) / F.length(x["value"])).cast("int").cast("string"),
         "marks": F.least(F.lit(6), F.length(F.regexp_replace(x["value"], r"[\p{L}\p{N}]", ""))).cast("string"),
-        "before": F.regexp_replace(F.regexp_replace(F.right(x["left"], F.lit(1)), r"\p{L}", "a"), r"\p{N}", "9"),
-        "after": F.regexp_replace(F.regexp_replace(F.left(x["right"], F.lit(1)), r"\p{L}", "a"), r"\p{N}", "9"),
+        "before": _sort(F.right(x["left"], F.lit(1))),
+        "after": _sort(F.left(x["right"], F.lit(1))),
     }
 
 
@@ -193,11 +212,15 @@ class Reliabilities:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
 
 
+#: What is believed of labelers at first: how often they vote for true spans and against false ones.
+BELIEFS = {"form": (0.8, 0.8), "gazetteer": (0.8, 0.8), "context": (0.9, 0.9), "border": (0.8, 0.8)}
+
+
 def expectation_maximisation(counts: dict[tuple[int, tuple], int], rounds: int = 25) -> Reliabilities:
-    """counts: by kind and vote pattern. Two-class latent model with labelers independent given the class; votes that
-    are mostly right to begin with, and pseudo-counts, keep the classes' meaning."""
+    """counts: by kind and vote pattern. Two-class latent model with labelers independent given the class; BELIEFS to begin
+    with, and as pseudo-counts, keep the classes' meaning."""
     kinds = {kind for kind, _ in counts}
-    model = Reliabilities(dict.fromkeys(kinds, 0.5), {(k, n): (0.8, 0.8) for k in kinds for n in LABELERS})
+    model = Reliabilities(dict.fromkeys(kinds, 0.5), {(k, n): BELIEFS[n] for k in kinds for n in LABELERS})
     for _ in range(rounds):
         expected = {key: model.posterior(*key) for key in counts}
         prior, right = {}, {}
@@ -209,7 +232,8 @@ def expectation_maximisation(counts: dict[tuple[int, tuple], int], rounds: int =
                 false = sum(n * (1 - p) for v, n, p in own if v[i] is not None)
                 hit = sum(n * p for v, n, p in own if v[i] == 1)
                 out = sum(n * (1 - p) for v, n, p in own if v[i] == 0)
-                right[kind, name] = (8 + hit) / (10 + true), (8 + out) / (10 + false)
+                yes, no = BELIEFS[name]
+                right[kind, name] = (10 * yes + hit) / (10 + true), (10 * no + out) / (10 + false)
         model = Reliabilities(prior, right)
     return model
 
@@ -249,8 +273,8 @@ FEATURE_WEIGHT = 0.5
 
 
 def train(found: DataFrame) -> Classifier:
-    """found: rows with `__base` and `__more`. Base spans take part in the estimates as well."""
-    spans = found.select(F.explode(F.concat("__base", "__more")).alias("x"))
+    """found: rows with `__pii_base` and `__pii_more`. Base spans take part in the estimates as well."""
+    spans = found.select(F.explode(F.concat("__pii_base", "__pii_more")).alias("x"))
     x = F.col("x")
     # Votes and features of the few spans are computed once; what is brought to the driver has a row for each pattern.
     described = materialized(
@@ -283,26 +307,28 @@ def _joined(spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with `__base` and `__spans`: base spans, and all of them with those that the
+    """The columns `keep` of docs with `__pii_base` and `__pii_spans`: base spans, and all of them with those that the
     classifier adds."""
-    found = materialized(candidates(docs).select(*[F.col(f"`{c}`") for c in keep], "__base", "__more"))
+    found = materialized(candidates(docs).select(*[F.col(f"`{c}`") for c in keep], "__pii_base", "__pii_more"))
     model = train(found)
-    added = F.filter("__more", lambda x: model.probability(x) >= THRESHOLD)
-    return found.select(*[F.col(f"`{c}`") for c in keep], "__base", F.array_sort(F.concat("__base", added)).alias("__spans"))
+    added = F.filter("__pii_more", lambda x: model.probability(x) >= THRESHOLD)
+    return found.select(*[F.col(f"`{c}`") for c in keep], "__pii_base", F.array_sort(F.concat("__pii_base", added)).alias("__pii_spans"))
 
 
 def _number(kind: str) -> Column:
-    return F.size(F.filter("__base", lambda x: x["kind"] == KINDS.index(kind))).cast("long")
+    return F.size(F.filter("__pii_base", lambda x: x["kind"] == KINDS.index(kind))).cast("long")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, counts of the base kinds, base_sha256, spans."""
+    """Per document: doc_id, counts of the base kinds, base_sha256, spans, their number, and that of the secrets."""
     found = with_spans(docs.select("doc_id", "text"), ["doc_id"])
     return found.select(
         "doc_id",
         *[_number(kind).alias(f"n_{kind}") for kind in BASE],
-        F.sha2(_joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"),
-        _joined(F.col("__spans")).alias("spans"),
+        F.sha2(_joined(F.col("__pii_base")).cast("binary"), 256).alias("base_sha256"),
+        _joined(F.col("__pii_spans")).alias("spans"),
+        F.size("__pii_spans").cast("long").alias("n_spans"),
+        F.size(F.filter("__pii_spans", lambda x: x["kind"] == KINDS.index("secret"))).cast("long").alias("n_secret"),
     )
 
 
@@ -311,7 +337,7 @@ def redact(docs: DataFrame) -> DataFrame:
     overlapping spans the one that begins first, then the longest, names the whole stretch."""
     found = with_spans(docs, docs.columns)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    ordered = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("__pii_spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -322,7 +348,7 @@ def redact(docs: DataFrame) -> DataFrame:
         )
         return F.struct(F.when(inside, acc["at"]).otherwise(-x["end"]).alias("at"), out.alias("out"))
 
-    text = F.when(F.size("__spans") > 0, F.aggregate(
+    text = F.when(F.size("__pii_spans") > 0, F.aggregate(
         ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
     )).otherwise(F.col("text"))
     out = found.withColumn("text", text)
