@@ -44,6 +44,8 @@ EPOCHS = 4
 RATE = 0.3
 DECAY = 1e-6
 BLOCK = 64
+#: Hashes are counted in 2 ** RANGE_BITS ranges a language.
+RANGE_BITS = 12
 #: Positions between two rescalings of the states within a block.
 RESCALE = 4
 CACHED_WORDS = 400_000
@@ -319,11 +321,15 @@ class Tagger:
 
 def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most per_language different texts of each language, the first by a hash of the text, so that copies do not
-    crowd out others (of two texts with one hash both are taken). Only hashes are ranked, and each task sends at most
-    per_language of a language to its ranking; texts are read once the bounded list of hashes is known."""
+    crowd out others (of two texts with one hash both are taken). A histogram of the hashes tells which of their ranges
+    hold a language's first ones, so that only about as many are ranked in one task, whatever a language's share; texts
+    are read once the bounded list of hashes is known."""
     known = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    order = W.partitionBy("lang").orderBy("h")
-    ranked = known.select("lang", "h").distinct().withColumn("r", F.row_number().over(order))
+    ranged = known.select("lang", "h").distinct().withColumn("range", F.shiftright("h", 64 - RANGE_BITS))
+    before = F.sum("n").over(W.partitionBy("lang").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    sizes = ranged.groupBy("lang", "range").agg(F.count("*").alias("n"))
+    first = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < per_language).select("lang", "range")
+    ranked = ranged.join(F.broadcast(first), ["lang", "range"]).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h")))
     chosen = ranked.where(F.col("r") <= per_language).select("lang", "h")
     texts = known.join(F.broadcast(chosen), ["lang", "h"]).select("text", "lang").distinct()
     return sorted((r.text, r.lang) for r in texts.toLocalIterator())
