@@ -11,7 +11,7 @@ TERMS x DIMENSIONS weights and 2 x SAMPLE_PER_LABEL vectors.
 
 Defined results: null texts are empty; empty texts have their own terms (the bands) and are scored like any other;
 without labelled rows the score is 0.5. Labelled rows without a document, null labels and null ids are not learned
-from; of a document with several labels each counts. Repeated rows get the same score.
+from; of a document with several labels each counts. Repeated rows get the same score, up to the rounding of sums.
 """
 
 from __future__ import annotations

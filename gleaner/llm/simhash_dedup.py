@@ -152,7 +152,9 @@ def _collisions(prefix_bits: int, radius: int, distance: int, most: int):
 def links(prints: DataFrame, distance: int = DISTANCE, variants_per_prefix: int = VARIANTS_PER_PREFIX) -> DataFrame:
     """prints: distinct fingerprints `fp`. Pairs (a, b) that connect just the fingerprints that a chain of pairs within
     the distance connects."""
-    radius = -(-distance // 2)
+    if distance % 2:  # members of one collision are within twice the radius, an even number, of each other
+        raise ValueError("The distance must be even")
+    radius = distance // 2
     emitted = prints.count() * sum(math.comb(64, k) for k in range(radius + 1))
     prefix_bits = min(24, max(6, math.ceil(math.log2(max(1, emitted / variants_per_prefix)))))
     masks = F.array(*[F.lit(int(m)) for m in flips(prefix_bits, radius)])
