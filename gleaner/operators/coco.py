@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .matching import BOX, overlaps
+from .matching import BOX, curve_of, overlaps
+from .running import cuts_of
 
 # Fixed values of the metric.
 THRESHOLDS = [float(t) for t in np.linspace(0.5, 0.95, 10)]
@@ -68,12 +69,8 @@ def curves(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     counted = judged.where("not ignored").withColumn("lim", F.explode(F.array(*[F.lit(n) for n in LIMITS]))).where("rank <= lim")
     positives = gold_area.where("not out").groupBy("cls", "area").agg(F.count("*").alias("positives"))
     cell = ["cls", "area", "thr", "lim"]
-    run = W.partitionBy(*cell).orderBy(F.desc("score"), "image", "rank")
-    curve = counted.join(F.broadcast(positives), ["cls", "area"]).select(
-        *cell,
-        (F.sum("hit").over(run.rowsBetween(W.unboundedPreceding, 0)) / F.col("positives")).alias("rc"),
-        (F.sum("hit").over(run.rowsBetween(W.unboundedPreceding, 0)) / F.row_number().over(run)).alias("pr"),
-    )
+    scored = counted.join(positives, ["cls", "area"])
+    curve = curve_of(scored, cell, [F.asc("image"), F.asc("rank")], cuts_of(predictions, "score"))
     levels = [F.coalesce(F.max(F.when(F.col("rc") >= r, F.col("pr"))), F.lit(0.0)).alias(f"l{i}") for i, r in enumerate(LEVELS)]
     found = curve.groupBy(*cell).agg(F.max("rc").alias("recall"), *levels)
     found = found.select(*cell, "recall", F.aggregate(F.array(*[f"l{i}" for i in range(101)]), F.lit(0.0), lambda s, x: s + x / 101).alias("ap"))

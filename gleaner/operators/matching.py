@@ -8,10 +8,10 @@ predictions above it come first."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iou, ratio
+from .running import running
 
 OVERLAP = 0.5
 BOX = ("x1", "y1", "x2", "y2")
@@ -57,6 +57,11 @@ def counts(gold: DataFrame, predictions: DataFrame, matched: DataFrame, threshol
     return sums.select("image", "objects", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("objects") - F.col("tp")).alias("fn"))
 
 
+def with_manifest(manifest: DataFrame, samples: DataFrame) -> DataFrame:
+    """The counts of all images of the manifest (image); those without any counted box have zeros."""
+    return manifest.select("image").distinct().join(samples, "image", "left").na.fill(0, ["objects", "tp", "fp", "fn"])
+
+
 def sliced(samples: DataFrame, tags: list[Column]) -> DataFrame:
     """Sums by tag; a sample counts for each of its tags and for `all`. samples: objects, tp, fp, fn."""
     spread = samples.select(F.explode(F.array(F.lit("all"), *tags)).alias("tag"), "objects", "tp", "fp", "fn")
@@ -76,15 +81,17 @@ def object_slices(gold: DataFrame, matched: DataFrame, tags: list[Column]) -> Da
     return sums.withColumns({"fn": F.col("objects") - F.col("tp"), "recall": ratio(F.col("tp"), F.col("objects"))})
 
 
-def average_precision(scored: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """scored: rows of group with hit (0/1) and positives (of the group). Precision interpolated at 101 levels of recall."""
-    w = W.partitionBy(*group).orderBy(*order)
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    curve = scored.select(
-        *group,
-        (F.sum("hit").over(run) / F.col("positives")).alias("rc"),
-        (F.sum("hit").over(run) / F.row_number().over(w)).alias("pr"),
-    )
+def curve_of(scored: DataFrame, group: list[str], tie: list[Column], cuts: list[float]) -> DataFrame:
+    """scored: rows of group with score, hit (0/1) and positives (of the group). rc, pr: recall and precision down to each
+    row, best score first. cuts: of the score."""
+    order = [F.desc("score"), *tie]
+    run = running(scored, group, "score", order, {"__hits": F.col("hit"), "__rows": F.lit(1)}, cuts, descending=True)
+    return run.select(*group, (F.col("__hits") / F.col("positives")).alias("rc"), (F.col("__hits") / F.col("__rows")).alias("pr"))
+
+
+def average_precision(scored: DataFrame, group: list[str], tie: list[Column], cuts: list[float]) -> DataFrame:
+    """scored: as for `curve_of`. Precision interpolated at 101 levels of recall."""
+    curve = curve_of(scored, group, tie, cuts)
     # One conditional maximum for each level, all in one aggregation.
     levels = [F.max(F.when(F.col("rc") >= F.lit(i * 0.01), F.col("pr"))).alias(f"l{i}") for i in range(101)]
     best = curve.groupBy(*group).agg(*levels)

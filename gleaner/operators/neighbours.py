@@ -27,6 +27,17 @@ def near_pairs(hashes: DataFrame, key: str, column: str, distance: int, bits: in
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).alias("distance"))
 
 
+def alike(rows: DataFrame, key: str, column: str, bits: int, distance: int, most: float) -> DataFrame:
+    """(a, b, distance): pairs of rows whose difference hashes are near and whose values differ by less than `most` on
+    average."""
+    hashes = rows.select(key, difference_hash(F.col(column), bits).alias("h"))
+    pairs = near_pairs(hashes, key, "h", distance, bits)
+    side = lambda k, v: rows.select(F.col(key).alias(k), F.col(column).alias(v))
+    both = pairs.join(side("a", "__v"), "a").join(side("b", "__w"), "b")
+    apart = F.aggregate(F.zip_with("__v", "__w", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda t, x: t + x) / F.size("__v")
+    return both.where(apart < most).select("a", "b", "distance")
+
+
 def accept_in_order(rows: DataFrame, pairs: DataFrame, key: str, order: str) -> DataFrame:
     """Rows accepted one after the other, each unless it is near one accepted before. A row is settled once all its
     earlier neighbours are; each round settles all such rows, so no order is walked on the driver."""

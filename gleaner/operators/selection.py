@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import digest, dot, entropy, unit
 from .contracts import ContractError, budget as check_budget
+from .running import cuts_of, running
 
 TOP_SCORES = 20
 LOW, HIGH = 0.05, 0.5
@@ -119,5 +120,18 @@ def slots(base: DataFrame, extra: DataFrame, key: str, epochs: int, per_epoch: i
     epoch = F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")
     all_ = base.select(key).union(fill)
     ordered = all_.withColumn("copy", F.row_number().over(W.partitionBy(key).orderBy(key))).select("*", epoch)
-    shuffled = hash_order(F.concat_ws(":", "epoch", key, "copy"), seed)
-    return ordered.select("epoch", key, F.row_number().over(W.partitionBy("epoch").orderBy(shuffled)).alias("slot"))
+    shuffled = ordered.withColumn("__h", hash_order(F.concat_ws(":", "epoch", key, "copy"), seed))
+    numbered = shuffled.withColumn("__x", F.conv(F.substring("__h", 1, 13), 16, 10).cast("double"))
+    dealt = running(numbered, ["epoch"], "__x", [F.asc("__x"), F.asc("__h")], {"slot": F.lit(1)}, cuts_of(numbered, "__x"))
+    return dealt.select("epoch", key, F.col("slot").cast("int").alias("slot"))
+
+
+def targeted(ranked: DataFrame, used: DataFrame, key: str, group: str, seed: str, n: int, top: int = 36) -> DataFrame:
+    """n rows, one to a group, in shuffled order, from the `top` best ranked (score) of groups that are not used yet; all
+    columns. An error if there are fewer groups."""
+    free = ranked.join(used.select(group).distinct(), group, "left_anti")
+    best = free.orderBy(F.desc("score"), key).limit(top)
+    chosen = one_per_group(best, group, [hash_order(F.col(key), seed)], n)
+    if chosen.count() < n:
+        raise ContractError("Not enough groups")
+    return chosen

@@ -3,39 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import digest, ratio
+from .running import cuts_of, running
 
 
-def average_rank(column: str) -> Column:
-    """Ranks from 1; ties share their mean rank."""
-    return F.rank().over(W.orderBy(column)) + (F.count("*").over(W.partitionBy(column)) - 1) / F.lit(2.0)
-
-
-def ranks(df: DataFrame, column: str, into: str) -> DataFrame:
-    """df with the average rank of a column. Counts by value are ranked, not rows, and joined back, so that one task
-    sees each distinct value once."""
-    counts = df.groupBy(column).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.select(F.col(column).alias("__v"), (below - (F.col("__n") - 1) / F.lit(2.0)).alias(into))
-    return df.join(ranked, df[column].eqNullSafe(ranked["__v"])).drop("__v")
+def ranks(df: DataFrame, column: str, into: str, *more: Column) -> DataFrame:
+    """Each value of a numeric column, its number of rows `n`, its average rank (ties share their mean rank), and the
+    aggregates `more`. Values are counted first and ranked by ranges."""
+    counts = df.groupBy(column).agg(F.count("*").alias("n"), *more)
+    below = running(counts, [], column, [F.asc(column)], {"__below": F.col("n")}, cuts_of(df, column))
+    return below.withColumn(into, F.col("__below") - (F.col("n") - 1) / F.lit(2.0)).drop("__below")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """The rank correlation, null for a constant column."""
-    both = ranks(ranks(df.where(f"{a} is not null and {b} is not null"), a, "__ra"), b, "__rb")
-    spread = F.nullif(F.stddev_pop("__ra") * F.stddev_pop("__rb"), F.lit(0.0))
-    return both.agg((F.covar_pop("__ra", "__rb") / spread).alias("spearman"), F.count("*").alias("n"))
+    """The rank correlation, null for a constant column. Equal pairs are counted before they meet their ranks."""
+    known = df.where(f"{a} is not null and {b} is not null")
+    pairs = known.groupBy(F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__n"))
+    first = ranks(known, a, "x").select(F.col(a).alias("__a"), "x")
+    second = ranks(known, b, "y").select(F.col(b).alias("__b"), "y")
+    both = pairs.join(first, "__a").join(second, "__b")
+    n, x, y = F.col("__n"), F.col("x"), F.col("y")
+    sums = both.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"), F.sum(n * x * y).alias("sxy"),
+        F.sum(n * x * x).alias("sxx"), F.sum(n * y * y).alias("syy"), ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("varied"),
+    )
+    over = lambda p, q, r: F.col(p) - F.col(q) * F.col(r) / F.col("n")
+    value = over("sxy", "sx", "sy") / F.sqrt(over("sxx", "sx", "sx") * over("syy", "sy", "sy"))
+    return sums.select(F.when(F.col("varied"), value).alias("spearman"), "n")
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """The chance that a positive row scores higher than a negative one, ties half; by ranks."""
-    ranked = ranks(df, score, "__r")
-    p, n = F.count(F.when(F.col(label), 1)), F.count(F.when(~F.col(label), 1))
-    won = F.sum(F.when(F.col(label), F.col("__r"))) - p * (p + 1) / F.lit(2.0)
-    return ranked.agg(F.when((p > 0) & (n > 0), won / (p * n)).alias("auc"), p.alias("positives"), n.alias("negatives"))
+    """The chance that a positive row scores higher than a negative one, ties half; by ranks of values."""
+    yes, no = F.count(F.when(F.col(label), 1)).alias("p"), F.count(F.when(~F.col(label), 1)).alias("q")
+    ranked = ranks(df, score, "r", yes, no)
+    sums = ranked.agg(
+        F.coalesce(F.sum("p"), F.lit(0)).alias("positives"), F.coalesce(F.sum("q"), F.lit(0)).alias("negatives"), F.sum(F.col("p") * F.col("r")).alias("won")
+    )
+    p, n = F.col("positives"), F.col("negatives")
+    return sums.select(F.when((p > 0) & (n > 0), (F.col("won") - p * (p + 1) / F.lit(2.0)) / (p * n)).alias("auc"), "positives", "negatives")
 
 
 def top_overlap(df: DataFrame, key: str, a: str, b: str, k: int) -> DataFrame:
@@ -83,6 +90,24 @@ def group_bootstrap(df: DataFrame, group: str, value: str, replicates: int, seed
     return drawn.groupBy("replicate").agg(ratio(F.sum(F.col("m") * F.col("s")), F.sum(F.col("m") * F.col("n"))).alias("mean"))
 
 
+def paired_bootstrap(
+    df: DataFrame, group: str, arm: str, arms: tuple[str, str], seed: str, value: str, replicates: int, salt: str
+) -> DataFrame:
+    """One row: mean, lo and hi (2.5 and 97.5 per cent) over replicates of the mean over seeds of the first arm's mean less
+    the second's. A replicate draws groups, the same for all arms and seeds; only sums by group are repeated."""
+    known = df.where(F.col(arm).isin(*arms))
+    sums = known.groupBy(F.col(group).alias("g"), F.col(arm).alias("a"), F.col(seed).alias("k")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    drawn = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = drawn.withColumn("m", multiplicity(F.col("g"), F.col("replicate"), salt))
+    share = lambda a: ratio(*[F.sum(F.when(F.col("a") == a, F.col("m") * F.col(c))) for c in ("s", "n")])
+    by_seed = drawn.groupBy("replicate", "k").agg((share(arms[0]) - share(arms[1])).alias("delta"))
+    deltas = by_seed.groupBy("replicate").agg(F.avg("delta").alias("delta"))
+    q = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))
+    return deltas.agg(F.avg("delta").alias("mean"), q.alias("q"), F.count("*").alias("replicates")).select(
+        "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "replicates"
+    )
+
+
 def gate(df: DataFrame, ap_drop: float = 0.01, night_drop: float = 0.05, images: int = 20, objects: int = 100) -> DataFrame:
     """df: baseline_ap, ap, baseline_night, night, night_images, night_objects. The decision and its reasons."""
     supported = F.coalesce((F.col("night_images") >= images) & (F.col("night_objects") >= objects), F.lit(False))

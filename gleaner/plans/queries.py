@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import coco, contracts, journal, matching, neighbours, selection, statistics
+from ..operators.running import cuts_of
 from ..sources.tables import table
 from .views import BOXES_SQL, MATCH_SQL, SCORES_SQL, boxes, scores
 
@@ -193,8 +194,9 @@ def average_precision(spark, sf):
     gold, predictions = boxes(spark, sf)
     hit = matching.match(gold, predictions, 0.0).select("image", "cls", F.col("p").alias("j"), F.lit(1).alias("hit"))
     positives = gold.groupBy("cls").agg(F.count("*").alias("positives"))
-    rows = predictions.join(hit, ["image", "cls", "j"], "left").na.fill(0, ["hit"]).join(F.broadcast(positives), "cls")
-    return matching.average_precision(rows, ["cls"], [F.desc("score"), F.col("image"), F.col("j")]).withColumn("ap", _r("ap"))
+    rows = predictions.join(hit, ["image", "cls", "j"], "left").na.fill(0, ["hit"]).join(positives, "cls")
+    cuts = cuts_of(predictions, "score")
+    return matching.average_precision(rows, ["cls"], [F.asc("image"), F.asc("j")], cuts).withColumn("ap", _r("ap"))
 
 
 @query()
@@ -275,14 +277,21 @@ def diverse_selection(spark, sf):
     return selection.diverse(rows, 5, "vec_id", "label", "factor", "embedding").withColumn("score", _r("score"))
 
 
-@query("""WITH base AS (SELECT c_custkey AS k FROM customer WHERE c_custkey BETWEEN 1 AND 44), extra AS (SELECT c_custkey AS k FROM customer WHERE c_custkey > 100 AND c_custkey <= 106),
-fill AS (SELECT k FROM (SELECT k, r FROM extra, range(0, 2) t(r) ORDER BY sha256('slots:' || k || ':' || r) LIMIT 12)),
+_SPLIT = "CASE WHEN b < 15 THEN 'seed' WHEN b < 55 THEN 'pool' WHEN b < 75 THEN 'dev' ELSE 'test' END"
+
+
+@query(f"""WITH s AS (SELECT k, {_SPLIT} AS split FROM (SELECT c_custkey AS k, ('0x' || substr(sha256('split-v1:' || c_custkey), 1, 8))::BIGINT % 100 AS b FROM customer)),
+base AS (SELECT k FROM s WHERE split = 'seed'), extra AS (SELECT k FROM s WHERE split = 'dev'),
+m AS (SELECT (SELECT count(*) * 56 // 44 - count(*) FROM base) AS missing, (SELECT count(*) FROM extra) AS n),
+fill AS (SELECT k FROM (SELECT k, r FROM extra, (SELECT unnest(range(0, (missing + n - 1) // n)) AS r FROM m)) ORDER BY sha256('slots:' || k || ':' || r) LIMIT (SELECT missing FROM m)),
 rows AS (SELECT k, row_number() OVER (PARTITION BY k) AS c FROM (SELECT k FROM base UNION ALL SELECT k FROM fill))
 SELECT epoch::INT AS epoch, k, row_number() OVER (PARTITION BY epoch ORDER BY sha256('slots:' || epoch || ':' || k || ':' || c))::INT AS slot FROM rows, range(1, 3) t(epoch)""")
 def schedule_slots(spark, sf):
-    """Two epochs of 56 slots: 44 rows, and six others repeated to fill up."""
+    """Two epochs: the seed split, and rows of another split repeated to fill up 56 slots for each 44 rows."""
     keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    return selection.slots(keys.where("k between 1 and 44"), keys.where("k > 100 and k <= 106"), "k", 2, 56, "slots")
+    split = S.split_of(F.col("k"))
+    base = keys.where(split == "seed")
+    return selection.slots(base, keys.where(split == "dev"), "k", 2, base.count() * 56 // 44, "slots")
 
 
 _LG = f"""WITH {_UNIT}, t AS (SELECT i, sum(x) AS s, count(*) AS n FROM e WHERE vec_id % 7 = 0 GROUP BY i),
@@ -298,7 +307,7 @@ def leave_group_out(spark, sf):
     rows = table(spark, sf, "embeddings").withColumn("failed", F.col("vec_id") % 7 == 0)
     own = selection.leave_group_out(rows, "embedding", "label", "failed")
     similar = F.greatest(F.lit(0.0), S.dot(S.unit(F.col("embedding")), F.col("prototype")))
-    return rows.join(F.broadcast(own), "label").select("vec_id", _r(similar).alias("similarity"))
+    return rows.join(own, "label").select("vec_id", _r(similar).alias("similarity"))
 
 
 @query(f"""WITH {_RANKED}, long AS (UNPIVOT (SELECT vec_id, score AS full_score, mass, similarity FROM full_) ON full_score, mass, similarity INTO NAME component VALUE v)
@@ -396,12 +405,12 @@ def classifier_summary(spark, sf):
     return out.withColumns({c: _r(c) for c in ("recall", "accuracy", "balanced_accuracy")})
 
 
-@query("""WITH h AS (SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 21), lambda i: (embedding[i] > embedding[i + 1])::BIGINT)), lambda a, b: a * 2 + b) AS h FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 2""")
+@query("""WITH h AS (SELECT vec_id, embedding AS e, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda i: (embedding[i] > embedding[i + 1])::BIGINT)), lambda a, b: a * 2 + b) AS h FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 8
+WHERE list_sum(list_transform(range(1, len(a.e) + 1), lambda i: abs(a.e[i]::DOUBLE - b.e[i]::DOUBLE))) / len(a.e) < 0.15""")
 def near_duplicate_pairs(spark, sf):
-    """Vectors whose difference hashes are near."""
-    rows = table(spark, sf, "embeddings").select("vec_id", neighbours.difference_hash(F.col("embedding"), 20).alias("h"))
-    return neighbours.near_pairs(rows, "vec_id", "h", 2, 20)
+    """Vectors whose difference hashes of all neighbouring dimensions are near and whose values are, on average."""
+    return neighbours.alike(table(spark, sf, "embeddings"), "vec_id", "embedding", 63, 8, 0.15)
 
 
 _LOG = """log AS (SELECT user_id AS key, event_id AS seq, ['enqueue', 'start', 'succeed', 'fail'][1 + event_id % 4] AS event, 'r' || event_id AS result, 'e' || event_id AS error FROM events)"""
@@ -482,12 +491,18 @@ def immutable_check(spark, sf):
     return sides[0].union(sides[1])
 
 
-@query("""WITH s AS (SELECT DISTINCT list_slice(string_split(text, ' '), 1, 3) AS s FROM conversations WHERE text IS NOT NULL)
-SELECT s[1] AS first, count(*) AS sequences, count(DISTINCT s[2]) AS continuations FROM s GROUP BY 1""")
+@query("""WITH s AS (SELECT DISTINCT string_split(text, ' ') AS s FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT i AS depth, md5(array_to_string(s[1:i], ' ')) AS prefix, s[i + 1] AS follows FROM (SELECT s, unnest(range(0, len(s) + 1)) AS i FROM s))
+SELECT depth::INT AS depth, prefix, count(*) AS sequences, count(DISTINCT follows) AS tokens, bool_or(follows IS NULL) AS may_end FROM p GROUP BY ALL""")
 def label_trie(spark, sf):
-    """Token prefixes and how many tokens may follow them."""
-    rows = table(spark, sf, "conversations").where("text is not null").select(F.slice(F.split("text", " "), 1, 3).alias("s")).distinct()
-    return rows.groupBy(F.get("s", F.lit(0)).alias("first")).agg(F.count("*").alias("sequences"), F.count_distinct(F.get("s", F.lit(1))).alias("continuations"))
+    """Every prefix of token sequences: how many tokens may follow, and whether a sequence ends there."""
+    rows = table(spark, sf, "conversations").where("text is not null").select(F.split("text", " ").alias("s")).distinct()
+    spread = rows.select("s", F.explode(F.sequence(F.lit(0), F.size("s"))).alias("depth"))
+    head = F.md5(F.array_join(F.slice("s", F.lit(1), F.col("depth")), " ").cast("binary"))
+    follow = spread.select("depth", head.alias("prefix"), F.get("s", F.col("depth")).alias("then"))
+    return follow.groupBy("depth", "prefix").agg(
+        F.count("*").alias("sequences"), F.count_distinct("then").alias("tokens"), F.bool_or(F.col("then").isNull()).alias("may_end")
+    )
 
 
 @query("""SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier""")
@@ -512,9 +527,82 @@ def attempt_numbers(spark, sf):
     return journal.attempts_in_order(log).select("key", "seq", "attempt")
 
 
-@query(_MATCHED + " SELECT image, objects, fn FROM counts WHERE image % 2 = 0 ORDER BY fn DESC, image LIMIT 50")
+@query(_MATCHED + " SELECT image, objects, fn FROM counts ORDER BY fn DESC, image LIMIT 50")
 def failure_list(spark, sf):
     """The images with most misses."""
     gold, predictions = boxes(spark, sf)
-    rows = matching.counts(gold, predictions, matching.match(gold, predictions)).where("image % 2 = 0")
+    rows = matching.counts(gold, predictions, matching.match(gold, predictions))
     return rows.orderBy(F.desc("fn"), "image").limit(50).select("image", "objects", "fn")
+
+
+@query("""WITH o AS (SELECT o_custkey AS g, o_orderpriority AS a, o_orderkey % 3 AS k, sum(o_totalprice) AS s, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL),
+u AS (SELECT replicate, a, k, s, n, (('0x' || substr(sha256('pair:' || replicate || ':' || g), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656 AS u FROM o, range(1, 41) t(replicate)),
+b AS (SELECT k AS i, sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS b FROM range(0, 11) t(k)),
+m AS (SELECT replicate, a, k, s, n, (SELECT count(*) FROM b WHERE u > b) AS m FROM u),
+d AS (SELECT replicate, k, sum(m * s) FILTER (a = '1-URGENT') / sum(m * n) FILTER (a = '1-URGENT') - sum(m * s) FILTER (a = '5-LOW') / sum(m * n) FILTER (a = '5-LOW') AS delta FROM m GROUP BY ALL),
+r AS (SELECT replicate, avg(delta) AS delta FROM d GROUP BY 1)
+SELECT round(avg(delta), 4) AS mean, round(quantile_cont(delta, 0.025::DOUBLE), 4) AS lo, round(quantile_cont(delta, 0.975::DOUBLE), 4) AS hi, count(*) AS replicates FROM r""")
+def paired_bootstrap(spark, sf):
+    """The interval of the difference of two arms, over resamples of customers that both arms and all seeds share."""
+    rows = table(spark, sf, "orders").withColumn("seed", F.col("o_orderkey") % 3)
+    out = statistics.paired_bootstrap(rows, "o_custkey", "o_orderpriority", ("1-URGENT", "5-LOW"), "seed", "o_totalprice", 40, "pair")
+    return out.withColumns({c: _r(c, 4) for c in ("mean", "lo", "hi")})
+
+
+@query(_MATCHED + """ SELECT count(*) AS images, count(*) FILTER (coalesce(objects, 0) + coalesce(tp + fp, 0) = 0) AS empty_images, sum(coalesce(objects, 0))::BIGINT AS objects,
+  sum(coalesce(tp, 0))::BIGINT AS tp, sum(coalesce(fp, 0))::BIGINT AS fp, sum(coalesce(fn, 0))::BIGINT AS fn, round(sum(coalesce(tp, 0)) / greatest(1, sum(coalesce(tp + fp, 0))), 6) AS micro_precision
+FROM part LEFT JOIN counts ON image = p_partkey""")
+def manifest_evaluation(spark, sf):
+    """Sums over all images of the manifest, those without any box as well; micro precision with a floor of one."""
+    gold, predictions = boxes(spark, sf)
+    samples = matching.counts(gold, predictions, matching.match(gold, predictions))
+    all_ = matching.with_manifest(table(spark, sf, "part").select(F.col("p_partkey").alias("image")), samples)
+    empty = F.count(F.when(F.col("objects") + F.col("tp") + F.col("fp") == 0, 1)).alias("empty_images")
+    sums = all_.agg(F.count("*").alias("images"), empty, *[F.sum(c).alias(c) for c in ("objects", "tp", "fp", "fn")])
+    return sums.withColumn("micro_precision", _r(F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fp"))))
+
+
+@query(f"""WITH {_RANKED}, used AS (SELECT DISTINCT label FROM embeddings WHERE vec_id < 5),
+top AS (SELECT * FROM full_ WHERE label NOT IN (SELECT label FROM used) ORDER BY score DESC, vec_id LIMIT 36),
+one AS (SELECT *, sha256('target:' || vec_id) AS h, row_number() OVER (PARTITION BY label ORDER BY sha256('target:' || vec_id)) AS r FROM top)
+SELECT vec_id, label, round(mass, 6) AS mass FROM one WHERE r = 1 ORDER BY h LIMIT 3""")
+def targeted_sample(spark, sf):
+    """Three samples of different groups from the 36 best, without the groups of samples that are used."""
+    rows = _ranked(spark, sf)
+    used = table(spark, sf, "embeddings").where("vec_id < 5")
+    return selection.targeted(rows, used, "vec_id", "label", "target", 3).select("vec_id", "label", _r("mass").alias("mass"))
+
+
+@query("""WITH r AS (SELECT sha256(concat_ws('|', doc_id, coalesce(lang, ''), coalesce(source, ''), sha256(coalesce(text, '')))) AS h FROM documents),
+b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM r GROUP BY 1)
+SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, sum(n)::BIGINT AS n FROM b""")
+def manifest_digest(spark, sf):
+    """One digest of a table in no order: rows' digests by their first digits, then the digests of these."""
+    text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    line = F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), text)
+    rows = table(spark, sf, "documents").select(F.sha2(line.cast("binary"), 256).alias("h"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "").cast("binary"), 256)
+    parts = rows.groupBy(F.substring("h", 1, 3).alias("b")).agg(joined("h").alias("d"), F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
+    return parts.agg(F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("digest"), F.sum("n").alias("n"))
+
+
+@query("""SELECT split_part(c_name, '#', 1) AS kind, regexp_full_match(split_part(c_name, '#', 2), '[0-9]*') AS plain, coalesce(nullif(c_mktsegment, 'MACHINERY'), 'unknown') AS segment, count(*) AS n
+FROM customer GROUP BY ALL""")
+def derived_keys(spark, sf):
+    """A key's part before a mark, whether the rest has allowed characters only, and a default for a missing field."""
+    rest = F.split_part("c_name", F.lit("#"), F.lit(2)).rlike("^[0-9]*$")
+    segment = F.coalesce(F.nullif("c_mktsegment", F.lit("MACHINERY")), F.lit("unknown"))
+    return table(spark, sf, "customer").groupBy(F.split_part("c_name", F.lit("#"), F.lit(1)).alias("kind"), rest.alias("plain"), segment.alias("segment")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT event_type, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events)
+SELECT (step // 14)::INT AS epoch, count(*) AS steps, round(avg(value), 6) AS mean_loss, count(*) FILTER (step % 14 = 0) AS reported, round(count(*) / sum(value), 6) AS per_second FROM e GROUP BY 1""")
+def epoch_means(spark, sf):
+    """Losses by epoch of fourteen steps, the steps that are reported, and the throughput."""
+    step = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    rows = table(spark, sf, "events").select("value", step.alias("step"))
+    return rows.groupBy(F.floor(F.col("step") / 14).cast("int").alias("epoch")).agg(
+        F.count("*").alias("steps"), _r(F.avg("value")).alias("mean_loss"), F.count(F.when(F.col("step") % 14 == 0, 1)).alias("reported"),
+        _r(F.count("*") / F.sum("value")).alias("per_second"),
+    )
