@@ -405,12 +405,16 @@ def classifier_summary(spark, sf):
     return out.withColumns({c: _r(c) for c in ("recall", "accuracy", "balanced_accuracy")})
 
 
-@query("""WITH h AS (SELECT vec_id, embedding AS e, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda i: (embedding[i] > embedding[i + 1])::BIGINT)), lambda a, b: a * 2 + b) AS h FROM embeddings)
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_concat([embedding[2], embedding[1]], embedding[3:])::DOUBLE[] FROM embeddings),
+h AS (SELECT vec_id, e, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda i: (e[i] > e[i + 1])::BIGINT)), lambda a, b: a * 2 + b) AS h FROM v)
 SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 8
-WHERE list_sum(list_transform(range(1, len(a.e) + 1), lambda i: abs(a.e[i]::DOUBLE - b.e[i]::DOUBLE))) / len(a.e) < 0.15""")
+WHERE list_sum(list_transform(range(1, len(a.e) + 1), lambda i: abs(a.e[i] - b.e[i]))) / len(a.e) < 0.005""")
 def near_duplicate_pairs(spark, sf):
-    """Vectors whose difference hashes of all neighbouring dimensions are near and whose values are, on average."""
-    return neighbours.alike(table(spark, sf, "embeddings"), "vec_id", "embedding", 63, 8, 0.15)
+    """Vectors whose difference hashes of all neighbouring dimensions are near and whose values are, on average; among the
+    vectors and their copies with the first two values changed over."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    turned = F.concat(F.array(F.get("e", F.lit(1)), F.get("e", F.lit(0))), F.slice("e", F.lit(3), F.size("e") - 2))
+    return neighbours.alike(rows.union(rows.select(F.col("vec_id") + 1_000_000_000, turned)), "vec_id", "e", 63, 8, 0.005)
 
 
 _LOG = """log AS (SELECT user_id AS key, event_id AS seq, ['enqueue', 'start', 'succeed', 'fail'][1 + event_id % 4] AS event, 'r' || event_id AS result, 'e' || event_id AS error FROM events)"""
