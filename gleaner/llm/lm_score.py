@@ -37,6 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -47,6 +48,7 @@ BACKOFF = 0.3
 FLUSH = 200_000
 CHUNK_TOKENS = 1_500_000
 BUCKET_TOKENS = 2_000_000
+LEVEL = 3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,7 +173,7 @@ def _vocabulary(sent, key: str) -> Vocabulary:
 
 def chunks_of(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Chunks of documents: chunk (its name), doc_ids, sizes (tokens of each), ids (binary: each token's
-    place among the chunk's different words), words (binary: their hashes), n (tokens)."""
+    place among the chunk's different words, by `_planes`), words (binary: their hashes), n (tokens)."""
     kind = docs.schema["doc_id"].dataType
     schema = f"chunk long, doc_ids array<{kind.simpleString()}>, sizes array<int>, ids binary, words binary, n long"
 
@@ -181,7 +183,8 @@ def chunks_of(docs: DataFrame) -> DataFrame:
 
         def packed(type_of_id: pa.DataType) -> pa.RecordBatch:
             words = np.fromiter(map(xxhash.xxh64_intdigest, places), np.uint64, len(places))
-            cells = [uuid.uuid4().int >> 65], [doc_ids], [sizes], [b"".join(ids)], [words.tobytes()], [n]
+            places_of = np.frombuffer(b"".join(ids), "<u4")
+            cells = [uuid.uuid4().int >> 65], [doc_ids], [sizes], [_planes(places_of)], [words.tobytes()], [n]
             types = pa.int64(), pa.list_(type_of_id), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()
             arrays = [pa.array(c, t) for c, t in zip(cells, types, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, ["chunk", "doc_ids", "sizes", "ids", "words", "n"])
@@ -227,7 +230,7 @@ class Cells:
 
 
 def _cells(ids: bytes, words: bytes, sizes: np.ndarray) -> Cells:
-    own = np.frombuffer(ids, "<u4").astype(np.int64)
+    own = _from_planes(ids, "<u4").astype(np.int64)
     names = np.r_[np.frombuffer(words, "<u8"), np.uint64(0)]  # the last is the start of a text
     before = np.r_[np.int64(0), own[:-1]][: len(own)]
     before[(np.cumsum(sizes) - sizes)[sizes > 0]] = len(names) - 1
@@ -254,12 +257,16 @@ def _cells(ids: bytes, words: bytes, sizes: np.ndarray) -> Cells:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Eight-byte numbers, all first bytes before all second ones: high bytes that are mostly zero compress away."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers, all first bytes before all second ones, compressed: high bytes are mostly zero, and most counts are small.
+    A shuffle's own codec has no code for frequent bytes."""
+    width = numbers.dtype.itemsize
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes()
+    return zstandard.ZstdCompressor(LEVEL).compress(planes)
 
 
 def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _dealt(chunks: DataFrame, bits: int, own: bool) -> DataFrame:
