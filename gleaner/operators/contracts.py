@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
@@ -67,6 +68,54 @@ def budget(n: int, available: int) -> None:
         raise ContractError(f"Budget {n!r} outside of {available}")
 
 
+def limit(n: int, available: int, least: int = 20) -> None:
+    """A sample of at least `least` rows that the source has."""
+    if isinstance(n, bool) or not isinstance(n, int) or not least <= n <= available:
+        raise ContractError(f"Limit {n!r} outside of {least} to {available}")
+
+
+def roles(df: DataFrame, key: str, role: str, split: str, allowed: dict[str, list[str]]) -> DataFrame:
+    """Rows whose split their role must not use; a role that isn't named may use none. With a role for training,
+    selection and control each, or for development only."""
+    fits = reduce(Column.__or__, [(F.col(role) == r) & F.col(split).isin(splits) for r, splits in allowed.items()], F.lit(False))
+    return _violations(df.where(~F.coalesce(fits, F.lit(False))), "split of role", F.col(key), F.concat_ws(" in ", role, split))
+
+
+def prediction_errors(embedding: Column, latency: Column) -> Column:
+    """The first broken rule of a prediction, or null: a nonempty vector of finite numbers, a finite time not below zero."""
+    numbers = F.forall(embedding, lambda x: F.coalesce(finite(x), F.lit(False)))
+    out = F.when(embedding.isNull() | (F.size(embedding) == 0), "embedding is empty").when(~numbers, "embedding is not finite")
+    return out.when(~F.coalesce(finite(latency), F.lit(False)) | (latency < 0), "latency is out of range")
+
+
+def nonempty(df: DataFrame, split: str, wanted: list[str]) -> DataFrame:
+    """Splits that have no rows."""
+    want = df.sparkSession.createDataFrame([(w,) for w in wanted], "__want string")
+    return _violations(want.join(df, F.col("__want") == F.col(split), "left_anti"), "empty split", F.col("__want"), F.lit("no row"))
+
+
+def version(df: DataFrame, key: str, column: str, wanted: str) -> DataFrame:
+    """Rows of another version than the wanted one."""
+    return _violations(df.where(~F.col(column).eqNullSafe(F.lit(wanted))), f"one {column}", F.col(key), F.col(column))
+
+
+def chain(df: DataFrame, path: str, order: str, previous: str, current: str) -> DataFrame:
+    """Each step of a path starts from the digest that the step before left; the first one from none (null)."""
+    left = F.lag(current).over(W.partitionBy(path).orderBy(order))
+    broken = df.withColumn("__left", left).where(~F.col(previous).eqNullSafe(F.col("__left")))
+    return _violations(broken, "chain", F.col(path), F.col(order))
+
+
+def replay(recorded: DataFrame, again: DataFrame, key: str, value: str, tolerance: float = 0.0) -> DataFrame:
+    """Metrics that differ when computed again, or that one side lacks."""
+    a, b = recorded.select(key, F.col(value).alias("__was")), again.select(key, F.col(value).alias("__is"))
+    same = F.col("__was").eqNullSafe(F.col("__is")) | (F.abs(F.col("__was") - F.col("__is")) <= tolerance)
+    both = a.withColumn("__a", F.lit(1)).join(b.withColumn("__b", F.lit(1)), key, "full")
+    detail = F.when(F.col("__a").isNull(), "not recorded").when(F.col("__b").isNull(), "not recomputed")
+    detail = detail.when(~F.coalesce(same, F.lit(False)), "differs")
+    return _violations(both.where(detail.isNotNull()), "replay", F.col(key), detail)
+
+
 def safe_path(path: Column) -> Column:
     """Whether a relative path stays in its folder."""
     return ~(path.rlike(r"^[/\\]") | path.rlike(r"(^|[/\\])\.\.([/\\]|$)"))

@@ -610,3 +610,45 @@ def epoch_means(spark, sf):
         F.count("*").alias("steps"), _r(F.avg("value")).alias("mean_loss"), F.count(F.when(F.col("step") % 14 == 0, 1)).alias("reported"),
         _r(F.count("*") / F.sum("value")).alias("per_second"),
     )
+
+
+@query("""SELECT o_orderpriority || ' in ' || o_orderstatus AS detail, count(*) AS n FROM orders
+WHERE NOT coalesce((o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus IN ('F', 'P')) OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'F'), false) GROUP BY 1""")
+def role_contract(spark, sf):
+    """Rows whose split their role must not use: training from two, control from one, others from none."""
+    allowed = {"1-URGENT": ["F", "P"], "2-HIGH": ["F", "P"], "5-LOW": ["F"]}
+    bad = contracts.roles(table(spark, sf, "orders"), "o_orderkey", "o_orderpriority", "o_orderstatus", allowed)
+    return bad.groupBy("detail").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT error, count(*) AS n FROM (SELECT CASE WHEN e IS NULL OR len(e) = 0 THEN 'embedding is empty' WHEN list_bool_and(list_transform(e, lambda x: coalesce(isfinite(x), false))) = false THEN 'embedding is not finite'
+  WHEN NOT coalesce(isfinite(t), false) OR t < 0 THEN 'latency is out of range' END AS error
+FROM (SELECT CASE WHEN label = 0 THEN [] ELSE embedding END AS e, CASE WHEN label <> 1 THEN embedding[1]::DOUBLE END AS t FROM embeddings)) GROUP BY 1""")
+def prediction_contract(spark, sf):
+    """The first broken rule of predictions; some are made without a vector or a time."""
+    vector = F.when(F.col("label") == 0, F.array().cast("array<float>")).otherwise(F.col("embedding"))
+    time = F.when(F.col("label") != 1, F.col("embedding")[0].cast("double"))
+    rows = table(spark, sf, "embeddings").select(vector.alias("e"), time.alias("t"))
+    return rows.groupBy(contracts.prediction_errors(F.col("e"), F.col("t")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, sha256(event_type || event_id) AS cur FROM events),
+s AS (SELECT *, lag(cur) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM e)
+SELECT user_id::VARCHAR AS key, count(*) AS broken FROM s WHERE (CASE WHEN event_type = 'error' THEN 'lost' ELSE was END) IS DISTINCT FROM was GROUP BY 1""")
+def digest_chain(spark, sf):
+    """Steps that do not start from the digest that the step before left; errors lose theirs."""
+    digest = F.sha2(F.concat("event_type", F.col("event_id").cast("string")).cast("binary"), 256)
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", digest.alias("current"))
+    before = F.lag("current").over(W.partitionBy("user_id").orderBy("event_id"))
+    rows = rows.withColumn("previous", F.when(F.col("event_type") == "error", "lost").otherwise(before))
+    return contracts.chain(rows, "user_id", "event_id", "previous", "current").groupBy("key").agg(F.count("*").alias("broken"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1),
+r AS (SELECT CASE WHEN o_orderkey IS NULL THEN 'not recorded' WHEN l_orderkey IS NULL THEN 'not recomputed' WHEN NOT coalesce(abs(o_totalprice - total) <= 50000, false) THEN 'differs' END AS detail
+FROM orders FULL JOIN l ON o_orderkey = l_orderkey) SELECT detail, count(*) AS n FROM r WHERE detail IS NOT NULL GROUP BY 1""")
+def metric_replay(spark, sf):
+    """Totals that differ by more than a tolerance when they are summed again from their parts."""
+    recorded = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key_"), F.col("o_totalprice").alias("total"))
+    again = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key_")).agg(F.sum("l_extendedprice").alias("total"))
+    return contracts.replay(recorded, again, "key_", "total", 50000.0).groupBy("detail").agg(F.count("*").alias("n"))

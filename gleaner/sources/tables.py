@@ -48,16 +48,32 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return sorted(a.columns) == sorted(b.columns) and not a.exceptAll(b.select(a.columns)).take(1) and not b.select(a.columns).exceptAll(a).take(1)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_once(df: DataFrame, path: str) -> bool:
     """Write Parquet unless it is there; an equal table is left untouched, another raises. Whether it wrote."""
-    spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        if not same_rows(spark.read.parquet(path), df):
+    return write_all_once({path: df})[path]
+
+
+def write_all_once(tables: dict[str, DataFrame]) -> dict[str, bool]:
+    """`write_once` for tables that belong together: all are compared before the first one is written."""
+    there = {path: exists(df.sparkSession, path) for path, df in tables.items()}
+    for path, df in tables.items():
+        if there[path] and not same_rows(df.sparkSession.read.parquet(path), df):
             raise ValueError(f"Existing result differs: {path}")
-        return False
-    df.write.mode("errorifexists").parquet(path)
-    return True
+    for path, df in tables.items():
+        if not there[path]:
+            df.write.mode("errorifexists").parquet(path)
+    return {path: not was for path, was in there.items()}
+
+
+def refuse_frozen(spark: SparkSession, root: str, marker: str) -> None:
+    """Stop before anything is changed below a root whose release is marked by a file."""
+    if exists(spark, f"{root}/{marker}"):
+        raise ValueError(f"Frozen: {root}")
 
 
 def write_all_or_nothing(checked: DataFrame, path: str, errors: str) -> None:

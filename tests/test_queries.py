@@ -221,6 +221,43 @@ def test_sinks(spark, tmp_path):
     assert got.filepath == "p" and got.detections.detections[0].label == "car" and got.weather is None
 
 
+def test_tables_that_belong_together(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    assert tables.write_all_once({a: spark.range(3), b: spark.range(4)}) == {a: True, b: True}
+    assert tables.write_all_once({a: spark.range(3), b: spark.range(4)}) == {a: False, b: False}
+    c = str(tmp_path / "c")
+    with pytest.raises(ValueError):
+        tables.write_all_once({c: spark.range(1), b: spark.range(5)})
+    assert not tables.exists(spark, c)
+    tables.refuse_frozen(spark, str(tmp_path), "release.json")
+    (tmp_path / "release.json").write_text("{}")
+    with pytest.raises(ValueError):
+        tables.refuse_frozen(spark, str(tmp_path), "release.json")
+
+
+def test_run_contracts(spark):
+    rows = spark.createDataFrame([(1, "train", "seed"), (2, "train", "val"), (3, "control", "pool"), (4, None, "seed")], "k long, role string, split string")
+    bad = contracts.roles(rows, "k", "role", "split", {"train": ["seed", "pool"], "control": ["seed"]})
+    assert sorted(r.key for r in bad.collect()) == ["2", "3", "4"]
+    assert contracts.roles(rows, "k", "role", "split", {}).count() == 4
+    assert [r.key for r in contracts.nonempty(rows, "split", ["seed", "test"]).collect()] == ["test"]
+    assert contracts.version(rows, "k", "role", "train").count() == 2
+    nan = float("nan")
+    kinds = spark.createDataFrame([([1.0], 0.0), ([], 0.0), (None, 0.0), ([nan], 0.0), ([None], 0.0), ([1.0], -1.0), ([1.0], nan), ([1.0], None)], "e array<double>, t double")
+    errors = [r[0] for r in kinds.select(contracts.prediction_errors(F.col("e"), F.col("t"))).collect()]
+    assert errors == [None, *["embedding is empty"] * 2, *["embedding is not finite"] * 2, *["latency is out of range"] * 3]
+    steps = spark.createDataFrame([("p", 1, None, "a"), ("p", 2, "a", "b"), ("p", 3, "x", "c"), ("q", 1, "z", "a")], "path string, n int, was string, now string")
+    assert sorted((r.key, r.detail) for r in contracts.chain(steps, "path", "n", "was", "now").collect()) == [("p", "3"), ("q", "1")]
+    was = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", None), ("e", None)], "m string, v double")
+    now = spark.createDataFrame([("a", 1.05), ("b", 1.2), ("d", None), ("e", 1.0), ("f", 1.0)], "m string, v double")
+    got = {(r.key, r.detail) for r in contracts.replay(was, now, "m", "v", 0.1).collect()}
+    assert got == {("b", "differs"), ("c", "not recomputed"), ("e", "differs"), ("f", "not recorded")}
+    for n in (19, 41, True, 20.0):
+        with pytest.raises(contracts.ContractError):
+            contracts.limit(n, 40)
+    contracts.limit(20, 40)
+
+
 def test_stream(spark, sf, tmp_path):
     from gleaner.streaming import journal as streams
 
