@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_extract, langid, lm_score, mixing, pii, quality_knn, simhash_dedup, suffix_dedup
+from . import (
+    collocations, decontaminate, fim, fingerprints, html_extract, langid, lm_score, mixing, pii, quality_knn, simhash_dedup, suffix_dedup, warc,
+)
 from .common import read_table, remainder
 
 
@@ -72,11 +74,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut and put together for filling in the middle, and the texts rebuilt."""
+    done = fim.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words come together most above chance."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_language_id, op3_suffix_dedup, op4_fingerprints, op5_lm_score, op6_simhash_dedup,
-        op7_quality, op8_html_extract, op9_mixing, op10_pii,
+        op7_quality, op8_html_extract, op9_mixing, op10_pii, op11_fim, op12_collocations, op13_warc,
     )
 }
 
@@ -110,4 +130,42 @@ doc AS (SELECT row_number() OVER () AS rid, *,
 cnt AS (SELECT rid, count(*) AS n_copies FROM doc JOIN cdf ON doc.source IS NOT DISTINCT FROM cdf.source AND c < u GROUP BY rid)
 SELECT doc_id, text, lang, source, n_chars, n_copies::BIGINT AS n_copies, unnest(range(0, n_copies))::BIGINT AS copy
 FROM doc JOIN cnt USING (rid)""",
+    "op11_fim": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS d FROM t),
+c AS (SELECT *, least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS i, greatest(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS j,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 50 THEN 'plain'
+      WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:i], '') AS pre, array_to_string(u[i + 1:j], '') AS mid, array_to_string(u[j + 1:], '') AS suf FROM c)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""",
+    "op12_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, f AS a FROM g WHERE k >= 2),
+inner_ AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, size - m + 2)) AS i
+    FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size > 2))),
+held AS (SELECT lang, phrase, max(a) AS around FROM inner_ GROUP BY ALL),
+cut AS (SELECT lang, phrase, a, k, l.f AS l, r.f AS r FROM (SELECT *, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM c)) c JOIN (SELECT lang, phrase AS lp, f FROM g) l USING (lang, lp) JOIN (SELECT lang, phrase AS rp, f FROM g) r USING (lang, rp)),
+scored AS (SELECT *, (1000::HUGEINT * a * n) // (l::HUGEINT * r) AS score FROM cut JOIN total USING (lang)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best LEFT JOIN held USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+r AS (SELECT *, row_number() OVER w AS i, first_value(page_id) OVER w AS first FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST))
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(x, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN i = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN i > 1 THEN first END AS refers_to
+FROM r""",
 }
