@@ -5,7 +5,7 @@ end of the text. A hash of `seed` and the document's id draws two cuts, whether
 the parts. The kernel works on the UTF-8 buffers of an Arrow column, for all rows of a batch together: a lookup by byte
 tells white space, the mask of adjacent bytes tells where units end, its running count less that at a document's start
 numbers the units, and a binary search for the drawn numbers gives all cuts at once. A batch is taken in pieces of about
-PIECE_BYTES of text, so that memory is bounded by that or by the longest text. There is no shuffle.
+piece_bytes of text, so that memory is bounded by that or by the longest text. There is no shuffle.
 
 Defined results: a null text is empty; an empty text and one that holds a sentinel stay plain. A null id counts as an
 empty one; repeated rows give the same. Columns of the input named like new ones are replaced.
@@ -89,7 +89,7 @@ def transformed(texts: pa.Array, hashes: list[np.ndarray], rate: int, spm_rate:
     )
 
 
-def fim_column(text: Column, doc_id: Column, rate: int, spm_rate: int, seed: int) -> Column:
+def fim_column(text: Column, doc_id: Column, rate: int, spm_rate: int, seed: int, piece_bytes: int = PIECE_BYTES) -> Column:
     """The struct of PARTS."""
 
     @arrow_udf(f"struct<{', '.join(':'.join(f.split()) for f in PARTS.split(', '))}>")
@@ -98,7 +98,7 @@ def fim_column(text: Column, doc_id: Column, rate: int, spm_rate: int, seed: int
         _, at = utf8_buffer(texts)
         done, pieces = 0, []
         while done < len(texts):
-            upto = max(done + 1, int(np.searchsorted(at, at[done] + PIECE_BYTES, "right")) - 1)
+            upto = max(done + 1, int(np.searchsorted(at, at[done] + piece_bytes, "right")) - 1)
             pieces.append(transformed(texts[done:upto], [h[done:upto] for h in hashes], rate, spm_rate))
             done = upto
         return pa.concat_arrays(pieces) if pieces else transformed(texts, hashes, rate, spm_rate)
@@ -107,10 +107,10 @@ def fim_column(text: Column, doc_id: Column, rate: int, spm_rate: int, seed: int
     return kernel(text, *[F.conv(F.substring(drawn, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)])
 
 
-def transform(docs: DataFrame, rate: int = 50, spm_rate: int = 80, seed: int = 42) -> DataFrame:
+def transform(docs: DataFrame, rate: int = 50, spm_rate: int = 80, seed: int = 42, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """docs and the columns of PARTS. rate: per cent of documents that are cut; spm_rate: per cent of these whose suffix
     comes first."""
-    done = docs.withColumn("__fim", fim_column(F.col("text").cast("string"), F.col("doc_id"), rate, spm_rate, seed))
+    done = docs.withColumn("__fim", fim_column(F.col("text").cast("string"), F.col("doc_id"), rate, spm_rate, seed, piece_bytes))
     return done.withColumns({f.split()[0]: F.col("__fim")[f.split()[0]] for f in PARTS.split(", ")}).drop("__fim")
 
 

@@ -1,0 +1,133 @@
+"""WARC archives: exact round trips, malformed archives, and the plan of responses and revisits."""
+
+import base64
+import gzip
+import hashlib
+import io
+import random
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.llm import warc
+
+SCHEMA = "page_id long, url string, html string, row int, first int, digest string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 7, 7, "d") for r in rows], SCHEMA)
+
+
+def brute(rows, least=0):
+    """(page_id, bytes, digest, type, refers_to), sorted."""
+    out, groups = [], {}
+    for page_id, _, html in rows:
+        raw = (html or "").encode()
+        groups.setdefault(raw, []).append(page_id)
+    for raw, ids in groups.items():
+        ids.sort(key=lambda i: (i is None, i))
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        for n, i in enumerate(ids):
+            again = n > 0 and len(raw) >= least
+            out.append((i, len(raw), digest, "revisit" if again else "response", ids[0] if again else None))
+    return sorted(out, key=str)
+
+
+def rows_of(df):
+    return sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in df.collect()), key=str)
+
+
+ROWS = [
+    (3, "http://a/1", "<p>one</p>"), (1, "http://a/2", "<p>one</p>"), (2, None, "<p>one</p>"), (4, "", None), (5, "http://b\r\nX: y é", ""), (6, "u", "two\r\n\r\nWARC/1.1\r\n"),
+    (6, "u", "two\r\n\r\nWARC/1.1\r\n"), (6, "v", "other"), (None, "n", "nulls"), (None, "n", "nulls"), (None, "m", "alone \U0001f600"), (7, "big", "é" * 3_000_000),
+]
+
+
+def test_round_trip(spark):
+    assert rows_of(warc.round_trip(spark, frame(spark, ROWS))) == brute(ROWS)
+    assert rows_of(warc.round_trip(spark, frame(spark, ROWS), least_bytes=8)) == brute(ROWS, 8)
+    assert warc.round_trip(spark, frame(spark, [])).collect() == []
+
+
+def test_many_copies_in_small_archives(spark):
+    draw = random.Random(1)
+    rows = [(draw.randrange(400), f"http://x/{i}", draw.choice(["same", f"text {draw.randrange(60)}", f"own {i}"])) for i in range(900)]
+    folder = tempfile.mkdtemp(prefix="spark-")
+    archives = warc.write(frame(spark, rows).repartition(3), folder, archive_bytes=5000)
+    told = archives.collect()
+    assert len(told) > 20 and sum(r.records for r in told) == 900
+    back = warc.read(archives)
+    assert rows_of(warc.resolved(back)) == brute(rows)
+    # Each payload and url is that of its page, and archives are plain gzip to others.
+    pages = {(p, u, h) for p, u, h in rows}
+    got = back.where("type = 'response'").withColumn("id", warc.page_id_of(F.col("record_id"))).collect()
+    assert all((r.id, r.uri, bytes(r.payload).decode()) in pages for r in got)
+    for r in told[:3]:
+        data = open(r.path, "rb").read()
+        assert len(data) == r.bytes and gzip.decompress(data).count(b"WARC/1.1\r\n") == r.records + 1
+    # The same through Spark's own reader of binary files.
+    whole = spark.read.format("binaryFile").load(f"{folder}/*.warc.gz")
+    assert rows_of(warc.resolved(warc.read_bytes(whole))) == brute(rows)
+    # A member can be read from its offset alone.
+    some = [r for r in got if r.offset > 0][0]
+    with open(some.archive, "rb") as f:
+        f.seek(some.offset)
+        assert next(warc.records_of(f))["record_id"] == some.record_id
+
+
+def archive(*members):
+    return list(warc.records_of(io.BytesIO(b"".join(members))))
+
+
+def test_malformed_archives():
+    good = warc.page_record(1, b"http://a", b"payload", None, "urn:page:1:0")
+    record = gzip.decompress(good)
+    z = lambda raw: gzip.compress(raw)
+    fine = archive(good, good)
+    assert [r.get("error") for r in fine] == [None, None] and fine[1]["offset"] == len(good) and fine[0]["payload"] == b"payload"
+    errors = lambda *m: [r.get("error") for r in archive(*m)]
+    assert errors() == []
+    assert errors(z(record.replace(b"payload\r\n\r\n", b"paylord\r\n\r\n")), good) == ["block digest differs", None]
+    assert errors(z(record.replace(b"WARC-Block-Digest", b"X-Block-Digest").replace(b"payload\r\n\r\n", b"paylord\r\n\r\n")), good) == ["payload digest differs", None]
+    assert errors(z(record[:-6]), good) == ["block is shorter than its length", None]
+    assert errors(z(record[:-4] + b"more\r\n\r\n"), good) == ["block is longer than its length", None]
+    assert errors(z(record[:-4]), good) == ["block is longer than its length", None]
+    assert errors(z(record + b"\r\n\r\n"), good) == ["block is longer than its length", None]
+    assert errors(z(b"no header at all"), z(b""), good) == ["no record header", "no record header", None]
+    assert errors(z(record.replace(b"\r\nContent-Length", b"\r\nX-Length", 1)), good)[1] is None
+    assert errors(z(b"y" * 300_000), good) == ["no record header", None]
+    assert errors(good, good[:-9]) == [None, "truncated member"]
+    assert errors(good, good[:5]) == [None, "truncated member"]
+    stop = errors(good, b"garbage" + good)
+    assert stop[0] is None and len(stop) == 2 and stop[1].startswith("not a gzip member")
+    bent = bytearray(good)
+    bent[len(bent) // 2] ^= 0xFF
+    assert archive(bytes(bent), good)[0].get("error")
+
+
+def test_blocks_of_one_byte(monkeypatch):
+    """Members, headers and ends that fall on any border of a block."""
+    members = [warc.page_record(i, b"u", b"x\r\n\r\n" * i, None if i % 2 else f"urn:page:{i - 1}:0", f"urn:page:{i}:0") for i in range(5)]
+    want = archive(*members)
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(warc, "BLOCK_BYTES", size)
+        assert archive(*members) == want
+    assert [r["type"] for r in want] == ["revisit", "response"] * 2 + ["revisit"]
+
+
+def test_lost_and_wrong_responses(spark):
+    a = warc.page_record(1, b"u", b"one", None, "urn:page:1:0")
+    b = warc.page_record(2, b"u", b"one", "urn:page:1:0", "urn:page:2:1")
+    c = warc.page_record(3, b"u", b"two", "urn:page:1:0", "urn:page:3:2")
+    d = warc.page_record(4, b"u", b"one", "urn:page:9:9", "urn:page:4:3")
+    files = spark.createDataFrame([("x", a + b), ("y", c + d), ("z", None)], "path string, content binary")
+    got = {r.page_id: r.error for r in warc.resolved(warc.read_bytes(files)).collect()}
+    assert got == {1: None, 2: None, 3: "revisits another payload", 4: "revisits no response"}
+
+
+def test_a_wrong_record_stops_the_round_trip(spark, monkeypatch):
+    bad = gzip.compress(gzip.decompress(warc.page_record(1, b"u", b"x", None, "urn:page:1:0")).replace(b"x\r\n\r\n", b"y\r\n\r\n"))
+    monkeypatch.setattr(warc, "read", lambda archives, payloads: warc.read_bytes(spark.createDataFrame([("p", bad)], "path string, content binary")))
+    with pytest.raises(Exception, match="WARC: block digest differs"):
+        warc.round_trip(spark, frame(spark, [(1, "u", "x")])).collect()
