@@ -6,12 +6,14 @@ and r are the occurrences of phrase and parts, n of all words of the language. T
 
 Documents are packed by language into chunks (`chunks_of`), a table of the shared folder: a chunk has its own dictionary,
 and its words as numbers, with 0 between pieces. Words of all chunks' dictionaries are counted, those that occur `least`
-times get ids from 1 up (`dictionary`), and each chunk gets the ids of its own words back, so that no dictionary is
-broadcast. Elsewhere pieces are broken (`encoded`). A chunk's different n-grams are packed into fixed-width keys of 4
+times get ids from 1 up (`dictionary`). A small dictionary goes to all tasks; beyond a bound, each chunk gets the ids of
+its own words back. Elsewhere pieces are broken (`encoded`). A chunk's different n-grams are packed into fixed-width keys of 4
 bytes an id, big-endian, which Spark partitions by range and sorts by their leading bytes; a pass over the sorted keys adds
-up equal neighbours (`run_lengths`). Pairs are counted first: a longer phrase can't occur more often than a pair in it, so
-pieces are broken at rare pairs too, which the pass tells each chunk, before all longer n-grams are counted together. A
-frequent key is one row for each chunk, however often it occurs.
+up equal neighbours (`run_lengths`). A frequent key is one row for each chunk, however often it occurs.
+
+Most n-grams are rare and needn't be sent: two tables of a fixed size count pairs, then longer n-grams, by hash
+(`_sketched`), and an n-gram goes only if its place in the table, and the n-grams in it, reach `least`. What is sent is
+counted exactly; a full table sends more, and loses nothing.
 
 Candidates, their parts and their words meet by joins. Numbers are decimals of 38 digits, exact up to 10^17 words a
 language. Within a language the first `top` are chosen in parts, then among those.
@@ -26,6 +28,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,13 +37,17 @@ from pyspark.sql import functions as F
 from .common import as_binary, discard, materialized
 
 CHUNK_BYTES = 8 << 20
-#: Texts of all languages that a task holds back before it sends them on as smaller chunks.
-HELD_BYTES = 32 << 20
 SPLIT_BYTES = 1 << 20
+#: A dictionary of so many bytes or less is sent to all tasks.
+DICTIONARY_BYTES = 32 << 20
 SALTS = 64
 #: A-Z become lower-case, a tab a blank, and what ends a piece a full stop.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 0x20 if b == 9 else 0x2E if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 SHIFT = np.int64(32)
+#: The tables that rule n-grams out have 2 ** BITS places, and are sent in slices of SLICE.
+BITS = 22
+SLICE = 1 << 14
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Chunk:
@@ -68,11 +75,11 @@ class _Chunk:
         return pa.RecordBatch.from_arrays(columns, ["lang", "chunk", "words", "counts", "tokens"])
 
 
-def _slices(text: bytes):
-    """The text in slices of about SPLIT_BYTES that end where a piece ends."""
+def _slices(text: bytes, split_bytes: int = SPLIT_BYTES):
+    """The text in slices of about split_bytes that end where a piece ends."""
     done = 0
-    while len(text) - done > SPLIT_BYTES:
-        ends = max(text.rfind(mark, done, done + SPLIT_BYTES) for mark in (b".", b",", b"\n", b";", b":", b"!", b"?", b"\r"))
+    while len(text) - done > split_bytes:
+        ends = max(text.rfind(mark, done, done + split_bytes) for mark in (b".", b",", b"\n", b";", b":", b"!", b"?", b"\r"))
         if ends < 0:  # a piece that long is taken whole
             ends = min((e for mark in (b".", b",", b"\n") if (e := text.find(mark, done)) >= 0), default=len(text))
         yield text[done : ends + 1]
@@ -80,9 +87,11 @@ def _slices(text: bytes):
     yield text[done:]
 
 
-def chunks_of(docs: DataFrame) -> DataFrame:
-    """lang, chunk, words, counts, tokens: chunks of about CHUNK_BYTES of one language. To be written once: the numbers of
-    chunks are those of the tasks that made them."""
+def chunks_of(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """lang, chunk, words, counts, tokens: chunks of about chunk_bytes of one language. A task holds four such chunks'
+    bytes at most before it sends all on as they are. To be written once: the numbers of chunks are those of the tasks that
+    made them."""
+    split_bytes, held_bytes = min(SPLIT_BYTES, chunk_bytes), 4 * chunk_bytes
 
     def pack(batches):
         base = TaskContext.get().partitionId() << 32
@@ -96,21 +105,21 @@ def chunks_of(docs: DataFrame) -> DataFrame:
             for lang, texts in by_lang.items():
                 waiting: list[bytes] = []
                 size = 0
-                for part in (s for t in texts for s in _slices(t)):
+                for part in (s for t in texts for s in _slices(t, split_bytes)):
                     waiting.append(part + b".")
                     size += len(part)
-                    if size >= SPLIT_BYTES:
+                    if size >= split_bytes:
                         open_.setdefault(lang, _Chunk()).add(b"".join(waiting))
                         held, size = held + size, 0
                         waiting.clear()
-                        if open_[lang].size >= CHUNK_BYTES:
+                        if open_[lang].size >= chunk_bytes:
                             held -= open_[lang].size
                             yield open_.pop(lang).row(lang, base + made)
                             made += 1
                 if waiting:
                     open_.setdefault(lang, _Chunk()).add(b"".join(waiting))
                     held += size
-            if held >= HELD_BYTES:
+            if held >= held_bytes:
                 for lang in list(open_):
                     yield open_.pop(lang).row(lang, base + made)
                     made += 1
@@ -136,11 +145,31 @@ def dictionary(chunks: DataFrame, least: int) -> DataFrame:
     return numbered.withColumn("part", part).join(F.broadcast(first), "part").select(fits.cast("long").alias("id"), "lang", "word", "f")
 
 
-def encoded(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
-    """chunk, ids: the words of chunks as ids; runs of rare words are a 0, and words alone between such are left out."""
+def encoded(chunks: DataFrame, frequent: DataFrame, most_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+    """chunk, ids: the words of chunks as ids; runs of rare words are a 0, and words alone between such are left out. A
+    dictionary of most_bytes or less goes to all tasks; with a larger one, each chunk gets the ids of its own words by a
+    join."""
+    size = frequent.agg(F.coalesce(F.sum(F.octet_length("word") + 24), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= most_bytes:
+        table = frequent.select("lang", "word", "id").toArrow()
+        known = {lang: table.filter(pc.equal(table["lang"], lang)).select(["word", "id"]).combine_chunks() for lang in table["lang"].unique().to_pylist()}
+
+        def encode_by_all(batches):
+            for batch in batches:
+                out = []
+                for lang, words, raw in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                    ids = np.zeros(len(words) + 1, np.uint32)
+                    if lang in known:
+                        at = pc.index_in(words.values, known[lang]["word"].combine_chunks())
+                        found = at.is_valid().to_numpy(zero_copy_only=False)
+                        ids[1:][found] = known[lang]["id"].to_numpy()[at.drop_null().to_numpy()]
+                    out.append(_runs(ids[np.frombuffer(raw.as_py(), "<i4")]).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "ids"])
+
+        return chunks.select("chunk", "lang", "words", "tokens").mapInArrow(encode_by_all, "chunk long, ids binary")
     words = chunks.select("lang", "chunk", F.posexplode("words").alias("local", "word"))
-    known = words.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("local", "id")).alias("known"))
-    pairs = known.select("chunk", F.col("known.local").alias("local"), F.col("known.id").alias("id"))
+    own = words.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("local", "id")).alias("own"))
+    pairs = own.select("chunk", F.col("own.local").alias("local"), F.col("own.id").alias("id"))
 
     def encode(batches):
         for batch in batches:
@@ -148,9 +177,9 @@ def encoded(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
             out = []
             for raw, keys, values in zip(tokens, local, id_, strict=True):
                 tokens_ = np.frombuffer(raw.as_py(), "<i4")
-                table = np.zeros(tokens_.max(initial=0) + 1, np.uint32)
-                table[keys.values.to_numpy() + 1] = values.values.to_numpy()
-                out.append(_runs(table[tokens_]).tobytes())
+                ids = np.zeros(tokens_.max(initial=0) + 1, np.uint32)
+                ids[keys.values.to_numpy() + 1] = values.values.to_numpy()
+                out.append(_runs(ids[tokens_]).tobytes())
             yield pa.RecordBatch.from_arrays([chunk, pa.array(out, pa.binary())], ["chunk", "ids"])
 
     return chunks.select("chunk", "tokens").join(pairs, "chunk").mapInArrow(encode, "chunk long, ids binary")
@@ -166,45 +195,101 @@ def _runs(ids: np.ndarray) -> np.ndarray:
     return np.where(beside, ids, 0)[stays].astype("<u4")
 
 
-def pairs_of(chunks: DataFrame) -> DataFrame:
-    """key (two ids), chunk, n: the different pairs of each chunk."""
+def _hashes(ids: np.ndarray, most: int):
+    """For sizes from 2 up: the size and the hashes of the n-grams that begin at each place."""
+    words = ids.astype(np.uint64)
+    rolled = words
+    for size in range(2, most + 1):
+        if len(rolled) < 2:
+            return
+        rolled = (rolled[:-1] * MULTIPLIER ^ words[size - 1 :]) * MULTIPLIER
+        rolled ^= rolled >> np.uint64(31)
+        yield size, rolled
+
+
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes * MULTIPLIER >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _alive(ids: np.ndarray, most: int, tables: list[np.ndarray]):
+    """For sizes from 2 up: the size, the hashes, and whether the n-gram that begins at a place may be frequent by what
+    it holds and, as far as there are tables, by its own. tables: of pairs, of longer n-grams, packed bits."""
+    before = ids > 0
+    for size, hashes in _hashes(ids, most):
+        alive = before[:-1] & before[1:]
+        if len(tables) > min(size, 3) - 2:
+            at = np.flatnonzero(alive)
+            table = tables[min(size, 3) - 2]
+            places = _places(hashes[at], len(table).bit_length() + 2)
+            alive[at] = table[places >> 3] << (places & 7) & 0x80
+        yield size, hashes, alive
+        before = alive
+
+
+def _sketched(chunks: DataFrame, sizes: range, tables: list[np.ndarray], least: int, bits: int = BITS) -> np.ndarray:
+    """Which places of a table of 2 ** bits have `least` n-grams of these sizes or more: an n-gram at another place occurs
+    less often. A task counts in a table of its own and sends it on in slices, up to `least` a place; tasks add up slices, and
+    the driver gets one bit a place."""
+    kind = np.uint8 if least <= 255 else np.uint32
+    slice_ = min(SLICE, 1 << bits)
 
     def count(batches):
+        table = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_py(), "<u4").astype(np.int64)
-                both = (ids[:-1] > 0) & (ids[1:] > 0)
-                keys, n = np.unique((ids[:-1] << SHIFT | ids[1:])[both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([_packed([keys >> SHIFT, keys & 0xFFFFFFFF], 2), pa.array(np.full(len(n), chunk)), pa.array(n)], ["key", "chunk", "n"])
+            for raw in batch.column(0):
+                ids = np.frombuffer(raw.as_py(), "<u4")
+                for size, hashes, alive in _alive(ids, sizes[-1], tables):
+                    places = _places(hashes[alive], bits) if size in sizes else np.zeros(0, np.int64)
+                    if len(places) > len(table) // 16:
+                        table += np.bincount(places, minlength=len(table))
+                    else:
+                        np.add.at(table, places, 1)
+        slices = np.minimum(table, least).astype(kind).reshape(-1, slice_)
+        at = np.flatnonzero(slices.any(axis=1))
+        out = []
+        for own in slices[at]:
+            some = np.flatnonzero(own).astype("<u2")
+            out.append(b"s" + some.tobytes() + own[some].tobytes() if 4 * len(some) < slice_ else b"d" + own.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out, pa.binary())], ["slice", "counts"])
+
+    def add_up(batches):
+        tables_: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = raw.as_py()
+                own = tables_.setdefault(at, np.zeros(slice_, np.int64))
+                if data[:1] == b"d":
+                    own += np.frombuffer(data, kind, offset=1)
+                else:
+                    n = (len(data) - 1) // (2 + np.dtype(kind).itemsize)
+                    own[np.frombuffer(data, "<u2", n, 1)] += np.frombuffer(data, kind, n, 1 + 2 * n)
+        full = [np.packbits(t >= least).tobytes() for t in tables_.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(tables_), pa.int64()), pa.array(full, pa.binary())], ["slice", "bits"])
 
-    return chunks.mapInArrow(count, "key binary, chunk long, n long")
+    sums = chunks.select("ids").mapInArrow(count, "slice long, counts binary").repartition("slice").mapInArrow(add_up, "slice long, bits binary")
+    out = np.zeros(((1 << bits) // slice_, slice_ // 8), np.uint8)
+    for row in sums.collect():
+        out[row.slice] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
 
 
-def longer_of(chunks: DataFrame, most: int) -> DataFrame:
-    """key, n: the different n-grams of 3 to `most` ids of each chunk all whose pairs are frequent. chunks: chunk, ids and
-    the chunk's frequent pairs."""
+def grams_of(chunks: DataFrame, most: int, tables: list[np.ndarray]) -> DataFrame:
+    """key, n: the different n-grams of 2 to `most` ids of each chunk that may be frequent."""
 
     def count(batches):
         for batch in batches:
-            for raw, pairs in zip(batch.column(0), batch.column(1), strict=True):
+            for raw in batch.column(0):
                 ids = np.frombuffer(raw.as_py(), "<u4").astype(np.int64)
-                own = np.sort(np.array([int.from_bytes(p, "big") for p in pairs.as_py()], np.uint64).view(np.int64))
-                keys = ids[:-1] << SHIFT | ids[1:]
-                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-                rank = np.where(own[at] == keys, at + 1, 0)  # of the n-gram that begins at a place
-                joins = rank > 0
-                for size in range(3, most + 1):
-                    if len(rank) < 2:
-                        break
-                    whole = (rank[:-1] > 0) & joins[size - 2 :]
-                    places = np.flatnonzero(whole)
+                rank = ids  # of the n-gram that begins at a place
+                for size, _, alive in _alive(ids, most, tables):
+                    places = np.flatnonzero(alive)
                     _, first, inverse, n = np.unique(rank[places] << SHIFT | ids[places + size - 1], return_index=True, return_inverse=True, return_counts=True)
                     begins = places[first]
                     yield pa.RecordBatch.from_arrays([_packed([ids[begins + i] for i in range(size)], most), pa.array(n)], ["key", "n"])
-                    rank = np.zeros(len(whole), np.int64)
+                    rank = np.zeros(len(alive), np.int64)
                     rank[places] = inverse + 1
 
-    return chunks.mapInArrow(count, "key binary, n long")
+    return chunks.select("ids").mapInArrow(count, "key binary, n long")
 
 
 def _packed(ids: list[np.ndarray], width: int) -> pa.Array:
@@ -217,57 +302,33 @@ def _packed(ids: list[np.ndarray], width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(ends), pa.py_buffer(table.tobytes())])
 
 
-def run_lengths(counts: DataFrame, least: int, width: int, tell: bool = False) -> DataFrame:
+def run_lengths(counts: DataFrame, least: int, width: int) -> DataFrame:
     """key, f of the keys that occur `least` times or more. counts: key, n. They are partitioned by range and sorted; a
-    task adds up equal neighbours and holds no more than a batch. With tell also, for each chunk of counts that has such a
-    key, key and chunk (f is null)."""
-    columns = ["key", "chunk", "n"] if tell else ["key", "n"]
+    task adds up equal neighbours and holds no more than a batch."""
 
     def add_up(batches):
-        last, total, waiting = None, 0, []  # of the key that the batch before ended with; its chunks until it is frequent
+        last, total = None, 0  # the key that the batch before ended with
         for batch in batches:
             if not batch.num_rows:
                 continue
             column = batch.column(0)
             ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
             keys = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), 4 * width)
-            n = batch.column(batch.num_columns - 1).to_numpy()
             starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
-            sums, stops = np.add.reduceat(n, starts), np.append(starts[1:], len(n))
-            chunks = batch.column(1).to_numpy() if tell else n
-            out_keys, out_chunks, out_f = [], [], []
-            carried = last is not None and keys[0].tobytes() == last
-            if last is not None and not carried and total >= least:
-                out_keys, out_chunks, out_f = [last], [None], [total]
-            before = total if carried else 0
-            sums[0] += before
-            if tell:
-                if carried and before < least <= sums[0]:
-                    for c in waiting:
-                        out_keys, out_chunks, out_f = [*out_keys, last], [*out_chunks, c], [*out_f, None]
-                if not carried or sums[0] >= least:
-                    waiting = []
-            own = np.flatnonzero(sums >= least)
-            done = own[own < len(starts) - 1]  # the last run may go on
-            out_keys += [keys[starts[i]].tobytes() for i in done]
-            out_chunks += [None] * len(done)
-            out_f += sums[done].tolist()
-            if tell:
-                for i in own:
-                    mine = chunks[starts[i] : stops[i]].tolist()
-                    out_keys += [keys[starts[i]].tobytes()] * len(mine)
-                    out_chunks += mine
-                    out_f += [None] * len(mine)
-                if sums[-1] < least:
-                    waiting = (waiting if carried and len(starts) == 1 else []) + chunks[starts[-1] : stops[-1]].tolist()
-                else:
-                    waiting = []
+            sums = np.add.reduceat(batch.column(1).to_numpy(), starts)
+            out = []
+            if keys[0].tobytes() == last:
+                sums[0] += total
+            elif total >= least:
+                out.append((last, total))
+            own = np.flatnonzero(sums[:-1] >= least)  # the last run may go on
+            out += zip((keys[starts[i]].tobytes() for i in own), sums[own].tolist(), strict=True)
             last, total = keys[-1].tobytes(), int(sums[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.binary()), pa.array(out_chunks, pa.int64()), pa.array(out_f, pa.int64())], ["key", "chunk", "f"])
-        if last is not None and total >= least:
-            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([None], pa.int64()), pa.array([total])], ["key", "chunk", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([f for _, f in out], pa.int64())], ["key", "f"])
+        if total >= least:
+            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([total])], ["key", "f"])
 
-    return counts.select(columns).repartitionByRange("key").sortWithinPartitions("key").mapInArrow(add_up, "key binary, chunk long, f long")
+    return counts.select("key", "n").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(add_up, "key binary, f long")
 
 
 def _bytes(key: Column, first: Column | int, count: Column | int) -> Column:
@@ -276,24 +337,28 @@ def _bytes(key: Column, first: Column | int, count: Column | int) -> Column:
     return F.substr(key, lit(first) * 4 - 3, lit(count) * 4)
 
 
-def collocations(docs: DataFrame, least: int = 100, most: int = 5, percent: int = 100, top: int = 2000) -> DataFrame:
+def collocations(
+    docs: DataFrame, least: int = 100, most: int = 5, percent: int = 100, top: int = 2000, chunk_bytes: int = CHUNK_BYTES, bits: int = BITS,
+    dictionary_bytes: int = DICTIONARY_BYTES,
+) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of each language by score, a, phrase. A candidate is dropped
-    if a longer one that holds it occurs at least `percent` per cent as often. docs: lang, text."""
+    if a longer one that holds it occurs at least `percent` per cent as often. docs: lang, text. chunk_bytes, bits and
+    dictionary_bytes change the work only: the sizes of chunks, of the tables that rule n-grams out, and of a dictionary
+    that all tasks get."""
     if not (least >= 1 and 2 <= most and top >= 1):
         raise ValueError("least and top must be 1 or more, most 2 or more")
-    chunks = materialized(chunks_of(docs))
+    chunks = materialized(chunks_of(docs, chunk_bytes))
     words = chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     totals = materialized(words)
     frequent = materialized(dictionary(chunks, least))
-    ids = materialized(encoded(chunks, frequent))
+    ids = materialized(encoded(chunks, frequent, dictionary_bytes))
     discard(chunks)
-    pairs = materialized(run_lengths(pairs_of(ids), least, 2, tell=True))
-    own = pairs.where("chunk is not null").groupBy("chunk").agg(F.collect_list("key").alias("pairs"))
-    longer = run_lengths(longer_of(ids.join(own, "chunk").select("ids", "pairs"), most), least, most)
-    # A key ends where its zeros begin: an id has a byte that isn't 0, but the bytes after it may be 0.
+    tables = [_sketched(ids, range(2, 3), [], least, bits)]
+    if most > 2:
+        tables.append(_sketched(ids, range(3, most + 1), tables, least, bits))
+    whole = run_lengths(grams_of(ids, most, tables), least, most)
     size = sum((F.when(_bytes(F.col("key"), i, 1) != F.lit(b"\0\0\0\0"), 1).otherwise(0) for i in range(1, most + 1)), F.lit(0))
-    longer = longer.withColumn("size", size).select(_bytes(F.col("key"), 1, F.col("size")).alias("key"), "size", "f")
-    grams = materialized(pairs.where("chunk is null").select("key", F.lit(2).alias("size"), "f").union(longer))
+    grams = materialized(whole.withColumn("size", size).select(_bytes(F.col("key"), 1, F.col("size")).alias("key"), "size", "f"))
     single = frequent.select(F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("key"), "f")
     parts = single.union(grams.where(F.col("size") < most).select("key", "f"))
 

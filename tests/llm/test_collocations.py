@@ -62,6 +62,7 @@ def test_parameters_and_small_chunks(spark):
     """Many chunks, and slices that end within texts."""
     rows = sentences(2, 150, 5)
     assert held(spark, rows, least=4, percent=60, chunk_bytes=200)
+    assert held(spark, rows, least=4, percent=60, chunk_bytes=200, dictionary_bytes=0)
     assert len(held(spark, rows, least=2, top=3, chunk_bytes=30)) == 9
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert C.chunks_of(docs, 30).count() > C.chunks_of(docs, 200).count() > C.chunks_of(docs).count()
