@@ -2,82 +2,120 @@
 
 Per image, class, area and threshold the detections, best score first and at most 100, take the free gold box with the
 greatest overlap, the later one on ties; boxes outside of the area are ignored and taken last. What matches an ignored
-box is ignored, and so is an unmatched detection outside of the area. All of it is one plan: pairs are joined once on
-image and class, then spread over thresholds and areas."""
+box is ignored, and so is an unmatched detection outside of the area. An image and class is gone through once for all 40
+cells of threshold and area: what is taken, ignored or hit is a bit for each cell. Curves are those of `curves`."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .matching import BOX, curve_of, overlaps
-from .running import cuts_of
+from ..functions.scalars import iou
+from .curves import LEVELS, Lanes, interpolated  # noqa: F401
+from .matching import BOX
+from .statistics import multiplicity
 
 # Fixed values of the metric.
 THRESHOLDS = [float(t) for t in np.linspace(0.5, 0.95, 10)]
-LEVELS = [float(r) for r in np.linspace(0.0, 1.0, 101)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 LIMITS = (1, 10, 100)
+#: Cells are numbered by area, then threshold.
+CELLS = len(AREAS) * len(THRESHOLDS)
+_ALL_THRESHOLDS = (1 << len(THRESHOLDS)) - 1
 
 
-def _table(values: list[Column], name: str) -> Column:
-    return F.explode(F.array(*values)).alias(name)
-
-
-def _outside(size: Column) -> Column:
-    """Pairs of an area's name and whether the size is outside of it."""
-    return F.explode(F.array(*[F.struct(F.lit(n).alias("area"), ((size < lo) | (size > hi)).alias("out")) for n, (lo, hi) in AREAS.items()]))
-
-
-def _size() -> Column:
+def _outside() -> Column:
+    """The cells whose area a box is outside of, as bits."""
     x1, y1, x2, y2 = (F.col(c) for c in BOX)
-    return (x2 - x1) * (y2 - y1)
+    size, out = (x2 - x1) * (y2 - y1), F.lit(0).cast("long")
+    for i, (lo, hi) in enumerate(AREAS.values()):
+        out = out + F.when((size < lo) | (size > hi), F.lit(_ALL_THRESHOLDS << i * len(THRESHOLDS)).cast("long")).otherwise(0)
+    return out
+
+
+def _reached(overlap: Column) -> Column:
+    """The cells whose threshold an overlap reaches, as bits."""
+    out = F.lit(0).cast("long")
+    for i, t in enumerate(THRESHOLDS):
+        bits = sum(1 << i + a * len(THRESHOLDS) for a in range(len(AREAS)))
+        out = out + F.when(overlap >= min(t, 1 - 1e-10), F.lit(bits).cast("long")).otherwise(0)
+    return out
+
+
+def _take(ranks: list, golds: list, reached: list, outs: list) -> dict[int, tuple[int, int]]:
+    """Pairs of one image and class, by rank and then preference: by rank, the cells that are hit, and those where the hit
+    is an ignored box."""
+    used: dict[int, int] = {}
+    got: dict[int, tuple[int, int]] = {}
+    start = 0
+    while start < len(ranks):
+        stop, rank, hit, ignored = start, ranks[start], 0, 0
+        while stop < len(ranks) and ranks[stop] == rank:
+            stop += 1
+        for last in (False, True):  # boxes outside of an area come last
+            for i in range(start, stop):
+                cells = reached[i] & (outs[i] if last else ~outs[i]) & ~used.get(golds[i], 0) & ~hit
+                if cells:
+                    used[golds[i]] = used.get(golds[i], 0) | cells
+                    hit |= cells
+                    ignored |= cells if last else 0
+        got[rank] = hit, ignored
+        start = stop
+    return got
+
+
+def judged(gold: DataFrame, predictions: DataFrame, runs: list[str] | None = None) -> DataFrame:
+    """runs, image, cls, rank, score, hit, skip: the best 100 detections of each image and class, with the cells as bits
+    where each hits or is ignored. predictions may be of several runs over the same gold boxes."""
+    runs = runs or []
+    key = [*runs, "image", "cls"]
+    best = W.partitionBy(*key).orderBy(F.desc("score"), "j")
+    top = predictions.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= max(LIMITS))
+    boxes = gold.select("image", "cls", F.col("j").cast("long").alias("g"), _outside().alias("out"), *[F.col(c).alias(f"g{c}") for c in BOX])
+    overlap = iou(tuple(F.col(f"g{c}") for c in BOX), tuple(F.col(c) for c in BOX))
+    near = top.join(boxes, ["image", "cls"]).where(overlap >= min(THRESHOLDS))
+    pairs = near.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", (-overlap).alias("i"), (-F.col("g")).alias("n"), "out"))).alias("pairs"))
+    pairs = pairs.select(*key, *[F.col(f"pairs.{c}").alias(f"p_{c}") for c in ("rank", "n", "out")], F.transform("pairs.i", lambda i: _reached(-i)).alias("p_reached"))
+    kinds = ", ".join(f"`{c}` {(predictions if c in runs else gold).schema[c].dataType.simpleString()}" for c in key)
+
+    def take(batches):
+        for batch in batches:
+            at, ranks, hits, ignored = [], [], [], []
+            lists = [batch.column(c).to_pylist() for c in ("p_rank", "p_n", "p_reached", "p_out")]
+            for row, (r, n, t, o) in enumerate(zip(*lists, strict=True)):
+                for rank, (hit, skip) in _take(r, n, t, o).items():
+                    at.append(row), ranks.append(rank), hits.append(hit), ignored.append(skip)
+            rows = pa.array(at, pa.int64())
+            columns = [batch.column(c).take(rows) for c in key] + [pa.array(v, pa.int64()) for v in (ranks, hits, ignored)]
+            yield pa.RecordBatch.from_arrays(columns, [*key, "rank", "hit", "ignored"])
+
+    taken = pairs.mapInArrow(take, f"{kinds}, rank long, hit long, ignored long")
+    both = top.select(*key, "rank", "score", _outside().alias("far")).join(taken, [*key, "rank"], "left")
+    zero = F.lit(0).cast("long")
+    hit, ignored = F.coalesce("hit", zero), F.coalesce("ignored", zero)
+    return both.select(*key, "rank", "score", hit.alias("hit"), ignored.bitwiseOR(F.col("far").bitwiseAND(F.bitwise_not(hit))).alias("skip"))
 
 
 def curves(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """cls, area, thr, lim, positives, ap, recall of each defined cell."""
-    best = W.partitionBy("image", "cls").orderBy(F.desc("score"), "j")
-    top = predictions.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(LIMITS))
-    gold_area = gold.select("image", "cls", "j", _outside(_size()).alias("a")).select("image", "cls", "j", "a.area", "a.out")
-    thresholds = _table([F.lit(t) for t in THRESHOLDS], "thr")
-    pairs = overlaps(gold, top, min(THRESHOLDS)).select("image", "cls", "j", "p", "iou", thresholds)
-    pairs = pairs.where(F.col("iou") >= F.least("thr", F.lit(1 - 1e-10))).join(gold_area, ["image", "cls", "j"])
-    detections = top.select("image", "cls", F.col("j").alias("p"), "rank", "score", _outside(_size()).alias("a"))
-    detections = detections.select("image", "cls", "p", "rank", "score", "a.area", F.col("a.out").alias("far"))
-    wanted = pairs.groupBy("image", "cls", "area", "thr", "p").agg(
-        F.array_sort(F.collect_list(F.struct("out", (-F.col("iou")).alias("i"), (-F.col("j")).alias("n")))).alias("free")
+    lanes = Lanes(CELLS, LIMITS)
+    rows = judged(gold, predictions)
+    inside = gold.select("cls", _outside().alias("out")).groupBy("cls").agg(
+        *[F.count(F.when(F.col("out").bitwiseAND(F.lit(1 << i * len(THRESHOLDS))) == 0, 1)).alias(f"a{i}") for i in range(len(AREAS))]
     )
-    ranked = wanted.join(detections.select("image", "cls", "p", "rank", "area"), ["image", "cls", "p", "area"])
-    folded = ranked.groupBy("image", "cls", "area", "thr").agg(F.array_sort(F.collect_list(F.struct("rank", "p", "free"))).alias("all"))
-    start = F.expr("named_struct('used', cast(array() as array<bigint>), 'got', cast(array() as array<struct<p:bigint,out:boolean>>))")
-
-    def take(acc: Column, x: Column) -> Column:
-        free = F.slice(F.filter(x["free"], lambda c: ~F.array_contains(acc["used"], c["n"].cast("long"))), 1, 1)
-        return F.struct(
-            F.concat(acc["used"], F.transform(free, lambda c: c["n"].cast("long"))).alias("used"),
-            F.concat(acc["got"], F.transform(free, lambda c: F.struct(x["p"].cast("long").alias("p"), c["out"].alias("out")))).alias("got"),
-        )
-
-    matched = folded.select("image", "cls", "area", "thr", F.inline(F.aggregate("all", start, take)["got"]))
-    every = detections.withColumn("thr", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
-    judged = every.join(matched, ["image", "cls", "area", "thr", "p"], "left").select(
-        "image", "cls", "area", "thr", "score", "rank",
-        F.col("out").isNotNull().cast("int").alias("hit"), F.coalesce("out", "far").alias("ignored"),
+    per_area = inside.select("cls", F.posexplode(F.array(*[f"a{i}" for i in range(len(AREAS))])).alias("a", "positives")).where("positives > 0")
+    each = len(THRESHOLDS) * len(LIMITS)
+    positives = per_area.select("cls", F.explode(F.sequence(F.col("a") * each, F.col("a") * each + each - 1)).alias("lane"), "positives")
+    found = interpolated(rows, ["cls"], [F.desc("score"), F.asc("image"), F.asc("rank")], positives, lanes)
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    cell, limit = F.floor(F.col("lane") / len(LIMITS)), F.col("lane") % len(LIMITS)
+    return found.select(
+        "cls", pick(AREAS, F.floor(cell / len(THRESHOLDS))).alias("area"), pick(THRESHOLDS, cell % len(THRESHOLDS)).alias("thr"),
+        pick(LIMITS, limit).alias("lim"), "positives", "ap", "recall",
     )
-    counted = judged.where("not ignored").withColumn("lim", F.explode(F.array(*[F.lit(n) for n in LIMITS]))).where("rank <= lim")
-    positives = gold_area.where("not out").groupBy("cls", "area").agg(F.count("*").alias("positives"))
-    cell = ["cls", "area", "thr", "lim"]
-    scored = counted.join(positives, ["cls", "area"])
-    curve = curve_of(scored, cell, [F.asc("image"), F.asc("rank")], cuts_of(predictions, "score"))
-    levels = [F.coalesce(F.max(F.when(F.col("rc") >= r, F.col("pr"))), F.lit(0.0)).alias(f"l{i}") for i, r in enumerate(LEVELS)]
-    found = curve.groupBy(*cell).agg(F.max("rc").alias("recall"), *levels)
-    found = found.select(*cell, "recall", F.aggregate(F.array(*[f"l{i}" for i in range(101)]), F.lit(0.0), lambda s, x: s + x / 101).alias("ap"))
-    grid = positives.withColumn("thr", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS]))).withColumn(
-        "lim", F.explode(F.array(*[F.lit(n) for n in LIMITS]))
-    )
-    return grid.join(found, cell, "left").na.fill(0.0, ["ap", "recall"])
 
 
 def summary(gold: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -97,3 +135,41 @@ def summary(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     out |= {f"AR{n}": mean("recall", (F.col("lim") == n) & all_) for n in LIMITS}
     out |= {f"AR_{a}": mean("recall", top & (F.col("area") == a)) for a in ("small", "medium", "large")}
     return c.agg(*[v.alias(k) for k, v in out.items()])
+
+
+def bootstrap(
+    gold: DataFrame, predictions: DataFrame, images: DataFrame, arm: str, seed: str, replicates: int, salt: str
+) -> DataFrame:
+    """arm, seed, replicate, ap: the average precision of each run when groups of images are drawn anew. images: image,
+    group. A replicate draws the same groups for all runs; all replicates are one pass, with a weight for each row. A class
+    counts in a replicate if a gold box of it is drawn; a replicate without any has no rows. An image drawn twice is two
+    images; its detections of one score and class are in the order of their rank first."""
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: multiplicity(F.col("group"), r, salt).cast("tinyint"))
+    by_group = images.select("group").distinct().select("group", drawn.alias("weights"))
+    by_image = images.select("image", "group").join(by_group, "group").select("image", "weights")
+    first = F.lit(_ALL_THRESHOLDS).cast("long")  # the cells of the area of all boxes
+    rows = judged(gold, predictions, [arm, seed]).join(by_image, "image")
+    rows = rows.withColumns({c: F.col(c).bitwiseAND(first) for c in ("hit", "skip")})
+    lanes = Lanes(len(THRESHOLDS), (), replicates)
+    inside = gold.where(_outside().bitwiseAND(first) == 0).select("image", "cls").join(by_image, "image")
+    inside = inside.select("cls", F.posexplode("weights").alias("replicate", "w")).groupBy("cls", "replicate").agg(F.sum("w").cast("long").alias("positives")).where("positives > 0")
+    every = F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))
+    positives = inside.select("cls", "positives", F.explode(F.transform(every, lambda t: lanes.number(t, F.lit(0), F.col("replicate")))).alias("lane"))
+    found = interpolated(rows, [arm, seed, "cls"], [F.desc("score"), F.asc("image"), F.asc("rank")], positives, lanes)
+    sums = found.groupBy(arm, seed, (F.col("lane") % replicates).alias("replicate")).agg(F.sum("ap").alias("ap"))
+    cells = inside.groupBy("replicate").agg((F.count("*") * len(THRESHOLDS)).alias("cells"))
+    runs = predictions.select(arm, seed).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    whole = runs.join(cells, "replicate").join(sums, [arm, seed, "replicate"], "left")
+    return whole.select(arm, seed, (F.col("replicate") + 1).alias("replicate"), (F.coalesce("ap", F.lit(0.0)) / F.col("cells")).alias("ap"))
+
+
+def paired_bootstrap(
+    gold: DataFrame, predictions: DataFrame, images: DataFrame, arm: str, seed: str, arms: tuple[str, str], replicates: int, salt: str
+) -> DataFrame:
+    """One row: mean, lo and hi (2.5 and 97.5 per cent) over replicates of the mean over seeds of the first arm's average
+    precision less the second's."""
+    each = bootstrap(gold, predictions.where(F.col(arm).isin(*arms)), images, arm, seed, replicates, salt)
+    of = lambda a: F.max(F.when(F.col(arm) == a, F.col("ap")))
+    deltas = each.groupBy("replicate", seed).agg((of(arms[0]) - of(arms[1])).alias("d")).groupBy("replicate").agg(F.avg("d").alias("d"))
+    q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
+    return deltas.agg(F.avg("d").alias("mean"), q.alias("q"), F.count("*").alias("replicates")).select("mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "replicates")

@@ -18,31 +18,31 @@ class ContractError(ValueError):
     """A contract is violated."""
 
 
-def _violations(df: DataFrame, rule: str, key: Column, detail: Column) -> DataFrame:
+def violations(df: DataFrame, rule: str, key: Column, detail: Column) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
 
 
 def unique(df: DataFrame, column: str) -> DataFrame:
     again = df.groupBy(column).agg(F.count("*").alias("n")).where("n > 1")
-    return _violations(again, f"unique {column}", F.col(column), F.col("n"))
+    return violations(again, f"unique {column}", F.col(column), F.col("n"))
 
 
 def one_value_per_group(df: DataFrame, group: str, column: str) -> DataFrame:
     """A group lies in one split only."""
     spread = df.groupBy(group).agg(F.count_distinct(column).alias("n")).where("n > 1")
-    return _violations(spread, f"one {column} per {group}", F.col(group), F.col("n"))
+    return violations(spread, f"one {column} per {group}", F.col(group), F.col("n"))
 
 
 def complete(left: DataFrame, right: DataFrame, key: str, same: str | None = None) -> DataFrame:
     """Every left row has a right one (with the same content), and no right row is left over."""
     a, b = left.select(key, *([same] if same else [])), right.select(key, *([F.col(same).alias("__same")] if same else []), F.lit(1).alias("__there"))
     joined = a.join(b, key, "left")
-    missing = _violations(joined.where("__there is null"), "missing", F.col(key), F.lit("no row"))
-    extra = _violations(right.join(left.select(key), key, "left_anti"), "unexpected", F.col(key), F.lit("extra row"))
+    missing = violations(joined.where("__there is null"), "missing", F.col(key), F.lit("no row"))
+    extra = violations(right.join(left.select(key), key, "left_anti"), "unexpected", F.col(key), F.lit("extra row"))
     out = missing.union(extra)
     if same:
         stale = joined.where(F.col("__there").isNotNull() & ~F.col(same).eqNullSafe(F.col("__same")))
-        out = out.union(_violations(stale, "stale", F.col(key), F.col("__same")))
+        out = out.union(violations(stale, "stale", F.col(key), F.col("__same")))
     return out
 
 
@@ -60,7 +60,7 @@ def pool(df: DataFrame) -> DataFrame:
     """Selection sees just its columns, and rows of the pool only."""
     if sorted(df.columns) != sorted(POOL_COLUMNS):
         raise ContractError(f"Pool columns: {sorted(df.columns)}")
-    return _violations(df.where("split is distinct from 'pool'"), "pool only", F.col("sample_id"), F.col("split"))
+    return violations(df.where("split is distinct from 'pool'"), "pool only", F.col("sample_id"), F.col("split"))
 
 
 def budget(n: int, available: int) -> None:
@@ -78,7 +78,7 @@ def roles(df: DataFrame, key: str, role: str, split: str, allowed: dict[str, lis
     """Rows whose split their role must not use; a role that isn't named may use none. With a role for training,
     selection and control each, or for development only."""
     fits = reduce(Column.__or__, [(F.col(role) == r) & F.col(split).isin(splits) for r, splits in allowed.items()], F.lit(False))
-    return _violations(df.where(~F.coalesce(fits, F.lit(False))), "split of role", F.col(key), F.concat_ws(" in ", role, split))
+    return violations(df.where(~F.coalesce(fits, F.lit(False))), "split of role", F.col(key), F.concat_ws(" in ", role, split))
 
 
 def prediction_errors(embedding: Column, latency: Column) -> Column:
@@ -91,19 +91,19 @@ def prediction_errors(embedding: Column, latency: Column) -> Column:
 def nonempty(df: DataFrame, split: str, wanted: list[str]) -> DataFrame:
     """Splits that have no rows."""
     want = df.sparkSession.createDataFrame([(w,) for w in wanted], "__want string")
-    return _violations(want.join(df, F.col("__want") == F.col(split), "left_anti"), "empty split", F.col("__want"), F.lit("no row"))
+    return violations(want.join(df, F.col("__want") == F.col(split), "left_anti"), "empty split", F.col("__want"), F.lit("no row"))
 
 
 def version(df: DataFrame, key: str, column: str, wanted: str) -> DataFrame:
     """Rows of another version than the wanted one."""
-    return _violations(df.where(~F.col(column).eqNullSafe(F.lit(wanted))), f"one {column}", F.col(key), F.col(column))
+    return violations(df.where(~F.col(column).eqNullSafe(F.lit(wanted))), f"one {column}", F.col(key), F.col(column))
 
 
 def chain(df: DataFrame, path: str, order: str, previous: str, current: str) -> DataFrame:
     """Each step of a path starts from the digest that the step before left; the first one from none (null)."""
     left = F.lag(current).over(W.partitionBy(path).orderBy(order))
     broken = df.withColumn("__left", left).where(~F.col(previous).eqNullSafe(F.col("__left")))
-    return _violations(broken, "chain", F.col(path), F.col(order))
+    return violations(broken, "chain", F.col(path), F.col(order))
 
 
 def replay(recorded: DataFrame, again: DataFrame, key: str, value: str, tolerance: float = 0.0) -> DataFrame:
@@ -113,7 +113,7 @@ def replay(recorded: DataFrame, again: DataFrame, key: str, value: str, toleranc
     both = a.withColumn("__a", F.lit(1)).join(b.withColumn("__b", F.lit(1)), key, "full")
     detail = F.when(F.col("__a").isNull(), "not recorded").when(F.col("__b").isNull(), "not recomputed")
     detail = detail.when(~F.coalesce(same, F.lit(False)), "differs")
-    return _violations(both.where(detail.isNotNull()), "replay", F.col(key), detail)
+    return violations(both.where(detail.isNotNull()), "replay", F.col(key), detail)
 
 
 def safe_path(path: Column) -> Column:
@@ -126,7 +126,7 @@ def allow_list(current: DataFrame, allowed: DataFrame) -> DataFrame:
     a = allowed.select("path", F.col("sha256").alias("want"))
     both = a.join(current.select("path", F.col("sha256").alias("got")), "path", "full")
     detail = F.when(F.col("got").isNull(), "gone").when(F.col("want").isNull(), "not listed").when(F.col("got") != F.col("want"), "changed")
-    return _violations(both.where(detail.isNotNull()), "artifact", F.col("path"), detail)
+    return violations(both.where(detail.isNotNull()), "artifact", F.col("path"), detail)
 
 
 def enforce(*tables: DataFrame) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iou, ratio
-from .running import running
+from .curves import Lanes, interpolated
 
 OVERLAP = 0.5
 BOX = ("x1", "y1", "x2", "y2")
@@ -81,19 +81,9 @@ def object_slices(gold: DataFrame, matched: DataFrame, tags: list[Column]) -> Da
     return sums.withColumns({"fn": F.col("objects") - F.col("tp"), "recall": ratio(F.col("tp"), F.col("objects"))})
 
 
-def curve_of(scored: DataFrame, group: list[str], tie: list[Column], cuts: list[float]) -> DataFrame:
-    """scored: rows of group with score, hit (0/1) and positives (of the group). rc, pr: recall and precision down to each
-    row, best score first. cuts: of the score."""
-    order = [F.desc("score"), *tie]
-    run = running(scored, group, "score", order, {"__hits": F.col("hit"), "__rows": F.lit(1)}, cuts, descending=True)
-    return run.select(*group, (F.col("__hits") / F.col("positives")).alias("rc"), (F.col("__hits") / F.col("__rows")).alias("pr"))
-
-
-def average_precision(scored: DataFrame, group: list[str], tie: list[Column], cuts: list[float]) -> DataFrame:
-    """scored: as for `curve_of`. Precision interpolated at 101 levels of recall."""
-    curve = curve_of(scored, group, tie, cuts)
-    # One conditional maximum for each level, all in one aggregation.
-    levels = [F.max(F.when(F.col("rc") >= F.lit(i * 0.01), F.col("pr"))).alias(f"l{i}") for i in range(101)]
-    best = curve.groupBy(*group).agg(*levels)
-    total = sum((F.coalesce(F.col(f"l{i}"), F.lit(0.0)) for i in range(101)), F.lit(0.0))
-    return best.select(*group, (total / 101).alias("ap"))
+def average_precision(scored: DataFrame, group: list[str], tie: list[Column]) -> DataFrame:
+    """scored: rows of group with score, hit (0/1) and positives (of the group). Precision interpolated at 101 levels of
+    recall, best score first."""
+    positives = scored.groupBy(*group).agg(F.max("positives").alias("positives")).withColumn("lane", F.lit(0))
+    rows = scored.withColumns({"hit": F.col("hit").cast("long"), "skip": F.lit(0).cast("long"), "rank": F.lit(0).cast("long")})
+    return interpolated(rows, group, [F.desc("score"), *tie], positives, Lanes()).select(*group, "ap")

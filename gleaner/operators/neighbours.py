@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .contracts import ContractError
+from .running import cuts_of, range_of
+
+#: Bits of a word of a long hash; a word is a number of 64 bits.
+WORD = 32
+
 
 def difference_hash(values: Column, bits: int) -> Column:
     """A bit for each neighbouring pair of values that falls, as a number; at most 63 bits."""
@@ -39,19 +49,137 @@ def alike(rows: DataFrame, key: str, column: str, bits: int, distance: int, most
 
 
 def accept_in_order(rows: DataFrame, pairs: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows accepted one after the other, each unless it is near one accepted before. A row is settled once all its
-    earlier neighbours are; each round settles all such rows, so no order is walked on the driver."""
-    first = rows.select(F.col(key).alias("k"), F.col(order).alias("o"))
+    """Rows accepted one after the other, each unless it is near one accepted before; ties of the order by key. A row is
+    settled once all its earlier neighbours are; each round settles all such rows, so no order is walked on the driver."""
+    first = rows.select(F.col(key).alias("k"), F.struct(order, key).alias("o"))
     near = pairs.join(first.select(F.col("k").alias("a"), F.col("o").alias("oa")), "a").join(first.select(F.col("k").alias("b"), F.col("o").alias("ob")), "b")
-    earlier = near.select(
+    earlier = written(near.select(
         F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("k"),
         F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("before"),
-    )
-    state = first.select("k", F.when(~F.col("k").isin([]), F.lit(None).cast("boolean")).alias("kept")).checkpoint()
+    ))
+    state = written(first.select("k", F.lit(None).cast("boolean").alias("kept")))
     while state.where("kept is null").take(1):
         seen = earlier.join(state.select(F.col("k").alias("before"), F.col("kept").alias("was")), "before")
         told = seen.groupBy("k").agg(F.max(F.coalesce("was", F.lit(False))).alias("near"), F.max(F.col("was").isNull()).alias("open"))
         settled = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("near", F.lit(False)), False)
         settled = settled.when(~F.coalesce("open", F.lit(False)), True)
-        state = state.join(told, "k", "left").select("k", settled.alias("kept")).checkpoint()
+        state = written(state.join(told, "k", "left").select("k", settled.alias("kept")))
     return rows.join(state.where("kept").select(F.col("k").alias(key)), key, "left_semi")
+
+
+def thumbnail_hash(values: Column, width: int, height: int) -> Column:
+    """height x (width - 1) bits as words: whether a value is below its right neighbour in the row. values: the rows of a
+    thumbnail, one after the other."""
+    bit = lambda i: F.element_at(values, (i + F.floor(i / (width - 1)) + 2).cast("int")) > F.element_at(values, (i + F.floor(i / (width - 1)) + 1).cast("int"))
+    bits = height * (width - 1)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: bit(i).cast("long"))
+    word = lambda w: F.aggregate(F.slice(spread, w * WORD + 1, WORD), F.lit(0).cast("long"), lambda acc, b: acc * 2 + b)
+    return F.transform(F.sequence(F.lit(0), F.lit((bits - 1) // WORD)), word)
+
+
+def hamming(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+
+
+def _bands(words: Column, bits: int, distance: int) -> list[Column]:
+    """distance + 1 bands of the words' bits: each the words that it touches, with other bits cleared."""
+    edges = [bits * i // (distance + 1) for i in range(distance + 2)]
+    out = []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        parts = []
+        for w in range(lo // WORD, (hi - 1) // WORD + 1):
+            size = min(WORD, bits - w * WORD)  # the last word may be shorter
+            first, last = max(lo - w * WORD, 0), min(hi - w * WORD, size)
+            parts.append(F.get(words, F.lit(w)).bitwiseAND(F.lit(((1 << (last - first)) - 1) << (size - last))))
+        out.append(F.array(*parts))
+    return out
+
+
+def near_classes(rows: DataFrame, key: str, words: str, bits: int, distance: int, same: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, class) of all rows, and the links (a, b, distance) between classes, a < b. Rows of one hash, and of one value
+    of `same`, are a class, named by its least key; so repeats cost a row each and never a pair. Of distance + 1 bands one
+    is equal in any near pair; a pair is kept where its first equal band finds it."""
+    hashed = rows.select(key, F.col(words).alias("w"), (same if same is not None else F.lit(0)).alias("s"))
+    classes = written(hashed.groupBy("w", "s").agg(F.min(key).alias("class")))
+    members = hashed.join(classes, ["w", "s"]).select(key, "class")
+    bands = _bands(F.col("w"), bits, distance)
+    spread = classes.select("class", "w", F.array(*bands).alias("bands"), F.posexplode(F.array(*bands)).alias("band", "value"))
+    other = spread.select(F.col("class").alias("b"), F.col("w").alias("v"), F.col("bands").alias("other"), "band", "value")
+    pairs = spread.join(other, ["band", "value"]).where(F.col("class") < F.col("b"))
+    first = F.array_position(F.zip_with("bands", "other", lambda x, y: x == y), True) == F.col("band") + 1
+    links = pairs.where(first).select(F.col("class").alias("a"), "b", hamming(F.col("w"), F.col("v")).alias("distance"))
+    return members, links.where(F.col("distance") <= distance)
+
+
+def thumbnail_links(rows: DataFrame, key: str, values: str, width: int, height: int, distance: int, most: float) -> tuple[DataFrame, DataFrame]:
+    """(key, class) and links (a, b, distance) of thumbnails whose hashes are near and whose values, but for the last
+    column, differ by less than `most` on average. Equal thumbnails are a class."""
+    hashed = rows.select(key, F.col(values).alias("v"), thumbnail_hash(F.col(values), width, height).alias("w"))
+    members, links = near_classes(hashed, key, "w", height * (width - 1), distance, F.sha2(F.to_json("v").cast("binary"), 256))
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.slice("v", r * width + 1, width - 1)))
+    side = lambda k, v: hashed.select(F.col(key).alias(k), left.alias(v))
+    both = links.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.abs(p.cast("double") - q.cast("double"))), F.lit(0.0), lambda t, d: t + d) / F.size("x")
+    return members, both.where(apart < most).select("a", "b", "distance")
+
+
+Near = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def accept_until(
+    rows: DataFrame, key: str, order: str, near: Near, quota: int, taken: DataFrame | None = None, per_range: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The first `quota` rows in the order that are near no row of `taken` nor one accepted before: (key, order). And of the
+    rows that come before the last of them but were turned down, (key, neighbour): the taken and accepted rows before them
+    that they are near. An error if there are fewer.
+
+    near gives the classes and links of rows (`near_classes`, `thumbnail_links`); taken has the columns of rows but the
+    order, a number. Rows are written by ranges of the order, with about per_range rows each; ranges behind the one that
+    fills the quota are not read."""
+    n = rows.count()
+    cuts = cuts_of(rows, order, max(1, -(-n // (per_range or 2 * quota))))
+    own = written(rows.withColumn("__range", range_of(F.col(order), cuts)), "__range")
+    kind = rows.schema[order].dataType
+    none = rows.limit(0) if taken is None else taken.withColumn(order, F.lit(None).cast(kind)).select(rows.columns)
+    accepted = none.withColumn("__new", F.lit(False))
+    turned, found = [], 0
+    for number in range(-1, len(cuts) + 1):
+        block = own.where(F.col("__range") == number).drop("__range").withColumn("__new", F.lit(True))
+        both = written(accepted.unionByName(block))
+        members, links = (written(t) for t in near(both.drop("__new")))
+        chosen = written(_accepted(both, members, links, key, order))
+        turned.append(written(_neighbours(both.join(chosen, key, "left_anti"), chosen, members, links, key, order)))
+        accepted, found = chosen, chosen.where("__new").count()
+        if found >= quota:
+            break
+    if found < quota:
+        raise ContractError(f"Only {found} of {quota} rows")
+    best = written(accepted.where("__new").orderBy(order, key).limit(quota).select(key, order))
+    last = best.agg(F.max(F.struct(order, key)).alias("last"))
+    told = reduce(DataFrame.unionByName, turned).join(F.broadcast(last)).where(F.struct(order, key) < F.col("last"))
+    return best, told.select(key, "neighbour")
+
+
+def _accepted(both: DataFrame, members: DataFrame, links: DataFrame, key: str, order: str) -> DataFrame:
+    """All rows that aren't new, and of the new ones those accepted in order: the first of a class, if no class before it
+    is near."""
+    classed = both.join(members, key)
+    heads = classed.groupBy("class").agg(F.max(~F.col("__new")).alias("held"), F.min(F.struct(F.col("__new"), order, key)).alias("first"))
+    heads = written(heads.select("class", "held", F.col("first").alias("o"), F.col(f"first.{key}").alias("row")))
+    held = heads.where("held").select("class")
+    free = links.join(held.withColumnRenamed("class", "a").withColumn("x", F.lit(1)), "a", "left").join(held.withColumnRenamed("class", "b").withColumn("y", F.lit(1)), "b", "left")
+    kept = accept_in_order(heads, free.where("x is null or y is null").select("a", "b"), "class", "o")
+    return both.where("not __new").unionByName(both.where("__new").join(kept.where("not held").select(F.col("row").alias(key)), key, "left_semi"))
+
+
+def _neighbours(rest: DataFrame, chosen: DataFrame, members: DataFrame, links: DataFrame, key: str, order: str) -> DataFrame:
+    """key, order, neighbour: the chosen rows before each of the rest that are near it."""
+    late = rest.select(key, order).join(members, key)
+    early = chosen.select(key, order, "__new").join(members, key).select(F.col("class").alias("c"), F.col(key).alias("neighbour"), F.col(order).alias("at"), "__new")
+    both_ways = links.select("a", "b").union(links.select("b", "a"))
+    same = late.join(early, F.col("class") == F.col("c"))
+    linked = late.join(both_ways, F.col("class") == F.col("a")).join(early, F.col("b") == F.col("c"))
+    wanted = [key, order, "neighbour", "at", "__new"]
+    found = same.select(wanted).union(linked.select(wanted))
+    before = ~F.col("__new") | (F.struct(F.col("at"), F.col("neighbour")) < F.struct(F.col(order), F.col(key)))
+    return found.where(before).select(key, order, "neighbour")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import digest, dot, entropy, unit
+from ..functions.scalars import digest, dot, entropy, finite, unit
+from ..sources.scratch import written
 from .contracts import ContractError, budget as check_budget
 from .running import cuts_of, running
 
 TOP_SCORES = 20
+#: Rows that a diverse selection brings to the driver at once.
+POOL = 2048
 LOW, HIGH = 0.05, 0.5
 
 
@@ -90,27 +95,65 @@ def select(rows: DataFrame, strategy: str, n: int, seed: str, key: str = "sample
     return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def diverse(rows: DataFrame, n: int, key: str, group: str, factor: str, vector: str) -> DataFrame:
+def diverse(rows: DataFrame, n: int, key: str, group: str, factor: str, vector: str, pool: int = POOL) -> DataFrame:
     """n rows, one to a group: each next one has the greatest mean of its factor and half the distance to the nearest
-    chosen one; the first goes by its factor. One pass over the rows for each choice, that keeps the distance to the
-    nearest; only the chosen row reaches the driver."""
+    chosen one; the first goes by its factor, ties by key. rank, key, score.
+
+    A row's distance can only fall, so an old score is an upper bound. A table keeps the rows with their distances to what
+    was chosen before it was written; the `pool` best by score come to the driver, and are chosen from as long as the best
+    of them is above the bound of all others. Then one pass brings the table up to date with the rows chosen since. Each
+    chosen row is compared with the table once, and passes are fewer than choices. Null, empty, zero and non-finite vectors
+    are an error."""
     check_budget(n, rows.count())
+    bad = rows.where(~F.coalesce(_direction(F.col(vector)), F.lit(False))).select(key).take(5)
+    if bad:
+        raise ContractError(f"Invalid vectors: {[r[0] for r in bad]}")
     if rows.select(group).distinct().count() < n:
         raise ContractError("Not enough groups")
-    state = rows.select(key, group, F.col(factor).alias("__f"), unit(F.col(vector)).alias("__v"), F.lit(None).cast("double").alias("__d")).cache()
-    chosen, groups = [], []
-    for rank in range(1, n + 1):
-        score = F.when(F.col("__d").isNull(), F.col("__f")).otherwise(0.5 * F.col("__f") + 0.5 * F.col("__d"))
-        free = state.where(~F.col(group).isin(groups)) if groups else state
-        best = free.withColumn("score", F.round(score, 12)).orderBy(F.desc("score"), key).first()
-        chosen.append((rank, best[key], best["score"]))
-        groups.append(best[group])
-        distance = (1 - dot(F.col("__v"), F.array(*[F.lit(float(x)) for x in best["__v"]]))) / 2
-        state = state.withColumn("__d", F.least(F.col("__d"), distance))
+    table = rows.select(key, group, F.col(factor).cast("double").alias("__f"), unit(F.col(vector)).alias("__v"), F.lit(None).cast("double").alias("__d"))
+    chosen: list[tuple] = []
+    fresh: list = []  # chosen since the table was written
+    groups: set = set()
+    while True:
+        if fresh:
+            near = [1 - dot(F.col("__v"), F.array(*[F.lit(float(x)) for x in v])) for v in fresh]
+            table = table.withColumn("__d", F.least("__d", *[d / 2 for d in near]))
+            gone = rows.sparkSession.createDataFrame([(g,) for g in groups], T.StructType([T.StructField(group, rows.schema[group].dataType)]))
+            table = table.join(F.broadcast(gone), table[group].eqNullSafe(gone[group]), "left_anti")
+        table = written(table)
+        score = F.round(F.when(F.col("__d").isNull(), F.col("__f")).otherwise(0.5 * F.col("__f") + 0.5 * F.col("__d")), 12)
+        best = table.withColumn("__s", score).orderBy(F.desc("__s"), key).limit(pool + 1).collect()
+        bound = best[pool]["__s"] if len(best) > pool else float("-inf")
+        vectors = np.array([r["__v"] for r in best[:pool]])
+        factors = np.array([r["__f"] for r in best[:pool]])
+        apart = np.array([np.nan if r["__d"] is None else r["__d"] for r in best[:pool]])
+        scores = np.array([r["__s"] for r in best[:pool]])
+        free = np.array([r[group] not in groups for r in best[:pool]])
+        fresh = []
+        while len(chosen) < n and free.any():
+            top = scores[free].max()
+            if fresh and top <= bound + 1e-9:
+                break
+            at = int(np.flatnonzero(free & (scores == top))[0])  # ties are in the order of keys
+            row = best[at]
+            chosen.append((len(chosen) + 1, row[key], float(top)))
+            fresh.append(vectors[at])
+            groups.add(row[group])
+            free &= np.array([r[group] != row[group] for r in best[:pool]])
+            apart = np.fmin(apart, (1 - np.cumsum(vectors * vectors[at], axis=1)[:, -1]) / 2)  # summed in the order of Spark's fold
+            scores = np.round(0.5 * factors + 0.5 * apart, 12)
+        if len(chosen) == n:
+            break
     kind = rows.schema[key].dataType.simpleString()
     return rows.sparkSession.createDataFrame(chosen, f"rank int, {key} {kind}, score double")
 
 
+def _direction(vector: Column) -> Column:
+    """Whether a vector has a direction: finite numbers, not all zero."""
+    numbers = F.forall(vector, lambda x: F.coalesce(finite(x), F.lit(False)))
+    return (F.size(vector) > 0) & numbers & (F.sqrt(dot(vector, vector)) >= 1e-12)
+
+
 def slots(base: DataFrame, extra: DataFrame, key: str, epochs: int, per_epoch: int, seed: str) -> DataFrame:
     """A training schedule: each epoch has all base rows, filled up by repeats of extra rows, in shuffled order."""
     missing = per_epoch - base.count()

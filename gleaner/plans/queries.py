@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import coco, contracts, journal, matching, neighbours, selection, statistics
-from ..operators.running import cuts_of
+from ..operators import coco, contracts, diagnosis, digests, evaluation, inference, journal, matching, neighbours, provenance, selection, statistics, trie
+from ..sources.scratch import shared_dir
 from ..sources.tables import table
 from .views import BOXES_SQL, MATCH_SQL, SCORES_SQL, boxes, scores
 
@@ -195,14 +196,77 @@ def average_precision(spark, sf):
     hit = matching.match(gold, predictions, 0.0).select("image", "cls", F.col("p").alias("j"), F.lit(1).alias("hit"))
     positives = gold.groupBy("cls").agg(F.count("*").alias("positives"))
     rows = predictions.join(hit, ["image", "cls", "j"], "left").na.fill(0, ["hit"]).join(positives, "cls")
-    cuts = cuts_of(predictions, "score")
-    return matching.average_precision(rows, ["cls"], [F.asc("image"), F.asc("j")], cuts).withColumn("ap", _r("ap"))
-
-
-@query()
+    return matching.average_precision(rows, ["cls"], [F.asc("image"), F.asc("j")]).withColumn("ap", _r("ap"))
+
+
+#: The matching of each cell (ten thresholds by range of area) as a recursive query; runs, dets, cells are given before.
+_CELLS = """,
+thr AS (SELECT unnest(range(0, 10)) AS t, unnest([{thrs}]) AS thr),
+cells AS (SELECT a * 10 + t AS cell, a, thr, lo, hi FROM thr, (VALUES {areas}) v(a, lo, hi)),
+top AS (SELECT *, row_number() OVER (PARTITION BY run, image, cls ORDER BY score DESC, j) AS rank FROM runs QUALIFY rank <= 100),
+cand AS (SELECT *, row_number() OVER (PARTITION BY run, image, cls, cell ORDER BY rank) AS n FROM (SELECT run, image, cls, cell, rank, list(e ORDER BY e % 2, iou DESC, e DESC) AS free
+  FROM (SELECT run, t.image, t.cls, cell, rank, iou, g.j * 2 + (NOT (g.x2 - g.x1) * (g.y2 - g.y1) BETWEEN lo AND hi)::INT AS e
+    FROM top t JOIN pairs x ON t.image = x.image AND t.cls = x.cls AND t.j = x.p JOIN gold g ON g.image = x.image AND g.cls = x.cls AND g.j = x.j, cells
+    WHERE iou >= least(thr, 1 - 1e-10)) GROUP BY ALL)),
+walk AS (SELECT run, image, cls, cell, 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS rank, NULL::BIGINT AS e FROM (SELECT DISTINCT run, image, cls, cell FROM cand)
+  UNION ALL
+  SELECT run, image, cls, cell, n, CASE WHEN f IS NULL THEN used ELSE list_append(used, f) END, rank, f FROM
+    (SELECT w.run, w.image, w.cls, w.cell, c.n, w.used, c.rank, list_filter(c.free, lambda x: NOT list_contains(w.used, x))[1] AS f
+    FROM walk w JOIN cand c ON w.run = c.run AND w.image = c.image AND w.cls = c.cls AND w.cell = c.cell AND c.n = w.n + 1)),
+judged AS (SELECT t.run, t.image, t.cls, t.rank, t.score, c.cell, (e IS NOT NULL)::INT AS hit,
+    CASE WHEN e IS NULL THEN NOT (x2 - x1) * (y2 - y1) BETWEEN lo AND hi ELSE e % 2 = 1 END AS skip
+  FROM top t CROSS JOIN cells c LEFT JOIN (SELECT * FROM walk WHERE e IS NOT NULL) w ON w.run = t.run AND w.image = t.image AND w.cls = t.cls AND w.rank = t.rank AND w.cell = c.cell),
+levels AS (SELECT unnest([{levels}]) AS level)"""
+_GRID = {
+    "thrs": ", ".join(f"{t!r}::DOUBLE" for t in coco.THRESHOLDS), "areas": ", ".join(f"({i}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for i, (lo, hi) in enumerate(coco.AREAS.values())),
+    "levels": ", ".join(f"{r!r}::DOUBLE" for r in coco.LEVELS),
+}
+
+
+@query("WITH RECURSIVE " + BOXES_SQL + ", runs AS (SELECT 0 AS run, * FROM pred)" + _CELLS.format(**_GRID) + """,
+pos AS (SELECT cls, cell, count(*) AS positives FROM gold, cells WHERE (x2 - x1) * (y2 - y1) BETWEEN lo AND hi GROUP BY ALL),
+curve AS (SELECT cls, cell, lim, sum(hit) OVER w / positives AS rc, sum(hit) OVER w / count(*) OVER w AS pr
+  FROM judged JOIN pos USING (cls, cell), (SELECT unnest([1, 10, 100]) AS lim) WHERE NOT skip AND rank <= lim
+  WINDOW w AS (PARTITION BY cls, cell, lim ORDER BY score DESC, image, rank ROWS UNBOUNDED PRECEDING)),
+peak AS (SELECT cls, cell, lim, level, max(pr) AS pr, max(rc) AS rc FROM curve ASOF JOIN levels ON rc >= level GROUP BY ALL),
+best AS (SELECT g.cls, g.cell, g.lim, l.level, coalesce(max(p.pr), 0) AS pr, coalesce(max(p.rc), 0) AS rc
+  FROM (SELECT cls, cell, unnest([1, 10, 100]) AS lim FROM pos) g CROSS JOIN levels l LEFT JOIN peak p ON p.cls = g.cls AND p.cell = g.cell AND p.lim = g.lim AND p.level >= l.level GROUP BY ALL),
+c AS (SELECT cls, cell, cell // 10 AS a, cell % 10 AS t, lim, avg(pr) AS ap, max(rc) AS ar FROM best GROUP BY ALL)
+SELECT """ + ", ".join(
+    [f'round(avg({v}) FILTER ({w}), 6) AS "{k}"' for k, v, w in (
+        ("AP", "ap", "lim = 100 AND a = 0"), ("AP50", "ap", "lim = 100 AND a = 0 AND t = 0"), ("AP75", "ap", "lim = 100 AND a = 0 AND t = 5"),
+        *[(f"AP_{n}", "ap", f"lim = 100 AND a = {i}") for i, n in enumerate(coco.AREAS) if i], *[(f"AR{m}", "ar", f"lim = {m} AND a = 0") for m in coco.LIMITS],
+        *[(f"AR_{n}", "ar", f"lim = 100 AND a = {i}") for i, n in enumerate(coco.AREAS) if i])]
+) + " FROM c")
 def coco_summary(spark, sf):
-    """The twelve detection metrics; its test holds it against a loop."""
-    return coco.summary(*boxes(spark, sf))
+    """The twelve detection metrics."""
+    out = coco.summary(*boxes(spark, sf))
+    return out.select(*[_r(c).alias(c) for c in out.columns])
+
+
+@query("WITH RECURSIVE " + BOXES_SQL + """, runs AS (SELECT arm * 2 + seed AS run, pred.* FROM pred, range(0, 2) a(arm), range(0, 2) s(seed) WHERE (image + j + seed) % (3 + arm) <> 0)""" + _CELLS.format(**_GRID | {"areas": _GRID["areas"].split("), ")[0] + ")"}) + """,
+steps AS (SELECT k, sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS b FROM range(0, 11) t(k)),
+drawn AS (SELECT g, replicate, (SELECT count(*) FROM steps WHERE u > b) AS w FROM (SELECT g, replicate,
+  (('0x' || substr(sha256('ap:' || replicate || ':' || g), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656 AS u FROM (SELECT DISTINCT p_partkey // 20 AS g FROM part), range(1, 21) t(replicate))),
+pos AS (SELECT cls, replicate, sum(w) AS positives FROM gold JOIN drawn ON g = image // 20 GROUP BY ALL HAVING sum(w) > 0),
+curve AS (SELECT run, cls, cell, replicate, sum(w * hit) OVER o / positives AS rc, sum(w * hit) OVER o / sum(w) OVER o AS pr
+  FROM judged JOIN (SELECT * FROM drawn WHERE w > 0) ON g = image // 20 JOIN pos USING (cls, replicate) WHERE NOT skip
+  WINDOW o AS (PARTITION BY run, cls, cell, replicate ORDER BY score DESC, image, rank ROWS UNBOUNDED PRECEDING)),
+peak AS (SELECT run, cls, cell, replicate, level, max(pr) AS pr FROM curve ASOF JOIN levels ON rc >= level GROUP BY ALL),
+down AS (SELECT run, replicate, max(pr) OVER w * round(100 * (level - coalesce(lead(level) OVER w, -0.01))) AS area FROM peak WINDOW w AS (PARTITION BY run, cls, cell, replicate ORDER BY level DESC)),
+aps AS (SELECT run, replicate, sum(area) / 101 / any_value(n) AS ap FROM down JOIN (SELECT replicate, count(*) * 10 AS n FROM pos GROUP BY 1) USING (replicate) GROUP BY run, replicate),
+deltas AS (SELECT replicate, avg(d) AS d FROM (SELECT replicate, run % 2 AS seed, sum(CASE WHEN run < 2 THEN ap ELSE -ap END) AS d FROM aps GROUP BY ALL) GROUP BY 1)
+SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025::DOUBLE), 6) AS lo, round(quantile_cont(d, 0.975::DOUBLE), 6) AS hi, count(*) AS replicates FROM deltas""")
+def bootstrap_ap(spark, sf):
+    """The interval of the difference in average precision of two arms of two seeds, over twenty draws of groups of images
+    that all runs share."""
+    gold, predictions = boxes(spark, sf)
+    grid = [F.struct(F.lit(a).alias("arm"), F.lit(s).alias("seed")) for a in range(2) for s in range(2)]
+    runs = predictions.withColumn("run", F.explode(F.array(*grid))).select("*", "run.*").drop("run")
+    runs = runs.where((F.col("image") + F.col("j") + F.col("seed")) % (3 + F.col("arm")) != 0)
+    images = table(spark, sf, "part").select(F.col("p_partkey").alias("image"), F.floor(F.col("p_partkey") / 20).alias("group"))
+    out = coco.paired_bootstrap(gold, runs, images, "arm", "seed", (0, 1), 20, "ap")
+    return out.select(*[_r(c).alias(c) for c in ("mean", "lo", "hi")], "replicates")
 
 
 _ENTROPY = "-(s * ln(greatest(s, 1e-12)) + (1 - s) * ln(greatest(1 - s, 1e-12))) / ln(2)"
@@ -495,18 +559,31 @@ def immutable_check(spark, sf):
     return sides[0].union(sides[1])
 
 
-@query("""WITH s AS (SELECT DISTINCT string_split(text, ' ') AS s FROM conversations WHERE text IS NOT NULL),
-p AS (SELECT i AS depth, md5(array_to_string(s[1:i], ' ')) AS prefix, s[i + 1] AS follows FROM (SELECT s, unnest(range(0, len(s) + 1)) AS i FROM s))
-SELECT depth::INT AS depth, prefix, count(*) AS sequences, count(DISTINCT follows) AS tokens, bool_or(follows IS NULL) AS may_end FROM p GROUP BY ALL""")
+@query("""WITH s AS (SELECT row_number() OVER () AS k, s FROM (SELECT DISTINCT string_split(text, ' ') AS s FROM conversations WHERE text IS NOT NULL)),
+t AS (SELECT k, len(s) AS n, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS token FROM s),
+c AS (SELECT *, ('0x' || substr(h, 1, 15))::BIGINT AS x, ('0x' || substr(h, 16, 15))::BIGINT AS y FROM (SELECT *, md5(token || ':' || i) AS h FROM t)),
+r AS (SELECT *, bit_xor(x) OVER w AS a, bit_xor(y) OVER w AS b FROM c WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT i - 1 AS depth, xor(a, x) AS a, xor(b, y) AS b, token FROM r UNION ALL SELECT i, a, b, NULL FROM r WHERE i = n)
+SELECT depth::INT AS depth, a, b, count(*) AS sequences, count(DISTINCT token) AS tokens, bool_or(token IS NULL) AS may_end FROM p GROUP BY ALL""")
 def label_trie(spark, sf):
     """Every prefix of token sequences: how many tokens may follow, and whether a sequence ends there."""
-    rows = table(spark, sf, "conversations").where("text is not null").select(F.split("text", " ").alias("s")).distinct()
-    spread = rows.select("s", F.explode(F.sequence(F.lit(0), F.size("s"))).alias("depth"))
-    head = F.md5(F.array_join(F.slice("s", F.lit(1), F.col("depth")), " ").cast("binary"))
-    follow = spread.select("depth", head.alias("prefix"), F.get("s", F.col("depth")).alias("then"))
-    return follow.groupBy("depth", "prefix").agg(
-        F.count("*").alias("sequences"), F.count_distinct("then").alias("tokens"), F.bool_or(F.col("then").isNull()).alias("may_end")
-    )
+    rows = table(spark, sf, "conversations").where("text is not null").select(F.split("text", " ").alias("tokens")).distinct()
+    steps = trie.transitions(rows.withColumn("k", F.sha2(F.to_json("tokens").cast("binary"), 256)), "k", "tokens")
+    return steps.groupBy("depth", "a", "b").agg(F.sum("n").alias("sequences"), F.count("token").alias("tokens"), F.bool_or(F.col("token").isNull()).alias("may_end"))
+
+
+@query("""WITH p AS (SELECT DISTINCT conv_id, string_split(text, ' ') AS s FROM conversations WHERE text IS NOT NULL AND turn = 0),
+q AS (SELECT conv_id, s, CASE WHEN s = string_split('', ' ') THEN [] ELSE s[1:len(s) // 2] END AS pre FROM p),
+n AS (SELECT DISTINCT a.conv_id, coalesce(b.s[len(a.pre) + 1], '<end>') AS token FROM q a JOIN (SELECT DISTINCT s FROM p) b ON b.s[1:len(a.pre)] = a.pre)
+SELECT conv_id, count(*) AS choices, string_agg(token, ' ' ORDER BY token) AS allowed FROM n WHERE conv_id % 20 = 0 GROUP BY conv_id""")
+def constrained_next(spark, sf):
+    """The words that may follow the first half of every twentieth conversation's first turn, among all first turns."""
+    turns = table(spark, sf, "conversations").where("text is not null and turn = 0").select("conv_id", F.split("text", " ").alias("tokens"))
+    steps = trie.transitions(turns.select("tokens").distinct().withColumn("k", F.sha2(F.to_json("tokens").cast("binary"), 256)), "k", "tokens")
+    half = F.when(F.col("tokens") == F.array(F.lit("")), F.array().cast("array<string>")).otherwise(F.slice("tokens", 1, F.floor(F.size("tokens") / 2).cast("int")))
+    asked = turns.where("conv_id % 20 = 0").select("conv_id", half.alias("tokens")).distinct()
+    then = trie.allowed_next(steps, asked, "conv_id", "tokens").select("conv_id", F.coalesce("token", F.lit("<end>")).alias("token")).distinct()
+    return then.groupBy("conv_id").agg(F.count("*").alias("choices"), F.array_join(F.array_sort(F.collect_list("token")), " ").alias("allowed"))
 
 
 @query("""SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier""")
@@ -581,14 +658,11 @@ def targeted_sample(spark, sf):
 b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM r GROUP BY 1)
 SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, sum(n)::BIGINT AS n FROM b""")
 def manifest_digest(spark, sf):
-    """One digest of a table in no order: rows' digests by their first digits, then the digests of these."""
+    """One digest of a table in no order: the root of the tree of its rows' digests."""
     text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     line = F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), text)
     rows = table(spark, sf, "documents").select(F.sha2(line.cast("binary"), 256).alias("h"))
-    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "").cast("binary"), 256)
-    parts = rows.groupBy(F.substring("h", 1, 3).alias("b")).agg(joined("h").alias("d"), F.count("*").alias("n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
-    return parts.agg(F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("digest"), F.sum("n").alias("n"))
+    return digests.root(digests.tree(rows))
 
 
 @query("""SELECT split_part(c_name, '#', 1) AS kind, regexp_full_match(split_part(c_name, '#', 2), '[0-9]*') AS plain, coalesce(nullif(c_mktsegment, 'MACHINERY'), 'unknown') AS segment, count(*) AS n
@@ -652,3 +726,215 @@ def metric_replay(spark, sf):
     recorded = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key_"), F.col("o_totalprice").alias("total"))
     again = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key_")).agg(F.sum("l_extendedprice").alias("total"))
     return contracts.replay(recorded, again, "key_", "total", 50000.0).groupBy("detail").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, sha256('{"balance":' || c_acctbal || ',"key":' || c_custkey || ',"map":{"a":' || (c_custkey % 5) || ',"b":null},"names":["' || c_name || '","' || c_mktsegment || '"]}') AS digest FROM customer""")
+def canonical_digest(spark, sf):
+    """Digests of nested values by their canonical JSON: keys sorted, no blanks, numbers in their shortest form."""
+    nested = F.struct(
+        F.array("c_name", "c_mktsegment").alias("names"), F.col("c_custkey").alias("key"), F.col("c_acctbal").cast("double").alias("balance"),
+        F.create_map(F.lit("b"), F.lit(None).cast("long"), F.lit("a"), F.col("c_custkey") % 5).alias("map"),
+    )
+    return table(spark, sf, "customer").select("c_custkey", digests.digest(nested).alias("digest"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 101 = 0 THEN 'gone' ELSE 'changed' END AS detail FROM documents WHERE doc_id % 101 = 0 OR (doc_id % 97 = 0 AND text IS DISTINCT FROM text || '.')
+UNION ALL SELECT doc_id + 1000000000, 'new' FROM documents WHERE doc_id % 89 = 0""")
+def digest_changes(spark, sf):
+    """Documents that were taken out, changed or added since their digests were recorded; found by the trees of digests."""
+    rows = table(spark, sf, "documents")
+    text = F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    added = rows.where("doc_id % 89 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    now = rows.where("doc_id % 101 <> 0").withColumn("text", text).union(added)
+    side = lambda df: df.select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.coalesce("text", F.lit("null"))).cast("binary"), 256).alias("h"))
+    return digests.changes(side(rows), side(now), "doc_id")
+
+
+@query("""SELECT unnest(['other partitions', 'one value', 'one row twice']) AS run, unnest([true, false, false]) AS same, count(*) AS n FROM orders""")
+def engine_parity(spark, sf):
+    """Whether two runs gave the same rows: the same in other partitions, with one value changed, with a row twice."""
+    rows = table(spark, sf, "orders")
+    first = rows.agg(F.min("o_orderkey")).first()[0]
+    bent = rows.withColumn("o_totalprice", F.when(F.col("o_orderkey") == first, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice")))
+    runs = {"other partitions": rows.repartition(7, "o_custkey").sortWithinPartitions("o_comment" if "o_comment" in rows.columns else "o_orderdate"), "one value": bent, "one row twice": rows.union(rows.where(F.col("o_orderkey") == first))}
+    told = spark.createDataFrame([(name, digests.parity(rows, df)) for name, df in runs.items()], "run string, same boolean")
+    return told.join(F.broadcast(rows.agg(F.count("*").alias("n"))))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey, c_nationkey IN (3, 7) AS bad, c_custkey % 50 = 0 AS own FROM customer),
+o AS (SELECT o_orderkey, bad OR own AS below, own, o_orderkey % 1000 = 1 AS other FROM orders JOIN c ON o_custkey = c_custkey),
+t AS (SELECT 'changed' AS reason, 0 AS distance FROM nation WHERE n_nationkey IN (3, 7) UNION ALL
+  SELECT CASE WHEN own THEN 'changed' ELSE 'made from it' END, CASE WHEN own THEN 0 ELSE 1 END FROM c WHERE own OR bad UNION ALL
+  SELECT CASE WHEN other THEN 'made from another version' ELSE 'made from it' END, CASE WHEN own OR other THEN 1 ELSE 2 END FROM o WHERE below OR other)
+SELECT reason, distance, count(*) AS n FROM t GROUP BY ALL""")
+def provenance_drift(spark, sf):
+    """Orders made from customers made from nations: what is out of date when two nations and some customers change, and
+    some orders were made from another version of their customer."""
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    nations = table(spark, sf, "nation").select(name("n", "n_nationkey").alias("artifact"), (F.col("n_nationkey").isin(3, 7)).alias("bent"))
+    customers = table(spark, sf, "customer").select(name("c", "c_custkey").alias("artifact"), name("n", "c_nationkey").alias("input"), (F.col("c_custkey") % 50 == 0).alias("bent"))
+    orders = table(spark, sf, "orders").select(name("o", "o_orderkey").alias("artifact"), name("c", "o_custkey").alias("input"), F.lit(False).alias("bent"), (F.col("o_orderkey") % 1000 == 1).alias("other"))
+    everything = nations.union(customers.select("artifact", "bent")).union(orders.select("artifact", "bent"))
+    recorded = everything.select("artifact", F.sha2(F.col("artifact").cast("binary"), 256).alias("digest"))
+    current = everything.select("artifact", F.sha2(F.concat("artifact", F.when(F.col("bent"), "!").otherwise("")).cast("binary"), 256).alias("digest"))
+    seen = F.when(F.col("other"), F.lit("another")).cast("string")
+    edges = customers.select("artifact", "input", F.lit(None).cast("string").alias("input_digest")).union(orders.select("artifact", "input", seen))
+    return provenance.stale(edges, recorded, current).groupBy("reason", "distance").agg(F.count("*").alias("n"))
+
+
+_THUMBS = """v AS (SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_concat([embedding[2], embedding[1]], embedding[3:])::DOUBLE[] FROM embeddings
+  UNION ALL SELECT vec_id + 2000000000, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 3 = 0),
+b AS (SELECT k, e, list_transform(range(0, 56), lambda i: (e[i + i // 7 + 2] > e[i + i // 7 + 1])::INT) AS h, list_filter(e, lambda x, i: i % 8 <> 0) AS l FROM v),
+near AS (SELECT a.k AS a, b.k AS b FROM b a JOIN b ON a.k <> b.k AND list_sum(list_transform(range(1, 57), lambda i: (a.h[i] <> b.h[i])::INT)) <= 6
+  WHERE a.e = b.e OR list_sum(list_transform(range(1, 57), lambda i: abs(a.l[i] - b.l[i]))) / 56 < 0.005)"""
+
+
+def _thumbs(spark, sf):
+    """Vectors as thumbnails of 8 rows of 8, their copies with two values changed over, and exact copies of a third."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.col("embedding").cast("array<double>").alias("e"))
+    turned = F.concat(F.array(F.get("e", F.lit(1)), F.get("e", F.lit(0))), F.slice("e", F.lit(3), F.size("e") - 2))
+    return rows.union(rows.select(F.col("k") + 1_000_000_000, turned)).union(rows.where("k % 3 = 0").select(F.col("k") + 2_000_000_000, "e"))
+
+
+@query(f"""WITH {_THUMBS}, m AS (SELECT k, min(k) OVER (PARTITION BY e) AS class FROM b),
+l AS (SELECT DISTINCT x.class AS a, y.class AS b FROM near JOIN m x ON x.k = near.a JOIN m y ON y.k = near.b WHERE x.class <> y.class)
+SELECT k, class, (SELECT count(*) FROM l WHERE l.a = m.class) AS links FROM m""")
+def thumbnail_classes(spark, sf):
+    """Equal thumbnails by class, and the number of other classes that each class is near, by hash and by values."""
+    members, links = neighbours.thumbnail_links(_thumbs(spark, sf), "k", "e", 8, 8, 6, 0.005)
+    n = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("class")).agg(F.count("*").alias("links"))
+    return members.join(n, "class", "left").na.fill(0, ["links"])
+
+
+@query(f"""WITH RECURSIVE {_THUMBS}, o AS (SELECT k, row_number() OVER (ORDER BY h, k) AS n FROM (SELECT k, ('0x' || substr(sha256('fresh:' || k), 1, 13))::BIGINT AS h FROM v)),
+f AS (SELECT o.n, o.k, list(p.n) FILTER (p.n IS NOT NULL) AS near FROM o LEFT JOIN near ON near.a = o.k LEFT JOIN o p ON p.k = near.b AND p.n < o.n GROUP BY ALL),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS got UNION ALL
+  SELECT f.n, CASE WHEN list_has_any(coalesce(f.near, []), got) THEN got ELSE list_append(got, f.n) END FROM walk JOIN f ON f.n = walk.n + 1 WHERE len(got) < 150),
+last AS (SELECT got FROM walk ORDER BY n DESC LIMIT 1)
+SELECT k, true AS accepted, NULL::BIGINT AS neighbour FROM f WHERE list_contains((SELECT got FROM last), n)
+UNION ALL SELECT f.k, false, o.k FROM f, (SELECT k, n FROM o WHERE list_contains((SELECT got FROM last), n)) o
+WHERE f.n < (SELECT max(n) FROM walk) AND NOT list_contains((SELECT got FROM last), f.n) AND list_contains(f.near, o.n)""")
+def fresh_sample(spark, sf):
+    """The first 150 thumbnails in hash order that are near none before them, and those turned down, with the neighbours
+    that they were turned down for."""
+    rows = _thumbs(spark, sf).withColumn("h", F.conv(F.substring(S.digest(F.lit("fresh"), F.col("k")), 1, 13), 16, 10).cast("double"))
+    near = lambda df: neighbours.thumbnail_links(df, "k", "e", 8, 8, 6, 0.005)
+    kept, turned = neighbours.accept_until(rows, "k", "h", near, 150)
+    return kept.select("k", F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("neighbour")).union(turned.select("k", F.lit(False), "neighbour"))
+
+
+@query(f"""WITH RECURSIVE {_UNIT}, v AS (SELECT vec_id, any_value(vec_id % 250) AS label, (vec_id % 11)::DOUBLE / 11 AS f, list(u ORDER BY i) AS u FROM e GROUP BY vec_id),
+pick AS (SELECT 1 AS rank, vec_id, [label] AS used, [vec_id] AS ids, round(f, 12) AS score FROM (SELECT * FROM v ORDER BY round(f, 12) DESC, vec_id LIMIT 1)
+  UNION ALL SELECT rank, vec_id, used, ids, score FROM (SELECT p.rank + 1 AS rank, v.vec_id, list_append(p.used, v.label) AS used, list_append(p.ids, v.vec_id) AS ids,
+      round(0.5 * v.f + 0.5 * (SELECT min((1 - list_dot_product(v.u, o.u)) / 2) FROM v o WHERE list_contains(p.ids, o.vec_id)), 12) AS score
+    FROM pick p, v WHERE p.rank < 60 AND NOT list_contains(p.used, v.label) ORDER BY score DESC, v.vec_id LIMIT 1))
+SELECT rank, vec_id, round(score, 6) AS score FROM pick""")
+def diverse_budget(spark, sf):
+    """Sixty samples of different groups, uncertain and far from each other."""
+    rows = table(spark, sf, "embeddings").withColumns({"factor": (F.col("vec_id") % 11).cast("double") / 11, "group": F.col("vec_id") % 250})
+    return selection.diverse(rows, 60, "vec_id", "group", "factor", "embedding").withColumn("score", _r("score"))
+
+
+def _estimate(row: dict) -> dict:
+    """Stands in for a model: a score by the row, and errors for some."""
+    if row["sample_id"] % 13 == 0:
+        raise ArithmeticError("no estimate")
+    return {"sample_id": row["sample_id"], "sha256": row["sha256"], "score": row["sample_id"] * 7 % 100 / 100}
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, (row_number() OVER (ORDER BY p_partkey) - 1) // (SELECT greatest(1, count(*) // 4) FROM part) AS wave FROM part)
+SELECT CASE WHEN k % 13 = 0 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN k % 13 = 0 THEN CASE wave WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END ELSE CASE wave WHEN 1 THEN 2 ELSE 1 END END::BIGINT AS attempts,
+  CASE WHEN k % 13 = 0 THEN 'ArithmeticError' END AS error, count(*) AS n, round(sum(CASE WHEN k % 13 <> 0 THEN k * 7 % 100 / 100 END), 4) AS total FROM r GROUP BY ALL""")
+def inference_flow(spark, sf):
+    """A function over all parts in waves: the first run stops after it has claimed the second wave, the next one takes that
+    up. Rows that fail are tried twice in each run that gets to them."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("sample_id"), F.sha2(F.col("p_name").cast("binary"), 256).alias("sha256"))
+    root, config = f"{shared_dir(spark)}/inference-{uuid.uuid4().hex}", {"model": "estimate"}
+    go = lambda **more: inference.infer(
+        rows, _estimate, config, root, "parts", "sample_id long, sha256 string, score double", wave_rows=max(1, rows.count() // 4), order="sample_id", strict=False, **more
+    )
+    try:
+        go(interrupt_after=1)
+    except inference.Interrupted:
+        pass
+    jobs = inference.jobs(spark, root, go().run_id)
+    score = F.from_json("result", "score double")["score"]
+    return jobs.groupBy("status", "attempts", "error").agg(F.count("*").alias("n"), _r(F.sum(score), 4).alias("total"))
+
+
+@query(_MATCHED + """, m AS (SELECT p_partkey AS image, CASE WHEN b < 15 THEN 'seed' WHEN b < 55 THEN 'pool' WHEN b < 75 THEN 'dev' ELSE 'test' END AS split, p_brand AS brand
+  FROM (SELECT *, ('0x' || substr(sha256('split-v1:' || p_partkey), 1, 8))::BIGINT % 100 AS b FROM part)),
+k AS (SELECT split, brand, coalesce(objects, 0) AS objects, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM m LEFT JOIN counts USING (image) WHERE split IN ('dev', 'test')),
+o AS (SELECT split, g.image, (x.j IS NOT NULL)::INT AS hit FROM gold g JOIN m USING (image) LEFT JOIN matched x ON x.image = g.image AND x.cls = g.cls AND x.j = g.j
+  WHERE split IN ('dev', 'test') AND (x2 - x1) * (y2 - y1) < 300)
+SELECT split, tag, count(*) AS images, sum(objects)::BIGINT AS objects, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(sum(tp) / nullif(sum(objects), 0), 6) AS recall,
+  round(sum(tp) / nullif(sum(tp + fp), 0), 6) AS precision FROM (SELECT *, unnest(['all', 'brand:' || brand]) AS tag FROM k) GROUP BY ALL
+UNION ALL SELECT split, 'object:small', count(DISTINCT image), count(*), sum(hit)::BIGINT, NULL, (count(*) - sum(hit))::BIGINT, round(avg(hit), 6), NULL FROM o GROUP BY split""")
+def checked_evaluation(spark, sf):
+    """Slices of two splits of a manifest after all checks: images without a box count, and none is left out."""
+    gold, predictions = boxes(spark, sf)
+    manifest = table(spark, sf, "part").select(F.col("p_partkey").alias("image"), S.split_of(F.col("p_partkey")).alias("split"), F.sha2(F.col("p_name").cast("binary"), 256).alias("sha256"), F.col("p_brand").alias("brand"))
+    labelled = manifest.join(evaluation.labels_digests(gold), "image", "left").withColumn("labels_sha256", F.coalesce("labels_sha256", evaluation.no_labels_digest(gold)))
+    predicted = manifest.select("image", "sha256", F.lit("v1").alias("version"))
+    small = {"small": (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) < 300}
+    found = evaluation.evaluate(labelled, gold, predicted, predictions, ["dev", "test"], "v1", ["brand"], small, with_metrics=False)
+    return found.slices.withColumns({c: _r(c) for c in ("recall", "precision")})
+
+
+_DIAGNOSED = MATCH_SQL.format(least="0.05") + """, m AS (SELECT p_partkey AS image, p_partkey // 20 AS grp, CASE WHEN b < 15 THEN 'seed' WHEN b < 55 THEN 'pool' WHEN b < 75 THEN 'dev' ELSE 'test' END AS split
+  FROM (SELECT *, ('0x' || substr(sha256('split-v1:' || p_partkey), 1, 8))::BIGINT % 100 AS b FROM part)),
+low AS (SELECT image, count(*) FILTER (score >= 0.05 AND score < 0.5) AS low_count, coalesce(sum(score * (1 - score)) FILTER (score >= 0.05 AND score < 0.5), 0) AS mass,
+  count(*) FILTER (score >= 0.05) AS n_low, count(*) FILTER (score >= 0.5) AS n_high FROM pred GROUP BY image),
+hit AS (SELECT image, count(*) AS tp_low, count(*) FILTER (score >= 0.5) AS tp_high FROM matched GROUP BY image),
+obj AS (SELECT image, count(*) AS objects FROM gold GROUP BY image),
+rec AS (SELECT image, grp, split, coalesce(objects, 0) AS objects, coalesce(tp_low, 0) AS tp_low, coalesce(tp_high, 0) AS tp_high, coalesce(n_low, 0) AS n_low, coalesce(n_high, 0) AS n_high,
+  coalesce(low_count, 0) AS low_count, coalesce(mass, 0) AS mass FROM m LEFT JOIN obj USING (image) LEFT JOIN hit USING (image) LEFT JOIN low USING (image)),
+x AS (SELECT image, grp, i, e.x FROM m JOIN (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) e ON e.vec_id = image % 40),
+fail AS (SELECT x.image, x.grp, i, x.x FROM x JOIN rec USING (image) WHERE split = 'dev' AND tp_low > tp_high)"""
+
+
+def _diagnosis(spark, sf):
+    """Images of the parts, the vectors that stand for their embeddings, gold boxes and predictions."""
+    gold, predictions = boxes(spark, sf)
+    key = F.col("p_partkey")
+    images = table(spark, sf, "part").select(key.alias("image"), F.floor(key / 20).alias("group"), S.split_of(key).alias("split"), F.sha2(F.col("p_name").cast("binary"), 256).alias("sha256"))
+    vectors = table(spark, sf, "embeddings").where("vec_id < 40").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    predicted = images.join(vectors, F.col("image") % 40 == F.col("vec_id")).select("image", "sha256", "embedding")
+    return images, gold, predictions, predicted
+
+
+@query("WITH RECURSIVE " + _DIAGNOSED + """, t AS (SELECT i, sum(x) AS s, count(*) AS n FROM fail GROUP BY i), o AS (SELECT grp, i, sum(x) AS s, count(*) AS n FROM fail GROUP BY grp, i),
+p AS (SELECT grp, i, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY grp)), 1e-12) AS v FROM (SELECT g.grp, t.i, (t.s - coalesce(o.s, 0)) / (t.n - coalesce(o.n, 0)) AS v
+  FROM (SELECT DISTINCT grp FROM rec WHERE split = 'dev') g CROSS JOIN t LEFT JOIN o ON o.grp = g.grp AND o.i = t.i)),
+sim AS (SELECT image, greatest(0, sum(x.x * p.v)) AS similarity FROM x JOIN p USING (grp, i) GROUP BY image)
+SELECT image, objects, tp_high, tp_low, n_high - tp_high AS fp_high, n_low - tp_low AS fp_low, tp_low - tp_high AS recoverable, objects - tp_low AS unrecovered, low_count,
+  round(mass, 6) AS mass, round(similarity, 6) AS similarity, round(similarity * ln(1 + mass), 6) AS score FROM rec JOIN sim USING (image) WHERE split = 'dev'""")
+def development_diagnosis(spark, sf):
+    """Development images: matches, recoverable misses, and their likeness to the failures of all other groups."""
+    images, gold, predictions, predicted = _diagnosis(spark, sf)
+    found = diagnosis.leave_group_out(diagnosis.records(images.where("split = 'dev'"), gold, predictions, predicted))
+    return found.drop("group", "embedding").withColumns({c: _r(c) for c in ("mass", "similarity", "score")})
+
+
+@query("WITH RECURSIVE " + _DIAGNOSED + """, p AS (SELECT i, v / greatest(sqrt(sum(v * v) OVER ()), 1e-12) AS v FROM (SELECT i, avg(x) AS v FROM fail GROUP BY i)),
+sim AS (SELECT image, greatest(0, sum(x.x * p.v)) AS similarity FROM x JOIN p USING (i) GROUP BY image)
+SELECT image AS sample_id, round(mass, 6) AS mass, round(similarity, 6) AS similarity, round(similarity * ln(1 + mass), 6) AS score FROM rec JOIN sim USING (image) WHERE split = 'pool'""")
+def failure_ranking(spark, sf):
+    """The pool's likeness to the development images with recoverable misses, and its low-confidence mass."""
+    images, gold, predictions, predicted = _diagnosis(spark, sf)
+    proto = diagnosis.prototype(diagnosis.records(images.where("split = 'dev'"), gold, predictions, predicted))
+    pool = images.where("split = 'pool'").select(F.col("image").alias("sample_id"), F.col("group").alias("group_id"), "split", F.lit("p").alias("image_path"), "sha256")
+    return diagnosis.rank_pool(pool, predicted, predictions, proto).select("sample_id", *[_r(c).alias(c) for c in ("mass", "similarity", "score")])
+
+
+@query(f"""WITH {BOXES_SQL}, plans AS (SELECT p_partkey AS k, 'even' AS plan FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT p_partkey, 'brand' FROM part WHERE p_size % 10 = 3 UNION ALL SELECT p_partkey, 'even' FROM part WHERE p_partkey % 12 = 0)
+SELECT k AS sample_id, 'unreviewed' AS status, string_agg(DISTINCT plan, ',' ORDER BY plan) AS selected_by, (SELECT count(*) FROM pred WHERE image = k AND score >= 0.5) AS proposals,
+  (SELECT string_agg(cls || ':' || x1::INT || ':' || y1::INT, ',' ORDER BY score DESC, j) FROM pred WHERE image = k AND score >= 0.5) AS boxes FROM plans GROUP BY k""")
+def review_proposals(spark, sf):
+    """Samples that plans chose, with the boxes that the model proposes for review."""
+    part = table(spark, sf, "part").withColumnRenamed("p_partkey", "sample_id")
+    plan = lambda where, name: part.where(where).select("sample_id", F.lit(name).alias("plan"))
+    plans = plan("sample_id % 6 = 0", "even").union(plan("p_size % 10 = 3", "brand")).union(plan("sample_id % 12 = 0", "even"))
+    queue = diagnosis.review_queue(plans, boxes(spark, sf)[1])
+    told = F.transform("proposed_boxes", lambda b: F.concat_ws(":", b["label"], b["box"][0].cast("int"), b["box"][1].cast("int")))
+    return queue.select("sample_id", "status", F.array_join("selected_by", ",").alias("selected_by"), F.size("proposed_boxes").cast("long").alias("proposals"), F.nullif(F.array_join(told, ","), F.lit("")).alias("boxes"))

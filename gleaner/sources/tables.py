@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ ANNOTATION = (
     "occluded:boolean,truncated:boolean>>>"
 )
 
+#: The file that marks a frozen root.
+FROZEN = "frozen.json"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,7 +63,10 @@ def write_once(df: DataFrame, path: str) -> bool:
 
 
 def write_all_once(tables: dict[str, DataFrame]) -> dict[str, bool]:
-    """`write_once` for tables that belong together: all are compared before the first one is written."""
+    """`write_once` for tables that belong together: all are compared before the first one is written. Nothing below a
+    frozen root."""
+    for path, df in tables.items():
+        refuse_frozen(df.sparkSession, path)
     there = {path: exists(df.sparkSession, path) for path, df in tables.items()}
     for path, df in tables.items():
         if there[path] and not same_rows(df.sparkSession.read.parquet(path), df):
@@ -70,14 +77,24 @@ def write_all_once(tables: dict[str, DataFrame]) -> dict[str, bool]:
     return {path: not was for path, was in there.items()}
 
 
-def refuse_frozen(spark: SparkSession, root: str, marker: str) -> None:
-    """Stop before anything is changed below a root whose release is marked by a file."""
-    if exists(spark, f"{root}/{marker}"):
-        raise ValueError(f"Frozen: {root}")
+def refuse_frozen(spark: SparkSession, path: str, marker: str = FROZEN) -> None:
+    """An error if the path or a folder above it is frozen: if it holds the marker. Sinks ask before they change anything."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    while place is not None:
+        if system.exists(spark._jvm.org.apache.hadoop.fs.Path(place, marker)):
+            raise ValueError(f"Frozen: {place.toString()}")
+        place = place.getParent()
+
+
+def freeze(spark: SparkSession, root: str, marker: str = FROZEN) -> None:
+    """Nothing below the root is written any more by the sinks here."""
+    write_json({"frozen": True}, f"{root}/{marker}", spark)
 
 
 def write_all_or_nothing(checked: DataFrame, path: str, errors: str) -> None:
     """checked: rows with a column `error`. Rows with errors are written apart and stop the publication."""
+    refuse_frozen(checked.sparkSession, path)
     bad = checked.where("error is not null")
     if bad.take(1):
         bad.write.mode("overwrite").parquet(errors)
@@ -85,10 +102,32 @@ def write_all_or_nothing(checked: DataFrame, path: str, errors: str) -> None:
     checked.drop("error").write.mode("errorifexists").parquet(path)
 
 
-def write_json(value: dict, path: str) -> None:
-    """A small report, replaced atomically; numbers must be finite."""
+def write_json(value: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A small report, replaced atomically; numbers must be finite. With a session, to any file system that Spark writes to;
+    else to a local path."""
     text = json.dumps(value, indent=2, ensure_ascii=False, allow_nan=False)
-    handle, partial = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
-        out.write(text)
-    os.replace(partial, path)
+    if spark is None:
+        handle, partial = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
+        with os.fdopen(handle, "w", encoding="utf-8") as out:
+            out.write(text)
+        os.replace(partial, path)
+        return
+    refuse_frozen(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    partial = hadoop.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    system = target.getFileSystem(conf)
+    stream = system.create(partial, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(system.getUri(), conf).rename(partial, target, overwrite)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A small report from any file system."""
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
