@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iou
+from ..sources.scratch import written
 from .curves import LEVELS, Lanes, interpolated  # noqa: F401
 from .matching import BOX
 from .statistics import multiplicity
@@ -102,7 +103,7 @@ def judged(gold: DataFrame, predictions: DataFrame, runs: list[str] | None = Non
 def curves(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """cls, area, thr, lim, positives, ap, recall of each defined cell."""
     lanes = Lanes(CELLS, LIMITS)
-    rows = judged(gold, predictions)
+    rows = written(judged(gold, predictions))
     inside = gold.select("cls", _outside().alias("out")).groupBy("cls").agg(
         *[F.count(F.when(F.col("out").bitwiseAND(F.lit(1 << i * len(THRESHOLDS))) == 0, 1)).alias(f"a{i}") for i in range(len(AREAS))]
     )
@@ -149,7 +150,7 @@ def bootstrap(
     by_image = images.select("image", "group").join(by_group, "group").select("image", "weights")
     first = F.lit(_ALL_THRESHOLDS).cast("long")  # the cells of the area of all boxes
     rows = judged(gold, predictions, [arm, seed]).join(by_image, "image")
-    rows = rows.withColumns({c: F.col(c).bitwiseAND(first) for c in ("hit", "skip")})
+    rows = written(rows.withColumns({c: F.col(c).bitwiseAND(first) for c in ("hit", "skip")}))
     lanes = Lanes(len(THRESHOLDS), (), replicates)
     inside = gold.where(_outside().bitwiseAND(first) == 0).select("image", "cls").join(by_image, "image")
     inside = inside.select("cls", F.posexplode("weights").alias("replicate", "w")).groupBy("cls", "replicate").agg(F.sum("w").cast("long").alias("positives")).where("positives > 0")

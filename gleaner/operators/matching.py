@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iou, ratio
+from ..sources.scratch import written
 from .curves import Lanes, interpolated
 
 OVERLAP = 0.5
@@ -84,6 +85,7 @@ def object_slices(gold: DataFrame, matched: DataFrame, tags: list[Column]) -> Da
 def average_precision(scored: DataFrame, group: list[str], tie: list[Column]) -> DataFrame:
     """scored: rows of group with score, hit (0/1) and positives (of the group). Precision interpolated at 101 levels of
     recall, best score first."""
+    scored = written(scored)  # for the ranges, the blocks and the positives
     positives = scored.groupBy(*group).agg(F.max("positives").alias("positives")).withColumn("lane", F.lit(0))
     rows = scored.withColumns({"hit": F.col("hit").cast("long"), "skip": F.lit(0).cast("long"), "rank": F.lit(0).cast("long")})
     return interpolated(rows, group, [F.desc("score"), *tie], positives, Lanes()).select(*group, "ap")
