@@ -4,12 +4,15 @@ The markup is stripped to lines: each block-level element begins a new line, and
 scripts or other furniture hold leaves an empty line in its place. A line's length is that of its text outside links; in
 an article or main element, that of all its text. Lengths are summed over a sliding window of `WINDOW` lines; the main
 text begins where the sum surges over the page's threshold and ends where it dives to zero, and all text lines between
-such points are kept. Where the page marks its article or main element, lines outside of it count as furniture.
+such points are kept. A list of links between two blocks of text of one parent is no dive: its lines count with all their
+text. Lines outside of the page's article and main elements count as furniture if these hold at least half of the text.
 
-Furniture is told by an element's name or by the words of its class, id or role. Within an article or main element, and
-for ids everywhere, all words of a name must be those of furniture (`comments`, `share-buttons`), so that a heading or a
-section whose id is made of its title (`related-work`) stays. The scan goes forward only and takes time in proportion to
-the page.
+Furniture is told by an element's name or by the words of its class, id or role. Such words alone only make an element
+suspect: one that holds more than half of the page's text outside links is kept (`page-wrapper widget-area`). Within an
+article or main element, and for ids everywhere, all words of a name must be those of furniture (`comments`,
+`share-buttons`), so that a heading or a section whose id is made of its title (`related-work`) stays. A button or label
+within a paragraph, list item, cell or heading is part of its sentence. The scan goes forward only and takes time in
+proportion to the page.
 
 Defined results: null and empty html give an empty text; a page without any text line too. Malformed markup is read as
 browsers do for the cases that matter here: an end tag closes the elements left open inside its element, a missing end
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +51,11 @@ BLOCKS = frozenset(
     " thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements of running text, and those that are part of a sentence within them.
+RUNNING = frozenset("p li td th dd dt blockquote figcaption h1 h2 h3 h4 h5 h6".split())
+INLINE = frozenset("button label".split())
+#: Furniture that doesn't end a sentence that it stands in.
+FORM_PARTS = frozenset("select option object applet audio video canvas".split())
 MAIN = frozenset("article main".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 #: Words of class, id or role that name furniture.
@@ -77,12 +86,26 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LAYOUT = frozenset("header masthead footer sidebar sidebars social share sharing widget search banner navbar".split())
 
 
+#: Share of the page's text outside links that an element must hold to be kept in spite of its name, and that article and
+#: main elements must hold to be all of the main text.
+MOST = 0.5
+
+
+class Line(NamedTuple):
+    """text; length: outside links, or all in an article or main element; inside: of such an element; heading: in a heading;
+    parent: the element that holds the line's block; suspect: the number of the innermost element around it that names make
+    suspect, or 0."""
+
+    text: str
+    length: int
+    inside: bool
+    heading: bool
+    parent: int
+    suspect: int
+
+
 def _named_furniture(name: str, attributes: str, inside: bool) -> bool:
     """Whether class, id or role name furniture. inside: the element stands in an article or main element."""
-    if not attributes or attributes.isspace():
-        return False
-    if HIDDEN.search(attributes):
-        return True
     if name == "main" or name in HEADINGS:
         return False
     for kind, a, b, c in NAMES.findall(attributes):
@@ -97,38 +120,47 @@ def _named_furniture(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, length outside links (of all text in an article or main element), whether it stands in such
-    an element. Furniture is an empty line. White space in a line is one space."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> tuple[list[Line], list[int]]:
+    """The page's lines, and for each suspect element, from 1 up, the suspect one around it. Furniture is an empty line.
+    White space in a line is one space."""
+    lines: list[Line] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements; whether each is furniture
+    stack: list[tuple[str, bool, bool]] = []  # open elements; whether each is furniture, suspect
     opened: Counter[str] = Counter()  # their names
     endless: set[str] = set()  # raw elements without an end tag ahead
-    furniture, links, mains = 0, 0, 0
+    blocks = [0, 0]  # numbers of open blocks
+    around = [0]  # by suspect element
+    suspected = [0]  # open suspect elements
+    furniture, links, mains, running, headings, count = 0, 0, 0, 0, 0, 0
 
     def flush(empty: bool = False) -> None:
         nonlocal linked
         if parts:
             if text := " ".join(unescape("".join(parts)).split()):
-                lines.append((text, len(text) if mains else max(0, len(text) - linked), mains > 0))
+                lines.append(Line(text, len(text) if mains else max(0, len(text) - linked), mains > 0, headings > 0, blocks[-2], suspected[-1]))
             parts.clear()
         linked = 0
-        if empty and (not lines or lines[-1][0]):
-            lines.append(("", 0, mains > 0))
+        if empty and (not lines or lines[-1].text):
+            lines.append(Line("", 0, mains > 0, False, blocks[-2], suspected[-1]))
 
     def shut(depth: int) -> None:
-        nonlocal furniture, links, mains
+        nonlocal furniture, links, mains, running, headings
         while len(stack) > depth:
-            name, own = stack[-1]
-            if name in BLOCKS and not furniture:
+            name, own, suspect = stack[-1]
+            if (name in BLOCKS or suspect) and not furniture:
                 flush()
             stack.pop()
             opened[name] -= 1
             furniture -= own
             links -= name == "a"
-            mains -= name in MAIN and not own
+            mains -= name in MAIN and not (own or suspect)
+            running -= name in RUNNING
+            headings -= name in HEADINGS
+            if name in BLOCKS:
+                blocks.pop()
+            if suspect:
+                suspected.pop()
 
     def close(name: str) -> None:
         """Close the innermost open element of that name, and all that is open in it."""
@@ -186,32 +218,75 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 flush()
         if name in VOID or attributes.endswith("/"):
             continue
-        if name == "body":  # the head ends here at the latest
-            shut(next((depth for depth, (open_, _) in enumerate(stack) if open_ == "head"), len(stack)))
+        if name == "body" and opened["head"]:  # the head ends here at the latest
+            shut(next(depth for depth, element in enumerate(stack) if element[0] == "head"))
         if name in CLOSES_P:
             close("p")
-        named = name not in ("html", "body") and _named_furniture(name, attributes, mains > 0)
-        own = named or name in FURNITURE and not (name == "header" and mains)  # an article's header holds its headline
-        if not furniture and (own or name in BLOCKS):
+        hidden = bool(attributes) and HIDDEN.search(attributes) is not None
+        suspect = bool(attributes) and not attributes.isspace() and name not in ("html", "body") and _named_furniture(name, attributes, mains > 0)
+        # An article's header holds its headline, and a button may be a word of a sentence.
+        own = hidden and name not in ("html", "body") or name in FURNITURE and not (name == "header" and mains) and not (name in INLINE and running)
+        if not furniture and (own and not (running and name in FORM_PARTS) or suspect or name in BLOCKS):
             flush(own)
-        stack.append((name, own))
+        suspect = suspect and not own and not furniture
+        count += 1
+        if suspect:
+            around.append(suspected[-1])
+            suspected.append(len(around) - 1)
+        stack.append((name, own, suspect))
         opened[name] += 1
         furniture += own
         links += name == "a"
-        mains += name in MAIN and not own
+        mains += name in MAIN and not (own or suspect)
+        running += name in RUNNING
+        headings += name in HEADINGS
+        if name in BLOCKS:
+            blocks.append(count)
     if said < size and not furniture:  # after a lone sign
         parts.append(html[said:])
     flush()
-    return lines
+    return lines, around
+
+
+def _innocent(lines: list[Line], around: list[int]) -> list[Line]:
+    """Lines of suspect elements that hold most of the page's text, and all of its article and main elements, stay; those
+    of others are empty."""
+    held, inside = [0] * len(around), [0] * len(around)  # 0: the page
+    for line in lines:
+        held[line.suspect] += line.length
+        inside[line.suspect] += line.length * line.inside
+    for suspect in range(len(around) - 1, 0, -1):  # inner ones first
+        held[around[suspect]] += held[suspect]
+        inside[around[suspect]] += inside[suspect]
+    kept = [True] * len(around)
+    for suspect in range(1, len(around)):
+        kept[suspect] = kept[around[suspect]] and held[suspect] > MOST * held[0] and inside[suspect] == inside[0]
+    out: list[Line] = []
+    for line in lines:
+        if not kept[line.suspect]:
+            line = line._replace(text="", length=0)
+        if line.text or not out or out[-1].text:
+            out.append(line)
+    return out
 
 
-def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW) -> list[str]:
+def main_lines(lines: list[Line], around: list[int], window: int = WINDOW) -> list[str]:
     """The text lines between surge and dive points."""
-    marked = any(inside and text for text, _, inside in lines)
-    lengths = [n if inside or not marked else 0 for _, n, inside in lines]
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    if not any(sums):
+    lines = _innocent(lines, around)
+    inside = sum(line.length for line in lines if line.inside)
+    marked = inside > 0 and inside >= MOST * sum(line.length for line in lines)
+    lengths = [line.length if line.inside or not marked else 0 for line in lines]
+    last = None  # the last line with text outside links since the last empty line
+    for i, line in enumerate(lines):
+        if not line.text:
+            last = None
+        elif lengths[i]:
+            if last is not None and lines[last].parent == line.parent:
+                lengths[last + 1 : i] = [len(between.text) for between in lines[last + 1 : i]]
+            last = i
+    if not any(lengths):
         return []
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
     surge = min(SURGE_MOST, max(SURGE_LEAST, SURGE_SHARE * max(sums)))
     kept, start = [], None
     for i, total in enumerate([*sums, 0]):
@@ -219,13 +294,15 @@ def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW) -> list
             start = i
         elif not total and start is not None:
             if max(sums[start:i]) >= surge:
-                kept += [text for text, _, inside in lines[start:i] if text and (inside or not marked)]
+                while not lengths[start] and not (lines[start].text and lines[start].heading):
+                    start += 1  # links before the text
+                kept += [line.text for line in lines[start:i] if line.text and (line.inside or not marked)]
             start = None
     return kept
 
 
 def main_text(html: str | None) -> str:
-    return "\n\n".join(main_lines(lines_of(html))) if html else ""
+    return "\n\n".join(main_lines(*lines_of(html))) if html else ""
 
 
 def _main_texts(html: pa.Array) -> pa.Array:
