@@ -75,8 +75,3 @@ def unit(v: Column) -> Column:
     """The vector over its length, of at least 1e-12."""
     length = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
     return F.transform(v, lambda x: x.cast("double") / length)
-
-
-def prefix_continues(sequence: Column, prefix: list) -> Column:
-    """Whether the sequence begins with the prefix."""
-    return F.slice(sequence, 1, len(prefix)) == F.array(*[F.lit(p) for p in prefix]) if prefix else F.lit(True)

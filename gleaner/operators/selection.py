@@ -66,12 +66,6 @@ def leave_group_out(vectors: DataFrame, column: str, group: str, failed: str) ->
     return rest.where("x is not null").groupBy(group).agg(ordered.alias("v")).select(group, unit(F.col("v")).alias("prototype"))
 
 
-def ranked(rows: DataFrame, key: str) -> DataFrame:
-    """score = similarity x ln(1 + mass), and the rank by it, ties by key."""
-    scored = rows.withColumn("score", F.col("similarity") * F.log1p("mass"))
-    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
-
-
 def hash_order(key: Column, seed: str) -> Column:
     """A reproducible shuffle that does not depend on partitions."""
     return digest(F.lit(seed), key)

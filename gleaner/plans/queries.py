@@ -13,6 +13,7 @@ from ..functions import scalars as S
 from ..operators import coco, contracts, diagnosis, digests, evaluation, inference, journal, matching, neighbours, provenance, selection, statistics, trie
 from ..sources.scratch import shared_dir
 from ..sources.tables import table
+from ..streaming import journal as streams
 from .views import BOXES_SQL, MATCH_SQL, SCORES_SQL, boxes, scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,13 +488,16 @@ jobs AS (SELECT key, CASE WHEN result IS NOT NULL THEN 'succeeded' WHEN event =
   CASE WHEN result IS NULL AND event = 'fail' THEN e END AS error FROM last)"""
 
 
-def _jobs(spark, sf):
+def _log(spark, sf):
     kinds = F.array(*[F.lit(x) for x in ("enqueue", "start", "succeed", "fail")])
-    log = table(spark, sf, "events").select(
+    return table(spark, sf, "events").select(
         F.col("user_id").alias("key"), F.col("event_id").alias("seq"), kinds[(F.col("event_id") % 4).cast("int")].alias("event"),
         F.concat(F.lit("r"), F.col("event_id")).alias("result"), F.concat(F.lit("e"), F.col("event_id")).alias("error"),
     )
-    return journal.fold(log)
+
+
+def _jobs(spark, sf):
+    return journal.fold(_log(spark, sf))
 
 
 @query(f"WITH {_FOLD} SELECT * FROM jobs")
@@ -502,6 +506,18 @@ def journal_fold(spark, sf):
     return _jobs(spark, sf)
 
 
+@query(f"WITH {_FOLD} SELECT key::BIGINT AS key, status, attempts, result, error FROM jobs")
+def job_stream(spark, sf):
+    """The same states, kept by a stream: the events come in three parts, and the stream is started anew for each."""
+    folder = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    log = _log(spark, sf).withColumns({"key": F.col("key").cast("string"), "ts": F.timestamp_seconds("seq")})
+    for part in range(3):
+        log.where(F.col("seq") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+        streams.write_batches(streams.job_states(stream, "10000 days", "10000 days"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return streams.latest_states(spark, f"{folder}/out").withColumn("key", F.col("key").cast("long"))
+
+
 @query(f"WITH {_FOLD} SELECT CASE status WHEN 'running' THEN 'pending' ELSE status END AS status, count(*) AS n FROM jobs GROUP BY 1")
 def status_counts(spark, sf):
     """Jobs by state after a recovery."""
