@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
+from ..sources.scratch import written
 from . import contracts, matching, selection
 from .contracts import ContractError
 
@@ -54,7 +55,7 @@ def _sums(**given: Column) -> list[Column]:
 
 def prototype(diagnosed: DataFrame) -> DataFrame:
     """One row: the centroid of the embeddings of images with recoverable misses. An error if there are none."""
-    failed = diagnosed.where("recoverable > 0")
+    failed = written(diagnosed.where("recoverable > 0").select("embedding"))
     if not failed.take(1):
         raise ContractError("No failures to make a prototype of")
     return selection.centroid(failed, "embedding")
@@ -75,6 +76,7 @@ def rank_pool(pool: DataFrame, predicted: DataFrame, predictions: DataFrame, pro
 def leave_group_out(diagnosed: DataFrame) -> DataFrame:
     """diagnosed with similarity and score by the prototype of the failures of all other groups. An error if a group has no
     other one that fails."""
+    diagnosed = written(diagnosed)
     marked = diagnosed.withColumn("failed", F.col("recoverable") > 0)
     own = selection.leave_group_out(marked, "embedding", "group", "failed")
     alone = diagnosed.join(own, "group", "left_anti").select("group").distinct().take(5)
