@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import digest, dot, entropy, finite, unit
 from ..sources.scratch import written
-from .contracts import ContractError, budget as check_budget
+from .contracts import ContractError, budget as check_budget, enforce, unique, violations
 from .running import cuts_of, running
 
 TOP_SCORES = 20
@@ -66,6 +66,14 @@ def leave_group_out(vectors: DataFrame, column: str, group: str, failed: str) ->
     return rest.where("x is not null").groupBy(group).agg(ordered.alias("v")).select(group, unit(F.col("v")).alias("prototype"))
 
 
+def rows_of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of chosen ids, once each. An error if an id has no row, or several."""
+    chosen = ids.select(key).distinct()
+    found = rows.join(chosen, key, "left_semi")
+    enforce(violations(chosen.join(rows, key, "left_anti"), "unknown", F.col(key), F.lit("no row")), unique(found, key))
+    return found
+
+
 def hash_order(key: Column, seed: str) -> Column:
     """A reproducible shuffle that does not depend on partitions."""
     return digest(F.lit(seed), key)

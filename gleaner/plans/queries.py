@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import coco, contracts, diagnosis, digests, evaluation, inference, journal, matching, neighbours, provenance, selection, statistics, trie
+from ..operators import coco, contracts, diagnosis, digests, evaluation, inference, journal, labels, matching, neighbours, provenance, selection, statistics, trie
 from ..sources.scratch import shared_dir
 from ..sources.tables import table
 from ..streaming import journal as streams
@@ -954,3 +954,21 @@ def review_proposals(spark, sf):
     queue = diagnosis.review_queue(plans, boxes(spark, sf)[1])
     told = F.transform("proposed_boxes", lambda b: F.concat_ws(":", b["label"], b["box"][0].cast("int"), b["box"][1].cast("int")))
     return queue.select("sample_id", "status", F.array_join("selected_by", ",").alias("selected_by"), F.size("proposed_boxes").cast("long").alias("proposals"), F.nullif(F.array_join(told, ","), F.lit("")).alias("boxes"))
+
+
+@query("""WITH r AS (SELECT l_partkey, l_orderkey, l_linenumber, l_discount * 12 - 0.1::DOUBLE AS x, l_tax * 8 AS y, l_quantity / 45 - 0.1::DOUBLE AS w, l_linenumber::DOUBLE / 5 AS h,
+  CASE l_returnflag WHEN 'N' THEN 3 WHEN 'R' THEN 1 END AS cls FROM lineitem),
+b AS (SELECT cls, least(greatest(x * 640, 0), 640) AS x1, least(greatest(y * 360, 0), 360) AS y1, least(greatest((x + w) * 640, 0), 640) AS x2, least(greatest((y + h) * 360, 0), 360) AS y2, w, h FROM r WHERE cls IS NOT NULL),
+e AS (SELECT *, CASE WHEN w <= 0 OR h <= 0 THEN 'invalid box' WHEN x2 <= x1 OR y2 <= y1 THEN 'outside of the image' END AS error FROM b)
+SELECT cls, error, count(*) AS n, round(avg((x2 - x1) * (y2 - y1)), 4) AS mean_area FROM e GROUP BY ALL""")
+def label_conversion(spark, sf):
+    """Nested annotations, an image a part, to boxes in pixels: by class, how many are boxes, and why others aren't."""
+    rows = table(spark, sf, "lineitem")
+    label = F.when(F.col("l_returnflag") == "N", "car").when(F.col("l_returnflag") == "R", "rider").otherwise("lane")
+    box = F.array(F.col("l_discount") * 12 - 0.1, F.col("l_tax") * 8, F.col("l_quantity") / 45 - 0.1, F.col("l_linenumber").cast("double") / 5)
+    objects = F.struct(label.alias("label"), box.alias("bounding_box"), F.lit(None).cast("boolean").alias("occluded"), F.lit(None).cast("boolean").alias("truncated"))
+    samples = rows.groupBy("l_partkey").agg(F.collect_list(objects).alias("d")).select(
+        F.concat(F.lit("parts/"), "l_partkey", F.lit(".jpg")).alias("filepath"), F.struct(F.lit(640).alias("width"), F.lit(360).alias("height")).alias("metadata"), F.struct(F.col("d").alias("detections")).alias("detections")
+    )
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return labels.converted(samples).groupBy("cls", "error").agg(F.count("*").alias("n"), _r(F.avg(area), 4).alias("mean_area"))

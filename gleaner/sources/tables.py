@@ -131,3 +131,20 @@ def write_json(value: dict, path: str, spark: SparkSession | None = None) -> Non
 def read_json(spark: SparkSession, path: str) -> dict:
     """A small report from any file system."""
     return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def config(spark: SparkSession, path: str, schema: str) -> dict:
+    """A configuration of one JSON object, by its schema: an error if a field is missing or isn't of its type. Fields that
+    the schema doesn't name are left out."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        given = json.loads(text)
+    except ValueError as e:
+        raise ValueError(f"{path} is no JSON: {e}") from None
+    kind = T.StructType.fromDDL(schema)
+    if missing := [f.name for f in kind if not isinstance(given, dict) or f.name not in given]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    row = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", kind).alias("c")).first()["c"].asDict(recursive=True)
+    if wrong := [name for name, value in row.items() if value is None and given[name] is not None]:
+        raise ValueError(f"{path}: not of their type: {', '.join(wrong)}")
+    return row
