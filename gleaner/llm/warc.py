@@ -305,7 +305,7 @@ def resolved(records: DataFrame) -> DataFrame:
     known = records.where("type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"), F.lit(True).alias("there")
     )
-    both = pages.join(known, "refers_to", "left")
+    both = pages.join(known.hint("merge"), "refers_to", "left")  # by the table of archives Spark can't tell its size
     revisit = F.col("type") == "revisit"
     lost = F.when(revisit & F.col("there").isNull(), "revisits no response").when(revisit & ~F.col("d").eqNullSafe(F.col("payload_digest")), "revisits another payload")
     return both.select(
@@ -318,6 +318,6 @@ def resolved(records: DataFrame) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """The pages as read back from archives of the shared folder. An error of any record stops the run."""
     archives = write(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", least_bytes)
-    back = resolved(read(archives, payloads=False))
+    back = resolved(materialized(read(archives, payloads=False)))
     sound = F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", F.lit("WARC"), "error"))).otherwise(F.col("record_type"))
     return back.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
