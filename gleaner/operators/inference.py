@@ -187,7 +187,7 @@ def infer(
         todo = keyed.join(done, "key", "left_anti").withColumn("at", F.col(order).cast("double") if order else F.conv(F.substring("key", 1, 13), 16, 10).cast("double"))
         total = {"nth": F.lit(1)}
         dealt = running(todo, [], "at", [F.asc("at"), F.asc("key")], total, cuts_of(todo, "at")) if hits < ids.n else todo.withColumn("nth", F.lit(0))
-        waves = written(dealt.withColumn("wave", F.floor((F.col("nth") - 1) / wave_rows)).drop("nth", "at"))
+        waves = written(dealt.withColumn("wave", F.floor((F.col("nth") - 1) / wave_rows)).drop("nth", "at"), "wave")
         for wave in range(-(-(ids.n - hits) // wave_rows)):
             own = waves.where(F.col("wave") == wave).drop("wave")
             _append(own.selectExpr("key", f"{step * 1000}L AS seq", "'start' AS event", "NULL AS result", "NULL AS error"), folder, step)
