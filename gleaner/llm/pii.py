@@ -79,17 +79,35 @@ SAYS = {
 OTHER = r"version|release|isbn|order|invoice|part|item|model|serial|section|chapter|ref|no|nr|id|build|page|commit|sha|sha1|sha256|md5|hash|checksum|digest|uuid|etag|revision|file|path|url"
 
 
+#: Matches that are gone through one after the other; their stretches, apart. An array that grows by one is copied each time.
+STRETCH = 128
+
+
+def _matches(name: str) -> str:
+    """SQL of the pattern's matches, each with what comes before and after it (`2`). The last has no match."""
+    return f"arrays_zip(__pii_m_{name}, __pii_p_{name}, slice(__pii_p_{name}, 2, greatest(1, size(__pii_p_{name}))))"
+
+
+def _offsets(name: str) -> str:
+    """SQL of the positions where stretches of matches begin, and the end."""
+    lengths = f"aggregate(slice(__pii_z_{name}, g * {STRETCH} + 1, {STRETCH}), 0, (n, x) -> n + char_length(x.__pii_p_{name}) + coalesce(char_length(x.__pii_m_{name}), 0))"
+    stretches = f"transform(sequence(0, (size(__pii_z_{name}) - 1) div {STRETCH}), g -> {lengths})"
+    return f"if(size(__pii_m_{name}) = 0, cast(array() as array<int>), aggregate({stretches}, array(0), (acc, n) -> concat(acc, array(element_at(acc, -1) + n))))"
+
+
 def _candidates(name: str, kind: str, guard: str, pattern: str) -> str:
-    """SQL of the pattern's matches with their positions and surroundings. __pii_m and __pii_p: matches, and what is between."""
-    return f"""
-    aggregate(arrays_zip(__pii_m_{name}, __pii_p_{name}, slice(__pii_p_{name}, 2, greatest(1, size(__pii_p_{name})))),
-      named_struct('at', 0, 'all', cast(array() as {CANDIDATE})),
+    """SQL of the pattern's matches with their positions and surroundings. __pii_m and __pii_p: matches, and what is between;
+    __pii_z and __pii_o: `_matches` and `_offsets`."""
+    stretch = f"""
+    aggregate(slice(__pii_z_{name}, g * {STRETCH} + 1, {STRETCH}),
+      named_struct('at', __pii_o_{name}[cast(g as int)], 'all', cast(array() as {CANDIDATE})),
       (acc, x) -> if(x.__pii_m_{name} is null, acc, named_struct(
         'at', acc.at + char_length(x.__pii_p_{name}) + char_length(x.__pii_m_{name}),
         'all', concat(acc.all, array(named_struct('start', acc.at + char_length(x.__pii_p_{name}), 'kind', {KINDS.index(kind)},
           'end', acc.at + char_length(x.__pii_p_{name}) + char_length(x.__pii_m_{name}), 'value', x.__pii_m_{name},
           'left', right(x.__pii_p_{name}, {CONTEXT}), 'right', left(x.`2`, {CONTEXT})))))),
       acc -> acc.all)"""
+    return f"if(size(__pii_o_{name}) < 2, cast(array() as {CANDIDATE}), flatten(transform(sequence(0, size(__pii_o_{name}) - 2), g -> {stretch})))"
 
 
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
@@ -135,6 +153,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     for name, _, _, pattern in PATTERNS:
         quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
         text = text.withColumn(f"__pii_p_{name}", F.expr(f"if(size(__pii_m_{name}) > 0, split(__pii_text, '{quoted}', -1), array(''))"))
+    text = text.withColumns({f"__pii_z_{p[0]}": F.expr(_matches(p[0])) for p in PATTERNS})
+    text = text.withColumns({f"__pii_o_{p[0]}": F.expr(_offsets(p[0])) for p in PATTERNS})
     found = text.withColumns({f"__pii_c_{p[0]}": F.expr(_candidates(*p)) for p in PATTERNS})
     base = F.filter(F.concat(*[F.col(f"__pii_c_{p[0]}") for p in PATTERNS[: len(BASE)]]), _valid)
     kept = found.select(*[F.col(f"`{c}`") for c in docs.columns], base.alias("__pii_base"), *[f"__pii_c_{p[0]}" for p in PATTERNS[len(BASE) :]])
@@ -338,19 +358,32 @@ def redact(docs: DataFrame) -> DataFrame:
     found = with_spans(docs, docs.columns)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     ordered = F.array_sort(F.transform("__pii_spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = -x["end"] <= acc["at"]
-        overlap = x["start"] < acc["at"]
-        out = F.when(overlap, acc["out"]).otherwise(
-            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), names[x["kind"]])
-        )
-        return F.struct(F.when(inside, acc["at"]).otherwise(-x["end"]).alias("at"), out.alias("out"))
-
-    text = F.when(F.size("__pii_spans") > 0, F.aggregate(
-        ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    )).otherwise(F.col("text"))
+    found = found.withColumn("__pii_x", ordered)
+    # Stretches of spans, each with the text from where the one before ended to where it ends itself.
+    spans = lambda g: F.slice("__pii_x", g * STRETCH + 1, STRETCH)
+    stretches = F.sequence(F.lit(0), F.floor((F.size("__pii_x") - 1) / STRETCH).cast("int"))
+    last = F.transform(stretches, lambda g: -F.array_min(F.transform(spans(g), lambda x: x["end"])))
+    ends = F.aggregate(last, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), n))))
+    found = found.withColumn("__pii_e", F.when(F.size("__pii_x") > 0, ends).otherwise(F.array(F.lit(0))))
+
+    def part(g: Column) -> Column:
+        first = F.get("__pii_e", g)
+        return F.struct(first.alias("first"), F.substring(F.col("text"), first + 1, F.get("__pii_e", g + 1) - first).alias("text"), spans(g).alias("spans"))
+
+    found = found.withColumn("__pii_g", F.when(F.size("__pii_e") > 1, F.transform(F.sequence(F.lit(0), F.size("__pii_e") - 2), part)))
+
+    def replaced(stretch: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            inside = -x["end"] <= acc["at"]
+            overlap = x["start"] < acc["at"]
+            before = F.substring(stretch["text"], acc["at"] - stretch["first"] + 1, x["start"] - acc["at"])
+            out = F.when(overlap, acc["out"]).otherwise(F.concat(acc["out"], before, names[x["kind"]]))
+            return F.struct(F.when(inside, acc["at"]).otherwise(-x["end"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(stretch["spans"], F.struct(stretch["first"].alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    rest = F.substring(F.col("text"), F.element_at("__pii_e", -1) + 1, F.char_length("text"))
+    text = F.when(F.size("__pii_g") > 0, F.concat(F.array_join(F.transform("__pii_g", replaced), ""), rest)).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
