@@ -189,9 +189,8 @@ def _runs(ids: np.ndarray) -> np.ndarray:
     """ids without those that have no neighbour, and with one 0 between runs."""
     some = np.concatenate([[False], ids > 0, [False]])
     beside = some[1:-1] & (some[:-2] | some[2:])
-    stays = beside | np.concatenate([beside[1:] & False, [False]]) if len(ids) else beside
-    ends = np.concatenate([beside[:-1] & ~beside[1:], [False]]) if len(ids) else beside
-    stays = stays | np.concatenate([[False], ends[:-1]]) if len(ids) else stays
+    stays = beside.copy()
+    stays[1:] |= beside[:-1]  # what comes after a run
     return np.where(beside, ids, 0)[stays].astype("<u4")
 
 
