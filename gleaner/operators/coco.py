@@ -37,35 +37,44 @@ def _outside() -> Column:
     return out
 
 
-def _reached(overlap: Column) -> Column:
-    """The cells whose threshold an overlap reaches, as bits."""
-    out = F.lit(0).cast("long")
-    for i, t in enumerate(THRESHOLDS):
-        bits = sum(1 << i + a * len(THRESHOLDS) for a in range(len(AREAS)))
-        out = out + F.when(overlap >= min(t, 1 - 1e-10), F.lit(bits).cast("long")).otherwise(0)
-    return out
+#: By the number of thresholds that an overlap reaches, their cells as bits.
+_REACHED = np.array([sum(((1 << n) - 1) << a * len(THRESHOLDS) for a in range(len(AREAS))) for n in range(len(THRESHOLDS) + 1)])
 
 
-def _take(ranks: list, golds: list, reached: list, outs: list) -> dict[int, tuple[int, int]]:
-    """Pairs of one image and class, by rank and then preference: by rank, the cells that are hit, and those where the hit
-    is an ignored box."""
-    used: dict[int, int] = {}
-    got: dict[int, tuple[int, int]] = {}
-    start = 0
-    while start < len(ranks):
-        stop, rank, hit, ignored = start, ranks[start], 0, 0
-        while stop < len(ranks) and ranks[stop] == rank:
-            stop += 1
-        for last in (False, True):  # boxes outside of an area come last
-            for i in range(start, stop):
-                cells = reached[i] & (outs[i] if last else ~outs[i]) & ~used.get(golds[i], 0) & ~hit
-                if cells:
-                    used[golds[i]] = used.get(golds[i], 0) | cells
-                    hit |= cells
-                    ignored |= cells if last else 0
-        got[rank] = hit, ignored
-        start = stop
-    return got
+def _reached(overlap: np.ndarray) -> np.ndarray:
+    """The cells whose threshold an overlap reaches, as bits."""
+    return _REACHED[np.searchsorted([min(t, 1 - 1e-10) for t in THRESHOLDS], overlap, "right")]
+
+
+def _take(starts: np.ndarray, ranks: np.ndarray, golds: np.ndarray, reached: np.ndarray, outs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of many images and classes, those of one from starts[i] up to starts[i + 1], by rank and then preference: for
+    each image and class and rank its number, the rank, the cells that are hit, and those where the hit is an ignored box.
+    All images and classes take a pair at once, the first one of each, then the second."""
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    if not len(group):
+        return (np.empty(0, np.int64),) * 4
+    new = np.concatenate([[True], (np.diff(group) != 0) | (np.diff(ranks) != 0)])
+    taker = np.cumsum(new) - 1
+    names, box = np.unique(golds, return_inverse=True)
+    box = np.unique(group * len(names) + box, return_inverse=True)[1]
+    pair = np.arange(len(group))
+    inner, outer = pair[reached & ~outs != 0], pair[reached & outs != 0]
+    at, last = np.concatenate([inner, outer]), np.repeat([False, True], [len(inner), len(outer)])
+    order = np.lexsort((at, last, taker[at]))  # boxes outside of an area come last
+    at, last = at[order], last[order]
+    cells = np.where(last, reached[at] & outs[at], reached[at] & ~outs[at])
+    first = np.flatnonzero(np.concatenate([[True], np.diff(group[at]) != 0])) if len(at) else at
+    stop = np.concatenate([first[1:], [len(at)]]) if len(at) else at
+    used = np.zeros(box.max() + 1, np.int64)
+    hit, ignored = np.zeros(taker[-1] + 1, np.int64), np.zeros(taker[-1] + 1, np.int64)
+    while len(first):
+        now = at[first]
+        got = cells[first] & ~used[box[now]] & ~hit[taker[now]]
+        used[box[now]] |= got
+        hit[taker[now]] |= got
+        ignored[taker[now]] |= np.where(last[first], got, 0)
+        first, stop = first[first + 1 < stop] + 1, stop[first + 1 < stop]
+    return group[new], ranks[new], hit, ignored
 
 
 def judged(gold: DataFrame, predictions: DataFrame, runs: list[str] | None = None) -> DataFrame:
@@ -79,18 +88,15 @@ def judged(gold: DataFrame, predictions: DataFrame, runs: list[str] | None = Non
     overlap = iou(tuple(F.col(f"g{c}") for c in BOX), tuple(F.col(c) for c in BOX))
     near = top.join(boxes, ["image", "cls"]).where(overlap >= min(THRESHOLDS))
     pairs = near.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", (-overlap).alias("i"), (-F.col("g")).alias("n"), "out"))).alias("pairs"))
-    pairs = pairs.select(*key, *[F.col(f"pairs.{c}").alias(f"p_{c}") for c in ("rank", "n", "out")], F.transform("pairs.i", lambda i: _reached(-i)).alias("p_reached"))
+    pairs = pairs.select(*key, *[F.col(f"pairs.{c}").alias(f"p_{c}") for c in ("rank", "n", "i", "out")])
     kinds = ", ".join(f"`{c}` {(predictions if c in runs else gold).schema[c].dataType.simpleString()}" for c in key)
 
     def take(batches):
         for batch in batches:
-            at, ranks, hits, ignored = [], [], [], []
-            lists = [batch.column(c).to_pylist() for c in ("p_rank", "p_n", "p_reached", "p_out")]
-            for row, (r, n, t, o) in enumerate(zip(*lists, strict=True)):
-                for rank, (hit, skip) in _take(r, n, t, o).items():
-                    at.append(row), ranks.append(rank), hits.append(hit), ignored.append(skip)
-            rows = pa.array(at, pa.int64())
-            columns = [batch.column(c).take(rows) for c in key] + [pa.array(v, pa.int64()) for v in (ranks, hits, ignored)]
+            starts = np.concatenate([[0], np.cumsum(batch.column("p_rank").value_lengths().to_numpy())])
+            ranks, golds, overlaps, outs = (batch.column(c).flatten().to_numpy() for c in ("p_rank", "p_n", "p_i", "p_out"))
+            at, *found = _take(starts, ranks, golds, _reached(-overlaps), outs)
+            columns = [batch.column(c).take(pa.array(at)) for c in key] + [pa.array(v) for v in found]
             yield pa.RecordBatch.from_arrays(columns, [*key, "rank", "hit", "ignored"])
 
     taken = pairs.mapInArrow(take, f"{kinds}, rank long, hit long, ignored long")
@@ -145,15 +151,17 @@ def bootstrap(
     group. A replicate draws the same groups for all runs; all replicates are one pass, with a weight for each row. A class
     counts in a replicate if a gold box of it is drawn; a replicate without any has no rows. An image drawn twice is two
     images; its detections of one score and class are in the order of their rank first."""
+    gold, predictions = written(gold), written(predictions)  # each is read several times
     drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: multiplicity(F.col("group"), r, salt).cast("tinyint"))
-    by_group = images.select("group").distinct().select("group", drawn.alias("weights"))
+    by_group = written(images.select("group").distinct().select("group", drawn.alias("weights")))
     by_image = images.select("image", "group").join(by_group, "group").select("image", "weights")
     first = F.lit(_ALL_THRESHOLDS).cast("long")  # the cells of the area of all boxes
     rows = judged(gold, predictions, [arm, seed]).join(by_image, "image")
     rows = written(rows.withColumns({c: F.col(c).bitwiseAND(first) for c in ("hit", "skip")}))
     lanes = Lanes(len(THRESHOLDS), (), replicates)
-    inside = gold.where(_outside().bitwiseAND(first) == 0).select("image", "cls").join(by_image, "image")
-    inside = inside.select("cls", F.posexplode("weights").alias("replicate", "w")).groupBy("cls", "replicate").agg(F.sum("w").cast("long").alias("positives")).where("positives > 0")
+    by_class = gold.where(_outside().bitwiseAND(first) == 0).select("image", "cls").join(images.select("image", "group"), "image").groupBy("group", "cls").agg(F.count("*").alias("boxes"))
+    inside = by_class.join(by_group, "group").select("cls", "boxes", F.posexplode("weights").alias("replicate", "w"))
+    inside = written(inside.groupBy("cls", "replicate").agg(F.sum(F.col("w") * F.col("boxes")).cast("long").alias("positives")).where("positives > 0"))
     every = F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))
     positives = inside.select("cls", "positives", F.explode(F.transform(every, lambda t: lanes.number(t, F.lit(0), F.col("replicate")))).alias("lane"))
     found = interpolated(rows, [arm, seed, "cls"], [F.desc("score"), F.asc("image"), F.asc("rank")], positives, lanes)

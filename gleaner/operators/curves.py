@@ -44,18 +44,22 @@ class Lanes:
         """The lane of a cell, the place of a limit, and a replicate, all from 0."""
         return (cell * max(1, len(self.limits)) + limit) * max(1, self.replicates) + replicate
 
-    def weights(self, columns: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each lane the weights of hits and of counted rows."""
+    def parts(self, columns: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each cell and limit: the rows that are hits, the weights of all rows (row, replicate), and running totals of
+        the weights that count. Totals of cells that count the same rows are made once."""
         n = len(columns["hit"])
-        by = columns["weights"].reshape(n, self.replicates).T if self.replicates else [np.ones(n, np.int64)]
+        by = columns["weights"].reshape(n, self.replicates) if self.replicates else np.ones((n, 1), np.int64)
         limits = [columns["rank"] <= m for m in self.limits] or [np.ones(n, bool)]
+        known: dict[bytes, np.ndarray] = {}
         for cell in range(self.cells):
             hit = (columns["hit"] >> cell & 1).astype(bool)
             counted = (columns["skip"] >> cell & 1) == 0
             for within in limits:
-                for weight in by:
-                    some = np.where(counted & within, weight, 0)
-                    yield np.where(hit, some, 0), some
+                some = counted & within
+                name = some.tobytes()
+                if name not in known:
+                    known[name] = np.cumsum(np.where(some[:, None], by, 0), axis=0)
+                yield np.flatnonzero(hit & some), by, known[name]
 
     def read(self, batch: pa.RecordBatch, row: int) -> dict[str, np.ndarray]:
         names = ["hit", "skip", "rank"] + ["weights"] * bool(self.replicates)
@@ -91,9 +95,10 @@ def blocks_of(rows: DataFrame, groups: list[str], order: list[Column], lanes: La
             made = []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 part = {c: v[a:b] for c, v in own.items()}
-                sums = [(int(h.sum()), int(k.sum())) for h, k in lanes.weights({c: v.astype(np.int64) for c, v in part.items()})]
+                found = [(by[hits].sum(axis=0), total[-1]) for hits, by, total in lanes.parts({c: v.astype(np.int64) for c, v in part.items()})]
+                sums = [np.concatenate(c).tolist() for c in zip(*found, strict=True)]
                 raw = [part[c].astype("<i8").tobytes() for c in ("hit", "skip", "rank")]
-                made.append((number, *raw, part["weights"].tobytes() if lanes.replicates else None, *map(list, zip(*sums, strict=True))))
+                made.append((number, *raw, part["weights"].tobytes() if lanes.replicates else None, *sums))
                 number += 1
             types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             first = pa.array(at[:-1])
@@ -132,16 +137,19 @@ def interpolated(rows: DataFrame, groups: list[str], order: list[Column], positi
     def best(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                starts_, found = list(zip(*[batch.column(c)[row].as_py() for c in ("b_tp", "b_n", "positives")], strict=True)), []
-                for lane, (h, k) in enumerate(lanes.weights(lanes.read(batch, row))):
-                    tp0, n0, wanted_ = starts_[lane]
-                    if not wanted_:
+                tp0, n0, wanted_ = (np.array(batch.column(c)[row].as_py()).reshape(-1, max(1, lanes.replicates)) for c in ("b_tp", "b_n", "positives"))
+                found, width = [], max(1, lanes.replicates)
+                for part, (hits, by, total) in enumerate(lanes.parts(lanes.read(batch, row))):
+                    some = np.flatnonzero(wanted_[part])
+                    if not len(hits) or not len(some):
                         continue
-                    tp, n = tp0 + np.cumsum(h), n0 + np.cumsum(k)
-                    reached = np.searchsorted(LEVELS, tp / wanted_, "right") - 1
-                    precision = tp / np.maximum(n, 1)
-                    first = np.concatenate([[0], np.flatnonzero(np.diff(reached)) + 1])
-                    found.append((np.full(len(first), lane), reached[first], np.maximum.reduceat(precision, first)))
+                    # Precision is greatest at hits: from one to the next, recall stays and precision falls.
+                    tp = tp0[part, some] + np.cumsum(by[hits][:, some], axis=0)
+                    reached = (np.searchsorted(LEVELS, tp / wanted_[part, some], "right") - 1).T.ravel()
+                    precision = (tp / np.maximum(n0[part, some] + total[hits][:, some], 1)).T.ravel()
+                    lane = np.repeat(part * width + some, len(hits))
+                    first = np.concatenate([[0], np.flatnonzero((np.diff(reached) != 0) | (np.diff(lane) != 0)) + 1])
+                    found.append((lane[first], reached[first], np.maximum.reduceat(precision, first)))
                 if found:
                     lane, level, value = (np.concatenate(c) for c in zip(*found, strict=True))
                     own = [batch.column(g).take(pa.array(np.full(len(lane), row))) for g in groups]

@@ -92,3 +92,31 @@ def test_bootstrap_of_average_precision(spark):
     deltas = [np.mean([want["new", s, r] - want["old", s, r] for s in (1, 2)]) for r in range(1, replicates + 1)]
     one = coco.paired_bootstrap(g, p, table, "arm", "seed", ("new", "old"), replicates, "s").first()
     assert (one["mean"], one.lo, one.hi) == pytest.approx((np.mean(deltas), *np.quantile(deltas, [0.025, 0.975])), abs=1e-12)
+
+
+def test_totals_of_equal_cells_are_made_once():
+    """Cells that count the same rows share their totals, and matching takes many images at once, as one by one."""
+    import numpy as np
+
+    n = 50
+    columns = {"hit": np.arange(n) % 1024, "skip": np.zeros(n, np.int64), "rank": np.ones(n, np.int64), "weights": np.ones(n * 20, np.int64)}
+    assert len({id(total) for _, _, total in curves.Lanes(10, (), 20).parts(columns)}) == 1
+
+    draw = random.Random(7)
+    groups, want = [], []
+    for number in range(40):
+        pairs = sorted((draw.randrange(4), draw.randrange(5), draw.randrange(16), draw.randrange(16)) for _ in range(draw.randrange(9)))
+        groups.append(pairs)
+        used = {}
+        for rank in sorted({p[0] for p in pairs}):
+            hit = ignored = 0
+            for last in (False, True):
+                for _, gold, reached, out in (p for p in pairs if p[0] == rank):
+                    cells = reached & (out if last else ~out) & ~used.get(gold, 0) & ~hit
+                    used[gold] = used.get(gold, 0) | cells
+                    hit |= cells
+                    ignored |= cells if last else 0
+            want.append((number, rank, hit, ignored))
+    starts = np.cumsum([0, *map(len, groups)])
+    flat = np.array([p for g in groups for p in g], np.int64).T
+    assert [tuple(map(int, t)) for t in zip(*coco._take(starts, *flat), strict=True)] == want
