@@ -73,10 +73,13 @@ def evaluate(
 ) -> Evaluation:
     """The evaluation of some splits. tags: columns of the manifest whose values are slices. objects: slices of gold boxes
     by a condition; they have no false positives and so no precision."""
-    check(manifest, gold, predicted, predictions, splits, version, labels)
-    rows = written(manifest.where(F.col("split").isin(splits)).select("image", "split", *tags))
-    own = lambda df: df.join(rows.select("image", "split"), "image")
-    gold, predictions = own(gold), own(predictions)
+    # Digests, splits and boxes are read many times and made once; boxes of other splits take no part.
+    manifest, predicted = written(manifest), written(predicted)
+    rows = manifest.where(F.col("split").isin(splits)).select("image", "split", *tags)
+    own = lambda df: written(df.join(rows.select("image", "split").distinct(), "image"))
+    boxes, predictions = own(gold), own(predictions)
+    check(manifest, boxes.select(gold.columns), predicted, predictions, splits, version, labels)
+    gold = boxes
     matched = written(matching.match(gold.drop("split"), predictions.drop("split")))
     counted = matching.counts(gold, predictions, matched)
     samples = rows.join(counted, "image", "left").na.fill(0, ["objects", "tp", "fp", "fn"])

@@ -69,3 +69,16 @@ def test_what_stops_an_evaluation(tables, name, change, message):
 def test_other_splits_do_not_matter(tables):
     bent = tables["predictions"].union(tables["predictions"].where("image = 'a'").withColumns({"image": F.lit("e"), "score": F.lit(9.0)}))
     assert run(tables | {"predictions": bent}, with_metrics=False).slices.where("tag = 'all'").count() == 2
+
+
+def test_boxes_are_made_once(spark, tables):
+    made = spark.sparkContext.accumulator(0)
+    schema = tables["gold"].schema
+    rows = [tuple(r) for r in tables["gold"].collect()]
+
+    def counted(r):
+        made.add(1)
+        return r
+
+    gold = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).map(counted), schema, verifySchema=False)
+    assert run(tables | {"gold": gold}, with_metrics=False).slices.where("tag = 'all'").count() == 2 and made.value == len(rows)
