@@ -36,9 +36,9 @@ def one_value_per_group(df: DataFrame, group: str, column: str) -> DataFrame:
 def complete(left: DataFrame, right: DataFrame, key: str, same: str | None = None) -> DataFrame:
     """Every left row has a right one (with the same content), and no right row is left over."""
     a, b = left.select(key, *([same] if same else [])), right.select(key, *([F.col(same).alias("__same")] if same else []), F.lit(1).alias("__there"))
-    joined = a.join(b, key, "left")
+    joined = a.join(b.hint("merge"), key, "left")  # both grow with the input: neither is broadcast
     missing = violations(joined.where("__there is null"), "missing", F.col(key), F.lit("no row"))
-    extra = violations(right.join(left.select(key), key, "left_anti"), "unexpected", F.col(key), F.lit("extra row"))
+    extra = violations(right.join(left.select(key).hint("merge"), key, "left_anti"), "unexpected", F.col(key), F.lit("extra row"))
     out = missing.union(extra)
     if same:
         stale = joined.where(F.col("__there").isNotNull() & ~F.col(same).eqNullSafe(F.col("__same")))

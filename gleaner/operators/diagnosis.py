@@ -1,7 +1,10 @@
 """Which misses a lower score would recover, the prototype of the images that have them, and the pool ranked by it.
 
 One matching at the low score holds that at the high one, so an image's recoverable misses are the matches in between.
-Rows are checked before they count: only development images, each with the prediction of its own content."""
+Rows are checked before they count: only development images, each with the prediction of its own content.
+
+Tables of images and groups grow with the input, so they are joined by sorting: files of few columns look small enough to be
+broadcast, and would pass through the driver."""
 
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ LOW, HIGH = selection.LOW, selection.HIGH
 
 def same_content(rows: DataFrame, predicted: DataFrame, key: str) -> None:
     """An error if a row has no prediction, or one of other content (sha256)."""
-    contracts.enforce(contracts.complete(rows, predicted.join(rows.select(key), key, "left_semi"), key, "sha256"))
+    contracts.enforce(contracts.complete(rows, predicted.join(rows.select(key).hint("merge"), key, "left_semi"), key, "sha256"))
 
 
 def records(rows: DataFrame, gold: DataFrame, predictions: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -27,7 +30,7 @@ def records(rows: DataFrame, gold: DataFrame, predictions: DataFrame, predicted:
     bad = contracts.violations(rows.where("split is distinct from 'dev'"), "development only", F.col("image"), F.col("split"))
     contracts.enforce(bad, contracts.unique(rows, "image"))
     same_content(rows, predicted, "image")
-    own = lambda df: df.join(rows.select("image"), "image", "left_semi")
+    own = lambda df: df.join(rows.select("image").hint("merge"), "image", "left_semi")
     gold, predictions = own(gold), own(predictions)
     matched = matching.match(gold, predictions, LOW)
     high = F.col("score") >= HIGH
@@ -37,7 +40,7 @@ def records(rows: DataFrame, gold: DataFrame, predictions: DataFrame, predicted:
         .union(predictions.where(F.col("score") >= LOW).select("image", *_sums(n_low=F.lit(1), n_high=high.cast("int"), mass=F.when(~high, F.col("score") * (1 - F.col("score"))))))
     )
     sums = parts.groupBy("image").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    whole = rows.select("image", "group").join(predicted.select("image", "embedding"), "image").join(sums, "image", "left").na.fill(0, list(_SUMS))
+    whole = rows.select("image", "group").join(predicted.select("image", "embedding").hint("merge"), "image").join(sums.hint("merge"), "image", "left").na.fill(0, list(_SUMS))
     n = lambda c: F.col(c).cast("long")
     return whole.select(
         "image", "group", n("objects").alias("objects"), n("tp_high").alias("tp_high"), n("tp_low").alias("tp_low"), (n("n_high") - n("tp_high")).alias("fp_high"),
@@ -79,11 +82,11 @@ def leave_group_out(diagnosed: DataFrame) -> DataFrame:
     diagnosed = written(diagnosed)
     marked = diagnosed.withColumn("failed", F.col("recoverable") > 0)
     own = selection.leave_group_out(marked, "embedding", "group", "failed")
-    alone = diagnosed.join(own, "group", "left_anti").select("group").distinct().take(5)
+    alone = diagnosed.join(own.select("group").hint("merge"), "group", "left_anti").select("group").distinct().take(5)
     if alone:
         raise ContractError(f"No other failing groups: {sorted(str(r[0]) for r in alone)}")
     similarity = F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("prototype")))
-    scored = diagnosed.join(own, "group").withColumn("similarity", similarity)
+    scored = diagnosed.join(own.hint("merge"), "group").withColumn("similarity", similarity)
     return scored.withColumn("score", F.col("similarity") * F.log1p("mass")).drop("prototype")
 
 

@@ -59,7 +59,7 @@ def leave_group_out(vectors: DataFrame, column: str, group: str, failed: str) ->
     own = parts.groupBy(group, "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
     total = own.groupBy("i").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     grid = vectors.select(group).distinct().join(F.broadcast(total))
-    rest = grid.join(own, [group, "i"], "left").select(
+    rest = grid.join(own.hint("merge"), [group, "i"], "left").select(
         group, "i", ((F.col("ts") - F.coalesce("s", F.lit(0.0))) / F.nullif(F.col("tn") - F.coalesce("n", F.lit(0)), F.lit(0))).alias("x")
     )
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"])

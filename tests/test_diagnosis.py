@@ -97,3 +97,10 @@ def test_reports_are_replaced_whole(spark, tmp_path):
     assert [p.name for p in (tmp_path / "reports").iterdir() if not p.name.endswith(".crc")] == ["report.json"]
     with pytest.raises(ValueError):
         tables.write_json({"a": float("nan")}, path, spark)
+
+
+def test_images_and_groups_are_not_broadcast(data):
+    plan = dev(data)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "LeftSemi" in line]
+    last = diagnosis.leave_group_out(dev(data))._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")
+    assert not any(part.startswith(" [group") for part in last[1:])
