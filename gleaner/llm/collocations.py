@@ -7,13 +7,14 @@ and r are the occurrences of phrase and parts, n of all words of the language. T
 Documents are packed by language into chunks (`chunks_of`), a table of the shared folder: a chunk has its own dictionary,
 and its words as numbers, with 0 between pieces. Words of all chunks' dictionaries are counted, those that occur `least`
 times get ids from 1 up (`dictionary`). A small dictionary goes to all tasks; beyond a bound, each chunk gets the ids of
-its own words back. Elsewhere pieces are broken (`encoded`). A chunk's different n-grams are packed into fixed-width keys of 4
-bytes an id, big-endian, which Spark partitions by range and sorts by their leading bytes; a pass over the sorted keys adds
-up equal neighbours (`run_lengths`). A frequent key is one row for each chunk, however often it occurs.
+its own words back. Elsewhere pieces are broken (`encoded`). Chunks are dealt out by language to a few tasks a core; a
+task's different n-grams are packed into fixed-width keys of 4 bytes an id, big-endian, and added up while a bounded number
+fits (`grams_of`). Spark partitions the keys by range and sorts them by their leading bytes; a pass over the sorted keys adds
+up equal neighbours (`run_lengths`). A frequent key is one row for each task, however often it occurs.
 
-Most n-grams are rare and needn't be sent: two tables of a fixed size count pairs, then longer n-grams, by hash
-(`_sketched`), and an n-gram goes only if its place in the table, and the n-grams in it, reach `least`. What is sent is
-counted exactly; a full table sends more, and loses nothing.
+Most n-grams are rare and needn't be sent: tables of a fixed size count pairs, then longer n-grams, each at two places by
+hash (`_sketched`), and an n-gram goes only if both of its places, and the n-grams in it, reach `least`. A rare n-gram then
+goes at the square of the share of full places. What is sent is counted exactly; a full table sends more, and loses nothing.
 
 Candidates, their parts and their words meet by joins. Numbers are decimals of 38 digits, exact up to 10^17 words a
 language. Within a language the first `top` are chosen in parts, then among those.
@@ -40,12 +41,18 @@ CHUNK_BYTES = 8 << 20
 SPLIT_BYTES = 1 << 20
 #: A dictionary of so many bytes or less is sent to all tasks.
 DICTIONARY_BYTES = 32 << 20
+#: n-grams of so many bytes of ids are counted at once.
+GROUP_BYTES = 8 << 20
+#: A task holds counts of so many n-grams.
+HELD_ROWS = 1_000_000
+TASKS_A_CORE = 2
 SALTS = 64
 #: A-Z become lower-case, a tab a blank, and what ends a piece a full stop.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 0x20 if b == 9 else 0x2E if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 SHIFT = np.int64(32)
-#: The tables that rule n-grams out have 2 ** BITS places, and are sent in slices of SLICE.
+#: The tables that rule n-grams out have 2 ** BITS places for each of WAYS hashes, and are sent in slices of SLICE.
 BITS = 22
+WAYS = 2
 SLICE = 1 << 14
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,7 +153,7 @@ def dictionary(chunks: DataFrame, least: int) -> DataFrame:
 
 
 def encoded(chunks: DataFrame, frequent: DataFrame, most_bytes: int = DICTIONARY_BYTES) -> DataFrame:
-    """chunk, ids: the words of chunks as ids; runs of rare words are a 0, and words alone between such are left out. A
+    """lang, chunk, ids: the words of chunks as ids; runs of rare words are a 0, and words alone between such are left out. A
     dictionary of most_bytes or less goes to all tasks; with a larger one, each chunk gets the ids of its own words by a
     join."""
     size = frequent.agg(F.coalesce(F.sum(F.octet_length("word") + 24), F.lit(0)).alias("bytes")).first()["bytes"]
@@ -164,25 +171,26 @@ def encoded(chunks: DataFrame, frequent: DataFrame, most_bytes: int = DICTIONARY
                         found = at.is_valid().to_numpy(zero_copy_only=False)
                         ids[1:][found] = known[lang]["id"].to_numpy()[at.drop_null().to_numpy()]
                     out.append(_runs(ids[np.frombuffer(raw.as_py(), "<i4")]).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], ["lang", "chunk", "ids"])
 
-        return chunks.select("chunk", "lang", "words", "tokens").mapInArrow(encode_by_all, "chunk long, ids binary")
+        return chunks.select("chunk", "lang", "words", "tokens").mapInArrow(encode_by_all, "lang string, chunk long, ids binary")
     words = chunks.select("lang", "chunk", F.posexplode("words").alias("local", "word"))
     own = words.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("local", "id")).alias("own"))
     pairs = own.select("chunk", F.col("own.local").alias("local"), F.col("own.id").alias("id"))
 
     def encode(batches):
         for batch in batches:
-            chunk, tokens, local, id_ = (batch.column(i) for i in range(4))
+            lang, chunk, tokens, local, id_ = (batch.column(i) for i in range(5))
             out = []
             for raw, keys, values in zip(tokens, local, id_, strict=True):
                 tokens_ = np.frombuffer(raw.as_py(), "<i4")
                 ids = np.zeros(tokens_.max(initial=0) + 1, np.uint32)
                 ids[keys.values.to_numpy() + 1] = values.values.to_numpy()
                 out.append(_runs(ids[tokens_]).tobytes())
-            yield pa.RecordBatch.from_arrays([chunk, pa.array(out, pa.binary())], ["chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([lang, chunk, pa.array(out, pa.binary())], ["lang", "chunk", "ids"])
 
-    return chunks.select("chunk", "tokens").join(pairs, "chunk").mapInArrow(encode, "chunk long, ids binary")
+    met = chunks.select("lang", "chunk", "tokens").join(pairs, "chunk").select("lang", "chunk", "tokens", "local", "id")
+    return met.mapInArrow(encode, "lang string, chunk long, ids binary")
 
 
 def _runs(ids: np.ndarray) -> np.ndarray:
@@ -206,44 +214,51 @@ def _hashes(ids: np.ndarray, most: int):
         yield size, rolled
 
 
-def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes * MULTIPLIER >> np.uint64(64 - bits)).astype(np.int64)
+def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of n-grams by each of WAYS hashes: neighbouring bits of a product."""
+    mixed = hashes * MULTIPLIER
+    return [(mixed << np.uint64(way * bits) >> np.uint64(64 - bits)).astype(np.int64) for way in range(WAYS)]
 
 
 def _alive(ids: np.ndarray, most: int, tables: list[np.ndarray]):
     """For sizes from 2 up: the size, the hashes, and whether the n-gram that begins at a place may be frequent by what
-    it holds and, as far as there are tables, by its own. tables: of pairs, of longer n-grams, packed bits."""
+    it holds and, as far as there are tables, by its own places. tables: of pairs, of longer n-grams, each a row of packed
+    bits for each hash."""
     before = ids > 0
     for size, hashes in _hashes(ids, most):
         alive = before[:-1] & before[1:]
         if len(tables) > min(size, 3) - 2:
             at = np.flatnonzero(alive)
             table = tables[min(size, 3) - 2]
-            places = _places(hashes[at], len(table).bit_length() + 2)
-            alive[at] = table[places >> 3] << (places & 7) & 0x80
+            full = np.ones(len(at), bool)
+            for own, places in zip(table, _places(hashes[at], table.shape[1].bit_length() + 2), strict=True):
+                full &= (own[places >> 3] << (places & 7) & 0x80) > 0
+            alive[at] = full
         yield size, hashes, alive
         before = alive
 
 
 def _sketched(chunks: DataFrame, sizes: range, tables: list[np.ndarray], least: int, bits: int = BITS) -> np.ndarray:
-    """Which places of a table of 2 ** bits have `least` n-grams of these sizes or more: an n-gram at another place occurs
-    less often. A task counts in a table of its own and sends it on in slices, up to `least` a place; tasks add up slices, and
+    """Which places of WAYS tables of 2 ** bits have `least` n-grams of these sizes or more: an n-gram at another place occurs
+    less often. A task counts in tables of its own and sends them on in slices, up to `least` a place; tasks add up slices, and
     the driver gets one bit a place."""
     kind = np.uint8 if least <= 255 else np.uint32
     slice_ = min(SLICE, 1 << bits)
 
     def count(batches):
-        table = np.zeros(1 << bits, np.int64)
+        tables_ = np.zeros((WAYS, 1 << bits), np.int64)
         for batch in batches:
             for raw in batch.column(0):
                 ids = np.frombuffer(raw.as_py(), "<u4")
                 for size, hashes, alive in _alive(ids, sizes[-1], tables):
-                    places = _places(hashes[alive], bits) if size in sizes else np.zeros(0, np.int64)
-                    if len(places) > len(table) // 16:
-                        table += np.bincount(places, minlength=len(table))
-                    else:
-                        np.add.at(table, places, 1)
-        slices = np.minimum(table, least).astype(kind).reshape(-1, slice_)
+                    if size not in sizes:
+                        continue
+                    for table, places in zip(tables_, _places(hashes[alive], bits), strict=True):
+                        if len(places) > len(table) // 16:
+                            table += np.bincount(places, minlength=len(table))
+                        else:
+                            np.add.at(table, places, 1)
+        slices = np.minimum(tables_, least).astype(kind).reshape(-1, slice_)
         at = np.flatnonzero(slices.any(axis=1))
         out = []
         for own in slices[at]:
@@ -266,29 +281,59 @@ def _sketched(chunks: DataFrame, sizes: range, tables: list[np.ndarray], least:
         yield pa.RecordBatch.from_arrays([pa.array(list(tables_), pa.int64()), pa.array(full, pa.binary())], ["slice", "bits"])
 
     sums = chunks.select("ids").mapInArrow(count, "slice long, counts binary").repartition("slice").mapInArrow(add_up, "slice long, bits binary")
-    out = np.zeros(((1 << bits) // slice_, slice_ // 8), np.uint8)
+    out = np.zeros(((WAYS << bits) // slice_, slice_ // 8), np.uint8)
     for row in sums.collect():
         out[row.slice] = np.frombuffer(row.bits, np.uint8)
-    return out.reshape(-1)
+    return out.reshape(WAYS, -1)
 
 
-def grams_of(chunks: DataFrame, most: int, tables: list[np.ndarray]) -> DataFrame:
-    """key, n: the different n-grams of 2 to `most` ids of each chunk that may be frequent."""
+def _groups(batches, group_bytes: int):
+    """The ids of chunks in groups of about group_bytes, a 0 after each chunk."""
+    held, size = [], 0
+    for batch in batches:
+        for raw in batch.column(0):
+            held += [raw.as_py(), bytes(4)]
+            size += len(held[-2])
+            if size >= group_bytes:
+                yield b"".join(held)
+                held, size = [], 0
+    yield b"".join(held)
 
-    def count(batches):
-        for batch in batches:
-            for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_py(), "<u4").astype(np.int64)
-                rank = ids  # of the n-gram that begins at a place
-                for size, _, alive in _alive(ids, most, tables):
-                    places = np.flatnonzero(alive)
-                    _, first, inverse, n = np.unique(rank[places] << SHIFT | ids[places + size - 1], return_index=True, return_inverse=True, return_counts=True)
-                    begins = places[first]
-                    yield pa.RecordBatch.from_arrays([_packed([ids[begins + i] for i in range(size)], most), pa.array(n)], ["key", "n"])
-                    rank = np.zeros(len(alive), np.int64)
-                    rank[places] = inverse + 1
 
-    return chunks.select("ids").mapInArrow(count, "key binary, n long")
+def grams_of(chunks: DataFrame, most: int, tables: list[np.ndarray], group_bytes: int = GROUP_BYTES, held_rows: int = HELD_ROWS) -> DataFrame:
+    """key, n: the different n-grams of 2 to `most` ids of each task that may be frequent. A task counts its chunks in groups of
+    about group_bytes and adds groups up; it holds held_rows and a group's before it sends what it has. There are a few tasks
+    for each core, with chunks of neighbouring languages, so that an n-gram goes about as often however many chunks there are."""
+
+    def count(batches):
+        held, rows = [], 0
+        for raw in _groups(batches, group_bytes):
+            ids = np.frombuffer(raw, "<u4").astype(np.int64)
+            rank = ids  # of the n-gram that begins at a place
+            for size, _, alive in _alive(ids, most, tables):
+                places = np.flatnonzero(alive)
+                _, first, inverse, n = np.unique(rank[places] << SHIFT | ids[places + size - 1], return_index=True, return_inverse=True, return_counts=True)
+                begins = places[first]
+                held.append(pa.table([_packed([ids[begins + i] for i in range(size)], most), pa.array(n)], ["key", "n"]))
+                rows += len(n)
+                rank = np.zeros(len(alive), np.int64)
+                rank[places] = inverse + 1
+                if rows > held_rows:
+                    held = [_summed(held)]
+                    rows = held[0].num_rows
+                    if rows > held_rows // 2:
+                        yield from held.pop().to_batches()
+                        rows = 0
+        if held:
+            yield from _summed(held).to_batches()
+
+    dealt = chunks.repartitionByRange(TASKS_A_CORE * chunks.sparkSession.sparkContext.defaultParallelism, "lang", "chunk")
+    return dealt.select("ids").mapInArrow(count, "key binary, n long")
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    sums = pa.concat_tables(tables).group_by("key", use_threads=False).aggregate([("n", "sum")])
+    return sums.select(["key", "n_sum"]).rename_columns(["key", "n"])
 
 
 def _packed(ids: list[np.ndarray], width: int) -> pa.Array:
@@ -355,9 +400,11 @@ def collocations(
     tables = [_sketched(ids, range(2, 3), [], least, bits)]
     if most > 2:
         tables.append(_sketched(ids, range(3, most + 1), tables, least, bits))
-    whole = run_lengths(grams_of(ids, most, tables), least, most)
+    sent = materialized(grams_of(ids, most, tables))  # once: ranges are sampled from what is sent
+    whole = run_lengths(sent, least, most)
     size = sum((F.when(_bytes(F.col("key"), i, 1) != F.lit(b"\0\0\0\0"), 1).otherwise(0) for i in range(1, most + 1)), F.lit(0))
     grams = materialized(whole.withColumn("size", size).select(_bytes(F.col("key"), 1, F.col("size")).alias("key"), "size", "f"))
+    discard(ids, sent)
     single = frequent.select(F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("key"), "f")
     parts = single.union(grams.where(F.col("size") < most).select("key", "f"))
 

@@ -111,3 +111,36 @@ def test_run_lengths(spark, batch):
 def test_full_tables_lose_nothing(spark, bits):
     assert held(spark, sentences(4, 200, 30), least=2, bits=bits)
     assert held(spark, [("en", "to be or not to be. ") for _ in range(300)], least=300, bits=bits)
+
+
+def test_sent_once_a_task(spark):
+    """A task sends an n-gram of many chunks once, and hardly any n-gram that only shares a place with frequent ones."""
+    draw = random.Random(6)
+    often = [f"{a} {b}" for a in "abcdefgh" for b in "ijklmnop"] * 200
+    rare = [f"w{draw.randrange(300)} w{draw.randrange(300)}" for _ in range(6000)]
+    rows, least = [("en", x) for x in often + rare], 20
+    chunks = C.materialized(C.chunks_of(spark.createDataFrame(rows, "lang string, text string").repartition(4), 200))
+    ids = C.materialized(C.encoded(chunks, C.materialized(C.dictionary(chunks, least))))
+    tables = [C._sketched(ids, range(2, 3), [], least, 11)]
+    frequent = {x: c for x, c in Counter(rows).items() if c >= least}
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert len(frequent) == 64 and chunks.count() > 20 * tasks
+    assert len(frequent) <= C.grams_of(ids, 2, tables).count() <= 2 * tasks * len(frequent)
+
+
+@pytest.mark.parametrize("work", [{"group_bytes": 40}, {"group_bytes": 40, "held_rows": 30}])
+def test_groups_add_up(spark, work):
+    rows = sentences(7, 150, 6)
+    chunks = C.materialized(C.chunks_of(spark.createDataFrame(rows, "lang string, text string"), 60))
+    ids = C.materialized(C.encoded(chunks, C.materialized(C.dictionary(chunks, 1))))
+    each = {}
+    for name, how in (("whole", {}), ("parts", work)):
+        each[name] = Counter()
+        for r in C.grams_of(ids, 4, [], **how).collect():
+            each[name][bytes(r.key)] += r.n
+    want = Counter()
+    for r in ids.collect():
+        own = np.frombuffer(r.ids, "<u4").tolist()
+        for k in (2, 3, 4):
+            want.update(tuple(own[i : i + k]) for i in range(len(own) - k + 1) if all(own[i : i + k]))
+    assert want and each["whole"] == each["parts"] == {np.array(g + (0,) * (4 - len(g)), ">u4").tobytes(): n for g, n in want.items()}
