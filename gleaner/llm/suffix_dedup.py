@@ -67,11 +67,14 @@ def gram_hashes(data: np.ndarray, n: int = GRAM) -> np.ndarray:
 
 
 CHUNK = 1 << 22
+#: Texts are searched for anchors in groups of so many bytes: short arrays would mostly cost calls.
+TOGETHER = 1 << 16
+#: Rows of a batch of windows.
+BATCH = 1 << 16
 
 
-def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors, for each the first window of SPAN candidates whose least it is, and its hash."""
-    h = gram_hashes(data)
+def _chosen(h: np.ndarray) -> np.ndarray:
+    """The position of the least hash of each window of SPAN hashes."""
     low = np.uint64((1 << 24) - 1)
     windows = len(h) - SPAN + 1
     found = []
@@ -82,9 +85,38 @@ def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
         found.append((least & low).astype(np.int64) + at)
-    position = np.concatenate(found)
-    new = np.flatnonzero(np.r_[True, position[1:] != position[:-1]])
-    return position[new], new, h[position[new]]
+    return np.concatenate(found)
+
+
+def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors, for each the first window of SPAN candidates whose least it is, and its hash."""
+    return next(_anchors([data.tobytes()]))
+
+
+def _anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """anchors_of each text, of WINDOW bytes or more. Texts are joined to groups; windows across two texts don't count."""
+    group: list[bytes] = []
+    size = 0
+    for k, text in enumerate(texts):
+        group.append(text)
+        size += len(text)
+        if size < TOGETHER and k < len(texts) - 1:
+            continue
+        h = gram_hashes(np.frombuffer(b"".join(group), np.uint8))
+        position = _chosen(h)
+        ends = np.cumsum([len(t) for t in group])
+        starts = np.r_[0, ends[:-1]]
+        new = np.r_[True, position[1:] != position[:-1]]
+        new[starts] = True
+        for end in ends[:-1].tolist():
+            new[end - WINDOW + 1 : end] = False
+        first = np.flatnonzero(new)
+        cuts = np.searchsorted(first, np.r_[starts, len(new)]).tolist()
+        for start, a, b in zip(starts.tolist(), cuts, cuts[1:], strict=False):
+            begins = first[a:b]
+            at = position[begins]
+            yield at - start, begins - start, h[at]
+        group, size = [], 0
 
 
 PHRASES = "row long, i int, since int, until int, span int, lone boolean, gram long, name long"
@@ -98,10 +130,8 @@ def _phrases(batches) -> Iterator[pa.RecordBatch]:
     name = xxhash.xxh3_64_intdigest
     for batch in batches:
         parts: list[tuple[np.ndarray, ...]] = []
-        for row, raw in zip(batch.column(0).to_pylist(), as_binary(batch.column(1)), strict=True):
-            if len(raw) < WINDOW:
-                continue
-            at, begins, grams = anchors_of(np.frombuffer(raw, np.uint8))
+        texts = [(row, raw) for row, raw in zip(batch.column(0).to_pylist(), as_binary(batch.column(1)), strict=True) if len(raw) >= WINDOW]
+        for (row, raw), (at, begins, grams) in zip(texts, _anchors([raw for _, raw in texts]), strict=True):
             n, names, span, lone = len(at), np.zeros(len(at), np.uint64), np.zeros(len(at), np.int32), np.zeros(len(at), bool)
             if len(raw) >= LENGTH:
                 places = at.tolist()
@@ -164,18 +194,15 @@ def _flags(ranges: list[int], n: int) -> np.ndarray:
 
 
 RUNS = "row long, a int, b int, core long, whole long"
-_SIGN = 1 << 63
 
 
 def _runs(batches) -> Iterator[pa.RecordBatch]:
     """Candidate runs: windows a to b of a row, the hashes of the run's core and of its whole string."""
     name = xxhash.xxh3_64_intdigest
     for batch in batches:
-        out: list[tuple] = []
-        for row, raw, ranges in zip(
-            batch.column(0).to_pylist(), as_binary(batch.column(1)), batch.column(2).to_pylist(), strict=True
-        ):
-            at, begins, _ = anchors_of(np.frombuffer(raw, np.uint8))
+        parts: list[tuple[np.ndarray, ...]] = []
+        texts = as_binary(batch.column(1))
+        for row, raw, ranges, (at, begins, _) in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), _anchors(texts), strict=True):
             last = len(raw) - LENGTH
             level = _flags(ranges, len(at))
             # First and last anchor of each window change at these windows only.
@@ -188,11 +215,13 @@ def _runs(batches) -> Iterator[pa.RecordBatch]:
             for x in range(len(level)):
                 own = j == x
                 good[own] = level[x][i[own]] & level[x][k[own] - (1 << x)]
-            for r in np.flatnonzero(good):
-                a, b = int(cuts[r]), int(cuts[r + 1])
-                core = name(raw[at[i[r]] : at[k[r]] + GRAM], 1) - _SIGN
-                out.append((row, a, b - 1, core, name(raw[a : b - 1 + LENGTH]) - _SIGN))
-        yield _batch(out, RUNS)
+            r = np.flatnonzero(good)
+            a, b = cuts[r], cuts[r + 1] - 1
+            cores = [name(raw[x:y], 1) for x, y in zip(at[i[r]].tolist(), (at[k[r]] + GRAM).tolist(), strict=True)]
+            wholes = [name(raw[x:y]) for x, y in zip(a.tolist(), (b + LENGTH).tolist(), strict=True)]
+            parts.append((np.full(len(r), row, np.int64), a.astype(np.int32), b.astype(np.int32), _signed(cores), _signed(wholes)))
+        if parts:
+            yield _batch([np.concatenate(c) for c in zip(*parts, strict=True)], RUNS)
 
 
 EDGES = "row long, a int, sure boolean, core long, whole long"
@@ -201,20 +230,38 @@ EDGES = "row long, a int, sure boolean, core long, whole long"
 def _windows(batches) -> Iterator[pa.RecordBatch]:
     """The hash of each window of the runs at hand; sure: of a run that is repeated."""
     name = xxhash.xxh3_64_intdigest
+    runs_: list[tuple] = []
+    names: list[int] = []
+
+    def made() -> pa.RecordBatch:
+        row, a, n, sure, core = (np.array(c) for c in zip(*runs_, strict=True))
+        place = np.arange(len(names)) - np.repeat(np.cumsum(n) - n, n)
+        columns = [np.repeat(row, n), (place + np.repeat(a, n)).astype(np.int32), np.repeat(sure, n), np.repeat(core, n), _signed(names)]
+        runs_.clear()
+        names.clear()
+        return _batch(columns, EDGES)
+
     for batch in batches:
         for row, raw, runs in zip(
             batch.column(0).to_pylist(), as_binary(batch.column(1)), batch.column(2).to_pylist(), strict=True
         ):
             for at in range(0, len(runs), 4):
                 a, b, sure, core = runs[at : at + 4]
-                yield _batch([(row, p, bool(sure), core, name(raw[p : p + LENGTH]) - _SIGN) for p in range(a, b + 1)], EDGES)
+                runs_.append((row, a, b - a + 1, bool(sure), core))
+                names += [name(raw[p : p + LENGTH]) for p in range(a, b + 1)]
+                if len(names) >= BATCH:
+                    yield made()
+    if names:
+        yield made()
+
+
+def _signed(hashes: list[int]) -> np.ndarray:
+    """Unsigned numbers of 64 bits in order as signed ones."""
+    return (np.array(hashes, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+def _batch(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in schema.split(", ")])
 
 
 def _meet(texts: DataFrame, lists: DataFrame, column: str, how: str = "inner") -> DataFrame:

@@ -1,0 +1,42 @@
+"""The Python passes of the repeated passages against loops."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+
+from gleaner.llm import suffix_dedup as S
+
+
+def test_anchors_of_many_texts(monkeypatch):
+    """Texts that are searched together have the anchors that each has alone."""
+    draw = random.Random(3)
+    words = [b"the ", b"end ", b"of ", b"a long ", b"x", b"\xc3\xa9 "]
+    texts = [b"".join(draw.choice(words) for _ in range(draw.randrange(200, 900))) for _ in range(40)]
+    texts = [t for t in texts if len(t) >= S.WINDOW] + [b"y" * S.WINDOW, b"z" * 1000, b"z" * (S.WINDOW + 1)]
+    for together in (1, 3000, 1 << 20):
+        monkeypatch.setattr(S, "TOGETHER", together)
+        for text, got in zip(texts, S._anchors(texts), strict=True):
+            h = S.gram_hashes(np.frombuffer(text, np.uint8))
+            least = [min(range(i, i + S.SPAN), key=lambda j: (int(h[j]) >> 24, j)) for i in range(len(text) - S.WINDOW + 1)]
+            begins = [i for i, j in enumerate(least) if not i or j != least[i - 1]]
+            want = least[:1] + [least[i] for i in begins[1:]], begins, [int(h[least[i]]) for i in begins]
+            assert tuple(x.tolist() for x in got) == want
+
+
+def test_windows_in_large_batches(monkeypatch):
+    """Windows of many runs are sent together, not run by run."""
+    draw = random.Random(4)
+    texts = [bytes(draw.randrange(97, 123) for _ in range(900)) for _ in range(30)]
+    runs = [[x for a in (0, 40, 300) for x in (a, a + 9, draw.randrange(2), -a)] for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts), pa.array(runs, pa.list_(pa.int64()))], ["row", "raw", "list"])
+    want = [
+        (row, p, bool(own[at + 2]), own[at + 3], xxhash.xxh3_64_intdigest(text[p : p + S.LENGTH]) - (1 << 63))
+        for row, (text, own) in enumerate(zip(texts, runs, strict=True)) for at in (0, 4, 8) for p in range(own[at], own[at + 1] + 1)
+    ]
+    for rows, batches in ((1 << 16, 1), (100, 9)):
+        monkeypatch.setattr(S, "BATCH", rows)
+        got = list(S._windows([batch]))
+        assert len(got) == batches
+        assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
