@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from gleaner.llm import decontaminate, langid, mixing, pii, simhash_dedup
 from gleaner.llm.common import materialized, read_table
 
+#: Mean probability, over a document's words, of the language that it is taken to be in.
+LANGUAGE_SHARE = 0.5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go. The model learns from the documents' own labels."""
-    return langid.keep_identified(docs, docs)
+    """Documents without a recognisable language go: those without a letter, and those of which no language has half the
+    words. Documents without a label get the language found. The model learns from the documents' own labels."""
+    return langid.keep_identified(docs, docs, least=LANGUAGE_SHARE, fill=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

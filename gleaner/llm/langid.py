@@ -378,12 +378,15 @@ def identify_languages(docs: DataFrame, training: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, training: DataFrame, languages: list[str] | None = None, least: float = 0.0) -> DataFrame:
+def keep_identified(
+    docs: DataFrame, training: DataFrame, languages: list[str] | None = None, least: float = 0.0, fill: bool = False
+) -> DataFrame:
     """The documents whose predicted language is one of `languages` (all learned ones by default) with a score of at
-    least `least`. Texts without a letter are rejected."""
+    least `least`. Texts without a letter are rejected. fill: a null `lang` becomes the predicted language."""
     mark = "__language"
     marked = docs.withColumn(mark, language_column(docs, training))
     kept = marked.where((F.col(f"{mark}.lang") != UNDETERMINED) & (F.col(f"{mark}.score") >= least))
     if languages is not None:
         kept = kept.where(F.col(f"{mark}.lang").isin(languages))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = F.coalesce(F.col("lang"), F.col(f"{mark}.lang")).alias("lang") if fill else None
+    return kept.select(*[named if fill and c == "lang" else F.col(f"`{c}`") for c in docs.columns])
