@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,18 +53,33 @@ LAST = LENGTH - WINDOW
 PASSAGE = 51
 BROADCAST_BYTES = 32 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
+#: Positions hashed at a time.
+PIECE = 1 << 16
+
+
+def _powers(base: int) -> np.ndarray:
+    """base ** 0, 1, 2, ... modulo 2 ** 64, for the bytes of a piece."""
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(PIECE + GRAM, base, np.uint64)])
+
+
+POWERS, INVERSES = _powers(MULTIPLIER), _powers(pow(MULTIPLIER, -1, 1 << 64))
+#: A number for each byte.
+BYTES = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+BYTES = (BYTES ^ (BYTES >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
 
 
 def gram_hashes(data: np.ndarray, n: int = GRAM) -> np.ndarray:
-    """A mixed hash of the n bytes (a power of two) at each position. Hashes of neighbouring blocks are doubled."""
-    h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIER)
-    size = 1
-    while size < n:
-        mixed = h ^ (h >> np.uint64(29))
-        h = mixed[:-size] * np.uint64(0xBF58476D1CE4E5B9) + (h[size:] ^ (h[size:] >> np.uint64(31)))
-        h *= np.uint64(0x94D049BB133111EB)
-        size *= 2
-    return h ^ (h >> np.uint64(32))
+    """A mixed hash of the n bytes (GRAM at most) at each position: the difference of two running sums of bytes times
+    powers of an odd number, over the position's power."""
+    h = np.empty(max(0, len(data) - n + 1), np.uint64)
+    for at in range(0, len(h), PIECE):
+        part = data[at : at + PIECE + n - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * POWERS[: len(part)], out=sums[1:])
+        np.multiply(sums[n:] - sums[:-n], INVERSES[: len(part) - n + 1], out=h[at : at + PIECE])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
 CHUNK = 1 << 22
@@ -144,20 +160,32 @@ def _phrases(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PHRASES.split(", ")])
 
 
+def _keyed(rows: DataFrame, different: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table of different keys. That side is the one to hash, so that the rows needn't be sorted; no
+    key of it is large, and a hot key's rows may be split."""
+    return rows.join(different.hint("shuffle_hash"), keys, how)
+
+
 def _repeated(named: DataFrame, *names: str) -> DataFrame:
     """The rows whose name occurs twice. Counts are aggregated before the shuffle; the repeated names are a table, so that
     the join has two plain sides and a hot name's rows may be split."""
     twice = materialized(named.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*names))
-    return named.join(twice, list(names), "left_semi")
+    return _keyed(named, twice, list(names), "left_semi")
 
 
-def _reranked(level: DataFrame, *keys: str) -> DataFrame:
+def _reranked(level: DataFrame, offset: int, mark: str, *keys: str) -> DataFrame:
     """The rows whose keys occur twice, with their keys' rank. The different repeated keys are sorted by ranges over all
-    tasks; a rank is the place in that order."""
+    tasks; a rank is the place in that order. One more shuffle, by row, finds each row's pair: the rank and the span
+    (then, more) of the position offset phrases further on, null if it has none, and the number g of the stretch of
+    neighbouring marked indexes that the row falls in."""
     twice = level.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
     ordered = twice.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranks = materialized(ordered.withColumn("place", F.monotonically_increasing_id()))
-    out = materialized(level.join(ranks, list(keys)).select("row", "i", "span", "lone", F.col("place").alias("rank")))
+    ranked = _keyed(level, ranks, list(keys)).select("row", "i", "span", F.col("place").alias("rank"), F.expr(mark).alias("marked"))
+    begun = W.partitionBy("row").orderBy("i")
+    later = begun.rangeBetween(offset, offset)
+    g = F.col("i") - F.sum(F.col("marked").cast("int")).over(begun)
+    out = materialized(ranked.select("*", F.max("rank").over(later).alias("then"), F.max("span").over(later).alias("more"), g.alias("g")))
     discard(ranks)
     return out
 
@@ -171,15 +199,17 @@ def _stretches(kept: DataFrame, *by: str) -> DataFrame:
 
 def doubled(anchors: DataFrame) -> DataFrame:
     """row and the phrase ranges whose 1, 2, 4, ... phrases are repeated: [level, first, last, ...] by row."""
-    tables = [_reranked(anchors.where((F.col("span") > 0) & (F.col("span") + GRAM <= LENGTH)), "name")]
-    out = tables[0].where("lone").select("row", F.lit(0).alias("level"), "i")
+    tables = [_reranked(anchors.where((F.col("span") > 0) & (F.col("span") + GRAM <= LENGTH)), 1, "lone", "name")]
     while not tables[-1].isEmpty():
-        level, offset = tables[-1], 1 << (len(tables) - 1)
-        later = level.select("row", (F.col("i") - offset).alias("i"), F.col("rank").alias("then"), F.col("span").alias("more"))
-        pairs = level.join(later, ["row", "i"]).withColumn("span", F.col("span") + F.col("more")).where(F.col("span") + GRAM <= LENGTH)
-        tables.append(_reranked(pairs.drop("more"), "rank", "then"))
-        out = out.union(tables[-1].select("row", F.lit(len(tables) - 1).alias("level"), "i"))
-    runs = _stretches(out, "row", "level").groupBy("row", "level", "g").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+        span = F.col("span") + F.col("more")
+        pairs = tables[-1].where(F.col("then").isNotNull() & (span + GRAM <= LENGTH)).select("row", "i", span.alias("span"), "rank", "then")
+        tables.append(_reranked(pairs, 1 << len(tables), "true", "rank", "then"))
+    # A row's positions lie together in its table, so that most of a stretch is one row before the shuffle.
+    stretches = [
+        table.where("marked").groupBy("row", F.lit(level).alias("level"), "g").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+        for level, table in enumerate(tables)
+    ]
+    runs = reduce(DataFrame.union, stretches)
     ranges = materialized(runs.groupBy("row").agg(F.flatten(F.collect_list(F.array("level", "a", "b"))).alias("ranges")))
     discard(*tables)
     return ranges
@@ -287,21 +317,21 @@ def repeated_windows(long: DataFrame, anchors: DataFrame) -> DataFrame:
     bytes that start elsewhere too."""
     ranges = doubled(anchors)
     runs = materialized(_meet(long, ranges, "ranges").select("row", "raw", "ranges").mapInArrow(_runs, RUNS))
-    cores = runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    wholes = materialized(runs.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("row").alias("row")))
-    twice, once = wholes.where("n > 1"), wholes.where("n = 1").join(cores, "core", "left_semi")
-    known = runs.join(twice.select("core", "whole"), ["core", "whole"], "left_semi")
-    left = materialized(once.select("core", "whole", "row", F.lit(0).alias("sure")))
-    copies = twice.join(left.select("core").distinct(), "core", "left_semi").select("core", "whole", "row", F.lit(1).alias("sure"))
-    asked = runs.join(left.unionByName(copies), ["core", "whole", "row"]).groupBy("row", "core", "whole", "sure").agg(
-        F.min(F.struct("a", "b")).alias("one")
-    )
-    fields = [F.col(c).cast("long") for c in ("one.a", "one.b", "sure", "core")]
-    lists = materialized(_listed(asked, *fields))
+    cores = materialized(runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
+    wholes = materialized(runs.groupBy("core", "whole").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("row", "a", "b")]))
+    # Where n is 1, row, a and b are those of the only run; else row is that of the copy to compare with.
+    left = materialized(_keyed(wholes.where("n = 1"), cores, ["core"], "left_semi").select("row", "a", "b", "core"))
+    marks = materialized(left.select("core").distinct().withColumn("sure", F.lit(True)))
+    twice = _keyed(wholes.where("n > 1").select("core", "whole", F.col("row").alias("one")), marks, ["core"], "left")
+    copy = (F.col("row") == F.col("one")) & F.col("sure").isNotNull()
+    known = materialized(_keyed(runs, twice, ["core", "whole"]).select("row", "a", "b", F.when(copy, F.col("core")).alias("core"), F.when(copy, F.col("whole")).alias("whole")))
+    copies = known.where("core is not null").groupBy("row", "core", "whole").agg(F.min(F.struct("a", "b")).alias("run"))
+    asked = left.withColumn("sure", F.lit(0)).unionByName(copies.select("row", "run.a", "run.b", "core", F.lit(1).alias("sure")))
+    lists = materialized(_listed(asked, *[F.col(c).cast("long") for c in ("a", "b", "sure", "core")]))
     edges = materialized(_meet(long, lists, "list").select("row", "raw", "list").mapInArrow(_windows, EDGES))
     found = _repeated(edges, "core", "whole").where("not sure").select("row", "a", F.col("a").alias("b"))
     out = materialized(_listed(_merged(known.select("row", "a", "b").unionByName(found)), F.col("a"), F.col("b")))
-    discard(ranges, runs, wholes, left, lists, edges)
+    discard(ranges, runs, cores, wholes, left, marks, known, lists, edges)
     return out
 
 
@@ -346,7 +376,7 @@ def shared_words(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     lists = materialized(_listed(stretches, F.col("a"), F.col("b")))
     windows = materialized(_meet(texts, lists, "list").select("row", "raw", "list").mapInArrow(_passages, PASSAGES))
     names = windows.groupBy("name").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("name")
-    found = windows.join(materialized(names), "name", "left_semi")
+    found = _keyed(windows, materialized(names), ["name"], "left_semi")
     ahead = F.lead("p").over(W.partitionBy("row").orderBy("p")) - F.col("p")
     covered = found.select("row", F.least(F.lit(PASSAGE), F.coalesce(ahead, F.lit(PASSAGE))).alias("n"))
     out = materialized(covered.groupBy("row").agg(F.sum("n").alias("shared")))
@@ -386,7 +416,7 @@ def _with_windows(docs: DataFrame, shared: bool = False) -> DataFrame:
     phrases = materialized(each.mapInArrow(_phrases, PHRASES))
     twice = phrases.groupBy("gram").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")).where("n > 1")
     grams = materialized(twice.select("gram", (F.col("a") < F.col("b")).alias("across")))
-    anchors = materialized(phrases.join(grams, "gram").drop("gram"))
+    anchors = materialized(_keyed(phrases, grams, ["gram"]).drop("gram"))
     discard(phrases, grams, classes)
     lists = repeated_windows(each.where(F.length("raw") >= LENGTH), anchors)
     known = lists.join(members.select("row", F.lit(True).alias("copy")), "row", "full")

@@ -1,6 +1,7 @@
 """The Python passes of the repeated passages against loops."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,3 +41,46 @@ def test_windows_in_large_batches(monkeypatch):
         got = list(S._windows([batch]))
         assert len(got) == batches
         assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
+def test_gram_hashes_by_pieces(monkeypatch):
+    """A hash is one of its bytes alone, wherever they stand, within a piece and across the edge of two."""
+    draw = random.Random(5)
+    unit = bytes(draw.randrange(256) for _ in range(100))
+    data = np.frombuffer(unit * 9 + b"ab" * 200, np.uint8)
+    for piece in (1 << 16, 70):
+        monkeypatch.setattr(S, "PIECE", piece)
+        h = S.gram_hashes(data).tolist()
+        grams = [data[p : p + S.GRAM].tobytes() for p in range(len(data) - S.GRAM + 1)]
+        assert len(h) == len(grams)
+        assert len(set(h)) == len(set(grams)) == len(set(zip(h, grams, strict=True)))
+    assert not len(S.gram_hashes(data[: S.GRAM - 1]))
+
+
+def test_pairs_of_a_level_are_made_once(spark, monkeypatch):
+    """Ranks are found without a join and handed back by one; no level is joined with itself. Ranges are those of loops."""
+    draw = random.Random(6)
+    units = [bytes(draw.randrange(97, 123) for _ in range(draw.randrange(500, 900))) for _ in range(6)]
+    texts = sorted({b"".join(draw.choice(units)[draw.randrange(90) :] for _ in range(3)) for _ in range(40)} | {b"z" * 900, b"abc" * 200})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "raw"])
+    rows = [r for b in S._phrases([batch]) for r in b.to_pylist()]
+    level = {(r["row"], r["i"]): (r["name"], r["span"]) for r in rows if 0 < r["span"] <= S.LENGTH - S.GRAM}
+    lone = {(r["row"], r["i"]) for r in rows if r["lone"]}
+    want, step = set(), 0
+    while level:
+        names = Counter(n for n, _ in level.values())
+        level = {k: (n, s) for k, (n, s) in level.items() if names[n] > 1}
+        want |= {(row, step, i) for row, i in level if step or (row, i) in lone}
+        pairs = {(row, i): (level[row, i], level[row, i + (1 << step)]) for row, i in level if (row, i + (1 << step)) in level}
+        level = {k: ((a, b), s + t) for k, ((a, s), (b, t)) in pairs.items() if s + t + S.GRAM <= S.LENGTH}
+        step += 1
+
+    joins = []
+    make = S.materialized
+    monkeypatch.setattr(S, "materialized", lambda df: joins.append(df._jdf.queryExecution().analyzed().toString().count("Join ")) or make(df))
+    got = set()
+    for row, ranges in S.doubled(spark.createDataFrame(rows, S.PHRASES)).collect():
+        for at in range(0, len(ranges), 3):
+            got |= {(row, ranges[at], i) for i in range(ranges[at + 1], ranges[at + 2] + 1)}
+    assert got == want and {x for _, x, _ in want} > {0, 1, 2}
+    assert joins == [0, 1] * (len(joins) // 2) + [0]
