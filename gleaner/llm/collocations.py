@@ -7,14 +7,17 @@ and r are the occurrences of phrase and parts, n of all words of the language. T
 Documents are packed by language into chunks (`chunks_of`), a table of the shared folder: a chunk has its own dictionary,
 and its words as numbers, with 0 between pieces. Words of all chunks' dictionaries are counted, those that occur `least`
 times get ids from 1 up (`dictionary`). A small dictionary goes to all tasks; beyond a bound, each chunk gets the ids of
-its own words back. Elsewhere pieces are broken (`encoded`). Chunks are dealt out by language to a few tasks a core; a
+its own words back. Elsewhere pieces are broken (`encoded`). What may be frequent is dealt out by language to a few tasks a core; a
 task's different n-grams are packed into fixed-width keys of 4 bytes an id, big-endian, and added up while a bounded number
 fits (`grams_of`). Spark partitions the keys by range and sorts them by their leading bytes; a pass over the sorted keys adds
 up equal neighbours (`run_lengths`). A frequent key is one row for each task, however often it occurs.
 
-Most n-grams are rare and needn't be sent: tables of a fixed size count pairs, then longer n-grams, each at two places by
-hash (`_sketched`), and an n-gram goes only if both of its places, and the n-grams in it, reach `least`. A rare n-gram then
-goes at the square of the share of full places. What is sent is counted exactly; a full table sends more, and loses nothing.
+Most n-grams are rare and needn't be sent: tables count pairs, then longer n-grams, each at two places by hash
+(`_sketched`), and an n-gram goes only if both of its places, and the n-grams in it, reach `least`. A rare n-gram then goes
+at the square of the share of full places, so tables have places in proportion to the words: a table of a fixed size fills
+up as the input grows, and rules out ever fewer. Places are sent as gaps, and tasks add up a few slices of a table each; all
+tasks get a bit a place. Words in no pair that may be frequent go before the rest is dealt out (`_trimmed`). What is sent is
+counted exactly; a full table sends more, and loses nothing.
 
 Candidates, their parts and their words meet by joins. Numbers are decimals of 38 digits, exact up to 10^17 words a
 language. Within a language the first `top` are chosen in parts, then among those.
@@ -26,12 +29,13 @@ no rows. Other columns are not read. More than 2^32 - 1 frequent words are an er
 from __future__ import annotations
 
 from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,21 +46,42 @@ SPLIT_BYTES = 1 << 20
 #: A dictionary of so many bytes or less is sent to all tasks.
 DICTIONARY_BYTES = 32 << 20
 #: n-grams of so many bytes of ids are counted at once.
-GROUP_BYTES = 8 << 20
-#: A task holds counts of so many n-grams.
+GROUP_BYTES = 2 << 20
+#: Ids are dealt out in rows of about so many bytes, and come to Python in batches of so many.
+PART_BYTES = 256 << 10
+BATCH_BYTES = 8 << 20
+#: A task holds counts of so many n-grams, and sends them in batches of SENT_ROWS.
 HELD_ROWS = 1_000_000
+SENT_ROWS = 1 << 16
+#: Keys compress well, so compressed files would be read by few tasks that sort many rows each.
+PLAIN = {"compression": "uncompressed", "parquet.block.size": 8 << 20}
 TASKS_A_CORE = 2
 SALTS = 64
 #: A-Z become lower-case, a tab a blank, and what ends a piece a full stop.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 0x20 if b == 9 else 0x2E if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 SHIFT = np.int64(32)
-#: The tables that rule n-grams out have 2 ** BITS places for each of WAYS hashes, and are sent in slices of SLICE.
+#: The tables that rule n-grams out have 2 ** BITS places for each of WAYS hashes, or as many more that there are at most
+#: WORDS_A_PLACE frequent words for each. They are counted in SLICES slices, or in more of at most SLICE places.
 BITS = 22
+WORDS_A_PLACE = 32
 WAYS = 2
-SLICE = 1 << 14
+SLICES = 64
+SLICE = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+@contextmanager
+def _batches(spark: SparkSession, most_bytes: int):
+    """What is run meanwhile gets Arrow batches of about most_bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, most_bytes)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 class _Chunk:
     """A language's words so far: numbers by word, from 1 up, and the text as numbers."""
 
@@ -238,79 +263,124 @@ def _alive(ids: np.ndarray, most: int, tables: list[np.ndarray]):
         before = alive
 
 
+def _bits(frequent: DataFrame) -> int:
+    """The bits of a place for a dictionary's occurrences; 32 at most."""
+    words = frequent.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first()["n"]
+    return min(max(BITS, (-(-words // WORDS_A_PLACE) - 1).bit_length()), 32)
+
+
+def _gaps(places: np.ndarray) -> bytes:
+    """Sorted numbers as the bytes of their gaps; a gap of 255 or more has bytes of 255 first."""
+    gaps = np.diff(places, prepend=places.dtype.type(0))
+    ends = np.cumsum(gaps // 255 + 1, dtype=np.int64)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = gaps % 255
+    return out.tobytes()
+
+
+def _from_gaps(data) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 255]
+
+
 def _sketched(chunks: DataFrame, sizes: range, tables: list[np.ndarray], least: int, bits: int = BITS) -> np.ndarray:
     """Which places of WAYS tables of 2 ** bits have `least` n-grams of these sizes or more: an n-gram at another place occurs
-    less often. A task counts in tables of its own and sends them on in slices, up to `least` a place; tasks add up slices, and
-    the driver gets one bit a place."""
-    kind = np.uint8 if least <= 255 else np.uint32
-    slice_ = min(SLICE, 1 << bits)
+    less often. A task sends the places of a group of ids in slices, sorted, as gaps; tasks add up slices, and the driver
+    gets one bit a place."""
+    slice_ = min(max((1 << bits) // SLICES, 8), SLICE)
+    slices = (1 << bits) // slice_
+    known = chunks.sparkSession.sparkContext.broadcast(tables)
 
     def count(batches):
-        tables_ = np.zeros((WAYS, 1 << bits), np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_py(), "<u4")
-                for size, hashes, alive in _alive(ids, sizes[-1], tables):
-                    if size not in sizes:
-                        continue
-                    for table, places in zip(tables_, _places(hashes[alive], bits), strict=True):
-                        if len(places) > len(table) // 16:
-                            table += np.bincount(places, minlength=len(table))
-                        else:
-                            np.add.at(table, places, 1)
-        slices = np.minimum(tables_, least).astype(kind).reshape(-1, slice_)
-        at = np.flatnonzero(slices.any(axis=1))
-        out = []
-        for own in slices[at]:
-            some = np.flatnonzero(own).astype("<u2")
-            out.append(b"s" + some.tobytes() + own[some].tobytes() if 4 * len(some) < slice_ else b"d" + own.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out, pa.binary())], ["slice", "counts"])
+        for raw in _groups(batches, GROUP_BYTES):
+            found: list[list[np.ndarray]] = [[] for _ in range(WAYS)]
+            for size, hashes, alive in _alive(np.frombuffer(raw, "<u4"), sizes[-1], known.value):
+                if size in sizes:
+                    for own, places in zip(found, _places(hashes[alive], bits), strict=True):
+                        own.append(places.astype(np.uint32))
+            for way, own in enumerate(found):
+                places = np.sort(np.concatenate([*own, np.zeros(0, np.uint32)]))
+                cuts = [*np.searchsorted(places, (np.arange(slices) * slice_).astype(np.uint32)).tolist(), len(places)]
+                at = [i for i in range(slices) if cuts[i] < cuts[i + 1]]
+                out = [_gaps(places[cuts[i] : cuts[i + 1]] - np.uint32(i * slice_)) for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array([way * slices + i for i in at], pa.int64()), pa.array(out, pa.binary())], ["slice", "gaps"])
 
     def add_up(batches):
         tables_: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = raw.as_py()
-                own = tables_.setdefault(at, np.zeros(slice_, np.int64))
-                if data[:1] == b"d":
-                    own += np.frombuffer(data, kind, offset=1)
+                places = _from_gaps(raw.as_buffer())
+                own = tables_[at] if at in tables_ else tables_.setdefault(at, np.zeros(slice_, np.int64))
+                if len(places) > slice_ // 16:
+                    own += np.bincount(places, minlength=slice_)
                 else:
-                    n = (len(data) - 1) // (2 + np.dtype(kind).itemsize)
-                    own[np.frombuffer(data, "<u2", n, 1)] += np.frombuffer(data, kind, n, 1 + 2 * n)
+                    np.add.at(own, places, 1)
         full = [np.packbits(t >= least).tobytes() for t in tables_.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(tables_), pa.int64()), pa.array(full, pa.binary())], ["slice", "bits"])
 
-    sums = chunks.select("ids").mapInArrow(count, "slice long, counts binary").repartition("slice").mapInArrow(add_up, "slice long, bits binary")
-    out = np.zeros(((WAYS << bits) // slice_, slice_ // 8), np.uint8)
+    sums = chunks.select("ids").mapInArrow(count, "slice long, gaps binary").repartition("slice").mapInArrow(add_up, "slice long, bits binary")
+    out = np.zeros((WAYS * slices, slice_ // 8), np.uint8)
     for row in sums.collect():
         out[row.slice] = np.frombuffer(row.bits, np.uint8)
     return out.reshape(WAYS, -1)
 
 
+def _cut(ids: np.ndarray, most: int):
+    """ids in parts that end before the first 0 after `most`."""
+    ends = np.flatnonzero(ids == 0)
+    done = 0
+    while (at := np.searchsorted(ends, done + most)) < len(ends):
+        yield ids[done : ends[at]]
+        done = ends[at] + 1
+    yield ids[done:]
+
+
 def _groups(batches, group_bytes: int):
-    """The ids of chunks in groups of about group_bytes, a 0 after each chunk."""
+    """The ids of chunks in groups of about group_bytes, a 0 after each chunk; larger chunks are cut at a 0."""
     held, size = [], 0
     for batch in batches:
         for raw in batch.column(0):
-            held += [raw.as_py(), bytes(4)]
-            size += len(held[-2])
-            if size >= group_bytes:
-                yield b"".join(held)
-                held, size = [], 0
+            for part in _cut(np.frombuffer(raw.as_buffer(), "<u4"), group_bytes // 4):
+                held += [part.tobytes(), bytes(4)]
+                size += part.nbytes
+                if size >= group_bytes:
+                    yield b"".join(held)
+                    held, size = [], 0
     yield b"".join(held)
 
 
+def _trimmed(chunks: DataFrame, tables: list[np.ndarray], part_bytes: int = PART_BYTES) -> DataFrame:
+    """lang, chunk, ids without the words of no pair that may be frequent, in rows of about part_bytes."""
+    known = chunks.sparkSession.sparkContext.broadcast(tables)
+
+    def trim(batches):
+        for batch in batches:
+            for lang, chunk, raw in zip(*batch.columns, strict=True):
+                parts: list[bytes] = []
+                for ids in _cut(np.frombuffer(raw.as_buffer(), "<u4"), GROUP_BYTES // 4):
+                    stays = np.zeros(len(ids), bool)
+                    for _, _, alive in _alive(ids, 2, known.value):
+                        stays[:-1] = alive
+                        stays[1:] |= alive
+                    parts += [p.tobytes() for p in _cut(_runs(np.where(stays, ids, 0)), part_bytes // 4) if len(p)]
+                columns = [pa.array([x.as_py()] * len(parts), x.type) for x in (lang, chunk)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], ["lang", "chunk", "ids"])
+
+    return chunks.select("lang", "chunk", "ids").mapInArrow(trim, "lang string, chunk long, ids binary")
+
+
 def grams_of(chunks: DataFrame, most: int, tables: list[np.ndarray], group_bytes: int = GROUP_BYTES, held_rows: int = HELD_ROWS) -> DataFrame:
     """key, n: the different n-grams of 2 to `most` ids of each task that may be frequent. A task counts its chunks in groups of
     about group_bytes and adds groups up; it holds held_rows and a group's before it sends what it has. There are a few tasks
     for each core, with chunks of neighbouring languages, so that an n-gram goes about as often however many chunks there are."""
+    known = chunks.sparkSession.sparkContext.broadcast(tables)
 
     def count(batches):
         held, rows = [], 0
         for raw in _groups(batches, group_bytes):
             ids = np.frombuffer(raw, "<u4").astype(np.int64)
             rank = ids  # of the n-gram that begins at a place
-            for size, _, alive in _alive(ids, most, tables):
+            for size, _, alive in _alive(ids, most, known.value):
                 places = np.flatnonzero(alive)
                 _, first, inverse, n = np.unique(rank[places] << SHIFT | ids[places + size - 1], return_index=True, return_inverse=True, return_counts=True)
                 begins = places[first]
@@ -321,11 +391,11 @@ def grams_of(chunks: DataFrame, most: int, tables: list[np.ndarray], group_bytes
                 if rows > held_rows:
                     held = [_summed(held)]
                     rows = held[0].num_rows
-                    if rows > held_rows // 2:
-                        yield from held.pop().to_batches()
+                    if rows > held_rows * 3 // 4:
+                        yield from held.pop().to_batches(SENT_ROWS)
                         rows = 0
         if held:
-            yield from _summed(held).to_batches()
+            yield from _summed(held).to_batches(SENT_ROWS)
 
     dealt = chunks.repartitionByRange(TASKS_A_CORE * chunks.sparkSession.sparkContext.defaultParallelism, "lang", "chunk")
     return dealt.select("ids").mapInArrow(count, "key binary, n long")
@@ -333,6 +403,7 @@ def grams_of(chunks: DataFrame, most: int, tables: list[np.ndarray], group_bytes
 
 def _summed(tables: list[pa.Table]) -> pa.Table:
     sums = pa.concat_tables(tables).group_by("key", use_threads=False).aggregate([("n", "sum")])
+    pa.default_memory_pool().release_unused()
     return sums.select(["key", "n_sum"]).rename_columns(["key", "n"])
 
 
@@ -382,8 +453,8 @@ def _bytes(key: Column, first: Column | int, count: Column | int) -> Column:
 
 
 def collocations(
-    docs: DataFrame, least: int = 100, most: int = 5, percent: int = 100, top: int = 2000, chunk_bytes: int = CHUNK_BYTES, bits: int = BITS,
-    dictionary_bytes: int = DICTIONARY_BYTES,
+    docs: DataFrame, least: int = 100, most: int = 5, percent: int = 100, top: int = 2000, chunk_bytes: int = CHUNK_BYTES,
+    bits: int | None = None, dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of each language by score, a, phrase. A candidate is dropped
     if a longer one that holds it occurs at least `percent` per cent as often. docs: lang, text. chunk_bytes, bits and
@@ -397,14 +468,18 @@ def collocations(
     frequent = materialized(dictionary(chunks, least))
     ids = materialized(encoded(chunks, frequent, dictionary_bytes))
     discard(chunks)
-    tables = [_sketched(ids, range(2, 3), [], least, bits)]
-    if most > 2:
-        tables.append(_sketched(ids, range(3, most + 1), tables, least, bits))
-    sent = materialized(grams_of(ids, most, tables))  # once: ranges are sampled from what is sent
+    bits = bits or _bits(frequent)
+    with _batches(docs.sparkSession, BATCH_BYTES):
+        tables = [_sketched(ids, range(2, 3), [], least, bits)]
+        trimmed = materialized(_trimmed(ids, tables))
+        discard(ids)
+        if most > 2:
+            tables.append(_sketched(trimmed, range(3, most + 1), tables, least, bits))
+        sent = materialized(grams_of(trimmed, most, tables), **PLAIN)  # once: ranges are sampled from what is sent
     whole = run_lengths(sent, least, most)
     size = sum((F.when(_bytes(F.col("key"), i, 1) != F.lit(b"\0\0\0\0"), 1).otherwise(0) for i in range(1, most + 1)), F.lit(0))
     grams = materialized(whole.withColumn("size", size).select(_bytes(F.col("key"), 1, F.col("size")).alias("key"), "size", "f"))
-    discard(ids, sent)
+    discard(trimmed, sent)
     single = frequent.select(F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("key"), "f")
     parts = single.union(grams.where(F.col("size") < most).select("key", "f"))
 

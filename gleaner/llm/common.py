@@ -45,11 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, **options) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder: it is smaller than an RDD checkpoint, and columns are
-    pruned on reading. The table outlives lost executors and goes with the folder."""
+    pruned on reading. The table outlives lost executors and goes with the folder. options: of the Parquet writer."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.gleaner_path = path
     return out

@@ -144,3 +144,44 @@ def test_groups_add_up(spark, work):
         for k in (2, 3, 4):
             want.update(tuple(own[i : i + k]) for i in range(len(own) - k + 1) if all(own[i : i + k]))
     assert want and each["whole"] == each["parts"] == {np.array(g + (0,) * (4 - len(g)), ">u4").tobytes(): n for g, n in want.items()}
+
+
+def test_gaps():
+    draw = np.random.default_rng(8)
+    for places in ([], [0], [0, 0, 254, 254, 509, 1 << 20], np.sort(draw.integers(0, 5000, 3000)), np.sort(draw.integers(0, 1 << 32, 50))):
+        places = np.array(places, np.uint32)
+        assert C._from_gaps(C._gaps(places)).tolist() == places.tolist()
+
+
+@pytest.mark.parametrize(("words", "bits"), [(0, 22), (1 << 27, 22), ((1 << 27) + 1, 23), (1_630_000_000, 26), (1 << 50, 32)])
+def test_places_follow_the_words(spark, words, bits):
+    assert C._bits(spark.createDataFrame([(words // 2,), (words - words // 2,)], "f long")) == bits
+
+
+def test_tables_do_not_fill_up(spark, monkeypatch):
+    """So many words that all of 64 places are full: with places for the words, hardly a rare pair is sent."""
+    monkeypatch.setattr(C, "BITS", 6)
+    draw = random.Random(9)
+    rows = [("en", f"w{draw.randrange(200)} w{draw.randrange(200)}") for _ in range(30_000)] + [("en", "often seen")] * 60
+    least = 60
+    chunks = C.materialized(C.chunks_of(spark.createDataFrame(rows, "lang string, text string"), 2000))
+    frequent = C.materialized(C.dictionary(chunks, least))
+    ids = C.materialized(C.encoded(chunks, frequent))
+    sent = {}
+    for bits in (6, C._bits(frequent)):
+        tables = [C._sketched(ids, range(2, 3), [], least, bits)]
+        trimmed = C.materialized(C._trimmed(ids, tables, 400))
+        whole = {bytes(r.key): r.f for r in C.run_lengths(C.grams_of(trimmed, 2, tables), least, 2).collect()}
+        sent[bits] = C.grams_of(trimmed, 2, tables).select("key").distinct().count()
+        assert list(whole.values()) == [60]
+    assert sent[6] > 10_000 and sent[C._bits(frequent)] < 100
+
+
+def test_groups_are_bounded():
+    """A chunk larger than a group is cut, and at zeros only."""
+    ids = np.array([i % 10 for i in range(5000)], "<u4")
+    batch = C.pa.RecordBatch.from_arrays([C.pa.array([ids.tobytes(), ids[:20].tobytes()], C.pa.binary())], ["ids"])
+    groups = [np.frombuffer(g, "<u4") for g in C._groups([batch], 400)]
+    assert len(groups) > 40 and all(g.nbytes <= 2 * 400 for g in groups)
+    assert np.concatenate(groups)[np.concatenate(groups) > 0].tolist() == [i for i in [*ids, *ids[:20]] if i]
+    assert all((np.diff(g.astype(int))[g[:-1] > 0] % 10 == 1).all() for g in groups)
